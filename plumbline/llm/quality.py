@@ -91,7 +91,7 @@ def best_threshold(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def weighed(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> tuple[DataFrame, float]:
-    """(doc_id, label, fold, log_weight, gumbel_key) of each document, and the threshold."""
+    """(doc_id, label, fold, log_weight, draw, gumbel_key) of each document, and the threshold."""
     spark = docs.sparkSession
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(
         F.min(F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).otherwise(0)).alias("label"),
@@ -108,7 +108,7 @@ def weighed(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled
 
     rows = arrow_map(texts, run, "doc_id long, label int, fold int, log_weight double, draw long")
     uniform = (F.pmod(F.xxhash64("doc_id", "draw", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = stored(rows.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))).drop("draw"), "weights")
+    rows = stored(rows.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     seen = np.array(rows.where("fold = 1").select("log_weight", "label").limit(10 * labelled).collect(), float).reshape(-1, 2)
     both = len(seen) and 0 < seen[:, 1].sum() < len(seen)
     return rows, best_threshold(seen[:, 0], seen[:, 1]) if both else -np.inf
@@ -136,8 +136,11 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
 
 
 def resampled(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> DataFrame:
-    """doc_id, log_weight, gumbel_key and kept of each row of ``docs``: whether Gumbel top-k draws it."""
+    """doc_id, log_weight, gumbel_key, draw (the text's CRC-32) and kept of each row of ``docs``.
+
+    kept: whether Gumbel top-k draws it.
+    """
     rows, threshold = weighed(docs, labels, buckets, labelled)
     k = rows.where(F.col("log_weight") >= F.lit(threshold)).count()
     least = kth_largest(rows, "gumbel_key", k) if k else np.inf
-    return rows.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(float(least))).alias("kept"))
+    return rows.select("doc_id", "log_weight", "gumbel_key", "draw", (F.col("gumbel_key") >= F.lit(float(least))).alias("kept"))
