@@ -29,7 +29,7 @@ from plumbline.llm.common import arrow_map, partition_map, stored
 from plumbline.llm.vectors import matrix, usable, vectors
 
 WIDTH, CODES = 2, 16
-SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16384, 1024, 100
+SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16384, 1024, 1024
 #: Inner products under this share of the norm don't count in the loss.
 THRESHOLD = 0.2
 

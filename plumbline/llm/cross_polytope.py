@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, numbered, partition_map, stored
-from plumbline.llm.graph import components
-from plumbline.llm.hamming import lowest
+from plumbline.llm.graph import components, lowest
 from plumbline.llm.vectors import matrix, usable, vectors
 
 TABLES, ROTATIONS, PROBES = 4, 2, 4

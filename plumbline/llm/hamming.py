@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, doc_texts, partition_map, stored
-from plumbline.llm.graph import components
+from plumbline.llm.graph import components, lowest
 
 #: Rows of a block's group beyond which it is split by a further block of bits.
 GROUP = 50_000
@@ -111,22 +111,6 @@ class GrayIndex:
                 todo.append((depth + 1, query[i : i + FRONTIER], below[i : i + FRONTIER], apart[i : i + FRONTIER]))
 
 
-def lowest(n: int, pairs) -> np.ndarray:
-    """The smallest place that each of ``n`` places reaches by arrays of pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            ra, rb = root[a], root[b]
-            if (ra == rb).all():
-                break
-            low = np.minimum(ra, rb)
-            np.minimum.at(root, ra, low)
-            np.minimum.at(root, rb, low)
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
 def _blocks(bits: np.ndarray | list[int], parts: int) -> list[list[int]]:
     return [list(x) for x in np.array_split(bits, parts)]
 
@@ -149,10 +133,9 @@ def near_links(fps: DataFrame, bound: int = 2, group: int = GROUP) -> DataFrame:
             mask = np.array(sum(1 << i for i in bits), np.uint64).astype(np.int64).item()
             made = table.select("fp", F.struct(F.lit(mask).alias("mask"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")).alias("key"))
             rows = made if rows is None else rows.union(made)
-        sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        large = sizes.where(F.col("n") > group)
+        large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("key")
         last = depth == 3 or large.isEmpty()
-        small = rows.join(sizes if last else sizes.where(F.col("n") <= group), "key", "left_semi").select(F.xxhash64("key").alias("key"), "fp")
+        small = (rows if last else rows.join(large, "key", "left_anti")).select(F.xxhash64("key").alias("key"), "fp")
         links = partition_map(small.repartition("key"), lambda t: _link(t, bound), "a long, b long")
         found = links if found is None else found.union(links)
         if last:
