@@ -27,11 +27,13 @@ and other texts are ordered by a hash of the text; a null doc_id comes before al
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, doc_texts, partition_map, partitions, stored
@@ -40,19 +42,21 @@ GRAM = 24
 #: A chunk has about so many bytes (a power of two).
 CHUNK = 128
 #: Places of an anchor from which its strings are dealt by their own hash.
-HOT = 20_000
+HOT = 5_000
 #: Bytes that are suffix-sorted at once, unless one anchor has more.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Columns of the packed records.
-MARK = [("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("span", "<u4"), ("n", "<u4")]
+MARK = [("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("span", "<u4"), ("n", "<u4"), ("kind", "<u1")]
 TEXT = [("doc", "<i8"), ("tie", "<u8"), ("size", "<u4")]
 STRIP = [("h", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("size", "<u4")]
 RANGE = [("doc", "<i8"), ("at", "<u8"), ("span", "<u4")]
 PARTS = "part int, kind int, packed binary"
-CHUNKS, ANCHORS, SETTLED, TEXTS, STRIPS = range(5)
+#: Kinds of packed rows, and of marks: for SURE ones a batch has told that the anchor repeats.
+MARKS, TEXTS, STRIPS = range(3)
+CHUNKS, ANCHORS, SETTLED, SURE = range(4)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,6 +66,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` numbers that hash partitioning in ``n`` parts puts in a part each."""
+    rows = spark.range(64 * n).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"))
+    return np.array([r.id for r in rows.groupBy("part").agg(F.min("id").alias("id")).collect()])
+
+
+def spread(x: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The part of each number."""
+    return names[(x % np.uint64(len(names))).astype(np.int64)]
+
+
 def packed(columns: dict, kinds: list, tail: bytes = b"") -> bytes:
     n = len(columns[kinds[0][0]])
     return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(n).tobytes(), *(np.asarray(columns[k]).astype(t).tobytes() for k, t in kinds), tail]))
@@ -151,7 +166,7 @@ def first_of(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[n
     return order, new
 
 
-def mark(ids: list, texts: list[bytes], ties: list[int], width: int, parts: int) -> dict:
+def mark(ids: list, texts: list[bytes], ties: list[int], width: int, names: np.ndarray) -> dict:
     """Step 1 and 2 of a batch: records of its chunks and anchors, by part of their hash."""
     found = {k: [] for k in (CHUNKS, ANCHORS)}
     seen = set()
@@ -175,53 +190,51 @@ def mark(ids: list, texts: list[bytes], ties: list[int], width: int, parts: int)
         return out
     h, g, doc, at, span = (np.concatenate(x) for x in zip(*found[CHUNKS], strict=True))
     order, new = first_of([h, g], doc, at)
-    one = {"h": h, "g": g, "doc": doc, "at": at, "span": span, "n": np.ones(len(h))}
-    first, again = ({k: v[rows] for k, v in one.items()} for rows in (order[new], order[~new]))
-    dealt(first, MARK, (first["h"] >> np.uint64(20)) % np.uint64(parts), CHUNKS, out)
-    dealt(again, MARK, mix(again["doc"]) % np.uint64(parts), SETTLED, out)
+    made = [{"h": h, "g": g, "doc": doc, "at": at, "span": span, "n": np.ones(len(h)), "kind": np.where(new, CHUNKS, SETTLED)[np.argsort(order)]}]
     h, g, doc, at, span = (np.concatenate(x) for x in zip(*found[ANCHORS], strict=True))
     order = np.argsort(h, kind="stable")
     start, end = runs(h[order])
-    n = np.repeat(end - start, end - start)
     new = np.zeros(len(h), bool)
     new[start] = True
-    one = {"h": h[order], "g": g, "doc": doc[order], "at": at[order], "span": span[order], "n": n}
-    first, again = ({k: v[rows] for k, v in one.items()} for rows in (new, ~new))
-    dealt(first, MARK, (first["h"] >> np.uint64(20)) % np.uint64(parts), ANCHORS, out)
-    dealt(again, MARK, mix(again["doc"]) % np.uint64(parts), ANCHORS + 10, out)  # repeats for certain
+    made.append({"h": h[order], "g": g, "doc": doc[order], "at": at[order], "span": span[order], "n": np.repeat(end - start, end - start), "kind": np.where(new, ANCHORS, SURE)})
+    one = {k: np.concatenate([m[k] for m in made]) for k, _ in MARK}
+    to_hash = (one["kind"] == CHUNKS) | (one["kind"] == ANCHORS)
+    dealt(one, MARK, spread(np.where(to_hash, one["h"] >> np.uint64(20), mix(one["doc"])), names), MARKS, out)
     return out
 
 
-def met(rows: dict[int, list[bytes]], parts: int) -> dict:
+def of_kind(columns: dict, kind: int) -> dict:
+    rows = columns["kind"] == kind
+    return {k: v[rows] for k, v in columns.items()}
+
+
+def met(rows: dict[int, list[bytes]], names: np.ndarray) -> dict:
     """Steps 1 and 2 of a part: settled chunks and anchors with several places, by part of doc_id."""
     out = fresh()
-    c, _ = unpacked(rows.get(CHUNKS, []), MARK)
+    every, _ = unpacked(rows.get(MARKS, []), MARK)
+    c = of_kind(every, CHUNKS)
     order, new = first_of([c["h"], c["g"]], c["doc"], c["at"])
     lead = order[new][np.cumsum(new) - 1]
     # a record at the first one's place is the same document twice and no repeat
     again = order[~new & ((c["doc"][order] != c["doc"][lead]) | (c["at"][order] != c["at"][lead]))]
-    settled = {k: v[again] for k, v in c.items()}
-    sure, _ = unpacked(rows.get(SETTLED, []), MARK)
-    settled = {k: np.concatenate([settled[k], sure[k]]) for k in settled}
-    dealt(settled, MARK, mix(settled["doc"]) % np.uint64(parts), SETTLED, out)
-    a, _ = unpacked(rows.get(ANCHORS, []), MARK)
+    settled = {k: v[again] for k, v in c.items()} | {"kind": np.full(len(again), SETTLED)}
+    a = of_kind(every, ANCHORS)
     order = np.argsort(a["h"], kind="stable")
     start, end = runs(a["h"][order])
     total = np.add.reduceat(a["n"][order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
     total = np.repeat(total, end - start)
-    keep = order[total > 1]
-    several = {k: v[keep] for k, v in a.items()} | {"n": total[total > 1]}
-    sure, _ = unpacked(rows.get(ANCHORS + 10, []), MARK)
-    several = {k: np.concatenate([several[k], sure[k]]) for k in several}
-    dealt(several, MARK, mix(several["doc"]) % np.uint64(parts), ANCHORS, out)
+    several = {k: v[order[total > 1]] for k, v in a.items()} | {"n": total[total > 1]}
+    parted = [settled, several, of_kind(every, SETTLED), of_kind(every, SURE)]
+    one = {k: np.concatenate([x[k] for x in parted]) for k, _ in MARK}
+    dealt(one, MARK, spread(mix(one["doc"]), names), MARKS, out)
     return out
 
 
-def text_rows(ids: list, texts: list[bytes], ties: list[int], parts: int) -> dict:
+def text_rows(ids: list, texts: list[bytes], ties: list[int], names: np.ndarray) -> dict:
     """The batch's texts by part of doc_id."""
     out = fresh()
     doc = np.array(ids, np.int64)
-    dealt({"doc": doc, "tie": np.array(ties, np.uint64), "size": np.array([len(t) for t in texts])}, TEXT, mix(doc) % np.uint64(parts), TEXTS, out, texts)
+    dealt({"doc": doc, "tie": np.array(ties, np.uint64), "size": np.array([len(t) for t in texts])}, TEXT, spread(mix(doc), names), TEXTS, out, texts)
     return out
 
 
@@ -252,10 +265,11 @@ def inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def strips(rows: dict[int, list[bytes]], width: int, parts: int) -> dict:
+def strips(rows: dict[int, list[bytes]], width: int, names: np.ndarray) -> dict:
     """Step 3, by part of doc_id: the stretches of anchors with several places, by part of their hash."""
-    settled = by_document(unpacked(rows.get(SETTLED, []), MARK)[0])
-    several = by_document(unpacked(rows.get(ANCHORS, []), MARK)[0])
+    every, _ = unpacked(rows.get(MARKS, []), MARK)
+    settled = by_document(of_kind(every, SETTLED))
+    several = by_document({k: v[every["kind"] != SETTLED] for k, v in every.items()})
     cut, done = [], set()
     columns = {k: [] for k, _ in STRIP}
     for doc, tie, text in texts_of(rows.get(TEXTS, [])):
@@ -286,7 +300,7 @@ def strips(rows: dict[int, list[bytes]], width: int, parts: int) -> dict:
                 cut.append(text[i : j + width - 1])
     out = fresh()
     arrays = {k: np.array(columns[k], t) for k, t in STRIP}
-    dealt(arrays, STRIP, (arrays["h"] >> np.uint64(20)) % np.uint64(parts), STRIPS, out, cut)
+    dealt(arrays, STRIP, spread(arrays["h"] >> np.uint64(20), names), STRIPS, out, cut)
     return out
 
 
@@ -382,7 +396,7 @@ def repeats(data: bytes, size: np.ndarray, doc: np.ndarray, at: np.ndarray, widt
     return d[later], p[later]
 
 
-def sorted_part(rows: dict[int, list[bytes]], width: int, parts: int) -> dict:
+def sorted_part(rows: dict[int, list[bytes]], width: int, names: np.ndarray) -> dict:
     """Step 3, by part of hash: ranges of starts that repeat, by part of doc_id."""
     s, raw = unpacked(rows.get(STRIPS, []), STRIP)
     out = fresh()
@@ -424,13 +438,13 @@ def sorted_part(rows: dict[int, list[bytes]], width: int, parts: int) -> dict:
     if piece:
         sort()
     found = {"doc": np.concatenate(docs), "at": np.concatenate(ats), "span": np.concatenate(spans)}
-    dealt(found, RANGE, mix(found["doc"]) % np.uint64(parts), STRIPS, out)
+    dealt(found, RANGE, spread(mix(found["doc"]), names), STRIPS, out)
     return out
 
 
-def cleaned(rows: dict[int, list[bytes]], width: int) -> dict:
+def cleaned(rows: dict[int, list[bytes]], width: int, as_text: bool) -> dict:
     """Of a part of doc_id: what is left of each text, and the spans that go."""
-    a, _ = unpacked(rows.get(SETTLED, []), MARK)
+    a = of_kind(unpacked(rows.get(MARKS, []), MARK)[0], SETTLED)
     b, _ = unpacked(rows.get(STRIPS, []), RANGE)
     ranges = by_document({k: np.concatenate([a[k], b[k]]) for k, _ in RANGE})
     out = {k: [] for k in ("doc_id", "tie", "n_bytes", "n_removed", "n_spans", "spans", "kept")}
@@ -441,7 +455,7 @@ def cleaned(rows: dict[int, list[bytes]], width: int) -> dict:
             start, end = runs(gone)
             spans = [[x, y] for x, y, g in zip(start.tolist(), end.tolist(), gone[start].tolist(), strict=True) if g]
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        for k, v in zip(out, (None if doc == NONE else doc, tie, len(text), len(text) - len(kept), len(spans), spans, kept), strict=True):
+        for k, v in zip(out, (None if doc == NONE else doc, tie, len(text), len(text) - len(kept), len(spans), spans, kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
             out[k].append(v)
     return out
 
@@ -455,9 +469,11 @@ def _grouped(table: pa.Table):
     return by.values()
 
 
-def deduplicated(docs: DataFrame, width: int = 100) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 100, as_text: bool = False) -> DataFrame:
     """Each row's doc_id, tie, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (bytes).
 
+    With ``as_text`` kept is a string; what is left of characters that are cut goes.
+
     tie is 0 unless doc_ids repeat; then it tells texts of one doc_id apart (``text_tie``).
     """
     if width < GRAM + 8:
@@ -465,7 +481,7 @@ def deduplicated(docs: DataFrame, width: int = 100) -> DataFrame:
     spark = docs.sparkSession
     texts = doc_texts(docs)
     tied = not texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    parts = 3 * partitions(spark, 4)
+    names = even_keys(spark, partitions(spark, 4))
 
     def batch_of(batch: pa.RecordBatch):
         ids = [NONE if x is None else x for x in batch["doc_id"].to_pylist()]
@@ -475,16 +491,16 @@ def deduplicated(docs: DataFrame, width: int = 100) -> DataFrame:
     def over(df: DataFrame, fn) -> DataFrame:
         return partition_map(df.repartition("part"), lambda t: (x for rows in _grouped(t) if (x := fn(rows))["part"]), PARTS)
 
-    marks = arrow_map(texts, lambda b: mark(*batch_of(b), width, parts), PARTS)
-    marks = stored(over(marks, lambda rows: met(rows, parts)), "marks")
-    whole = arrow_map(texts, lambda b: text_rows(*batch_of(b), parts), PARTS)
-    cut = over(marks.union(whole), lambda rows: strips(rows, width, parts))
-    found = stored(over(cut, lambda rows: sorted_part(rows, width, parts)), "repeats")
-    last = marks.where(F.col("kind") == SETTLED).union(found).union(whole)
-    schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary"
-    return partition_map(last.repartition("part"), lambda t: (cleaned(rows, width) for rows in _grouped(t)), schema)
+    marks = arrow_map(texts, lambda b: mark(*batch_of(b), width, names), PARTS)
+    marks = stored(over(marks, lambda rows: met(rows, names)), "marks")
+    whole = arrow_map(texts, lambda b: text_rows(*batch_of(b), names), PARTS)
+    cut = over(marks.union(whole), lambda rows: strips(rows, width, names))
+    found = stored(over(cut, lambda rows: sorted_part(rows, width, names)), "repeats")
+    last = marks.union(found).union(whole)
+    schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept " + ("string" if as_text else "binary")
+    return partition_map(last.repartition("part"), lambda t: (cleaned(rows, width, as_text) for rows in _grouped(t)), schema)
 
 
 def text_tie(text: bytes) -> int:
-    """Tells texts of one doc_id apart: 32 bits of a hash."""
-    return xxhash.xxh32_intdigest(text, 7)
+    """Tells texts of one doc_id apart: their CRC-32."""
+    return crc32(text)
