@@ -26,21 +26,31 @@ from plumbline.llm.tokenizer import ByteBPE
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The published pre-tokenisation pattern of byte-level BPE, for a compiled library.
+PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Fast(ByteBPE):
-    """``ByteBPE`` whose pre-tokens are merged by a compiled library, by the same file's ranks.
+    """``ByteBPE`` by a compiled library that merges by the same file's ranks.
 
     Only for files whose merges have ids in the order of their ranks; others are merged here.
     """
 
     def __init__(self, path: str):
         super().__init__(path)
-        made = [i for _, i in sorted(self.ranks.values())]
+        self.plain = super().encode
+        made = self.made
         if made == sorted(set(made)) and min(made, default=256) > max(self.first):
             import tiktoken
 
             ranks = {self.strings[i]: i for i in [*self.first, *made]}
-            merge = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-            self.words.make = lambda piece: array("I", merge(piece.encode())).tobytes()
+            ids = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.plain = lambda text: array("I", ids(text)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.specials and len(parts := self.specials.split(text)) > 1:
+            return b"".join(array("I", [self.added[p]]).tobytes() if i % 2 else self.plain(p) for i, p in enumerate(parts))
+        return self.plain(text)
 
 
 @lru_cache(2)
