@@ -25,7 +25,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The published pre-tokenisation pattern of byte-level BPE, with \s spelt out.
 PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of one generation of a cache; a cache holds two generations at most.
-CACHE = 150_000
+CACHE = 220_000
+#: Bits that hold an id.
+WIDE = 20
 
 
 def byte_symbols() -> list[str]:
@@ -75,7 +77,8 @@ class ByteBPE:
         to_byte = {c: b for b, c in enumerate(symbols)}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.first = [vocab[c] for c in symbols]
-        self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << WIDE | vocab[b]: r for r, (a, b) in enumerate(merges)}
+        self.made = [vocab[a + b] for a, b in merges]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.added.values()])
         self.strings = [b""] * size
@@ -90,25 +93,30 @@ class ByteBPE:
 
     def word(self, piece: str) -> bytes:
         """Merge one pre-token: ids as little-endian unsigned 32-bit integers."""
-        ids = [self.first[b] for b in piece.encode()]
-        n, ranks = len(ids), self.ranks
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(*m, i) for i in range(n - 1) if (m := ranks.get((ids[i], ids[i + 1])))]
+        ids = list(map(self.first.__getitem__, piece.encode()))
+        n, rank_of = len(ids), self.ranks.get
+        if n == 1:
+            return array("I", ids).tobytes()
+        after, before, shift = [*range(1, n), -1], [*range(-1, n - 1)], n.bit_length()
+        # an entry is a rank and the place of its left symbol, in one number
+        queue = [r << shift | i for i in range(n - 1) if (r := rank_of(ids[i] << WIDE | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            rank, made, i = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, i = entry >> shift, entry & ((1 << shift) - 1)
             j = after[i]
-            if ids[i] < 0 or j < 0 or ranks.get((ids[i], ids[j])) != (rank, made):
+            if ids[i] < 0 or j < 0 or rank_of(ids[i] << WIDE | ids[j]) != rank:
                 continue  # stale: one side has merged meanwhile
-            ids[i], ids[j] = made, -1
+            made = ids[i] = self.made[rank]
+            ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if m := ranks.get((made, ids[k])):
-                    heapq.heappush(queue, (*m, i))
+                if (r := rank_of(made << WIDE | ids[k])) is not None:
+                    heapq.heappush(queue, r << shift | i)
             h = before[i]
-            if h >= 0 and (m := ranks.get((ids[h], made))):
-                heapq.heappush(queue, (*m, h))
+            if h >= 0 and (r := rank_of(ids[h] << WIDE | made)) is not None:
+                heapq.heappush(queue, r << shift | h)
         return array("I", [i for i in ids if i >= 0]).tobytes()
 
     def span(self, text: str) -> bytes:
