@@ -299,13 +299,13 @@ def holdout_split(spark, d):
     return both.groupBy("draft_year", "held_out").agg(F.count(F.lit(1)).alias("n")).select("draft_year", "n", "held_out")
 
 
-@query(f"""{WITH_LABELS}, x as (select l.draft_year, l.peak_impact as y, d.draft_pick from labels_ l join draft d using (player_id) where peak_impact is not null), f as (select range as k, 1997 + range as val from range(2))
+@query(f"""{WITH_LABELS}, x as (select draft_year, cumulative_value as y from labels_), f as (select range as k, 1997 + range as val from range(2))
 select f.k::int as fold, count(*)::bigint as n, round(sqrt(avg(power(v.y - t.m, 2))), 5) as rmse from f join (select k, avg(y) as m from f join x on x.draft_year < f.val group by 1) t using (k) join x v on v.draft_year = f.val group by 1""")
 def walk_forward(spark, d):
-    rows = b.labels(spark, d).where("peak_impact is not null").cache()
+    rows = b.labels(spark, d).cache()
     folds = temporal.walk_forward(temporal.years_of(rows), 4)
-    got = temporal.predictions(rows, folds, lambda train: models.mean_model(train, "peak_impact"))
-    return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.rmse(F.col("peak_impact"), F.col("prediction")), 5).alias("rmse"))
+    got = temporal.predictions(rows, folds, lambda train: models.mean_model(train, "cumulative_value"))
+    return got.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.rmse(F.col("cumulative_value"), F.col("prediction")), 5).alias("rmse"))
 
 
 @query(f"{WITH_LABELS}, x as (select l.peak_impact as y, ln(d.draft_pick::double) as p from labels_ l join draft d using (player_id) where peak_impact is not null) select round(regr_slope(y, p), 6) as slope, round(regr_intercept(y, p), 6) as intercept from x")
