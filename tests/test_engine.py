@@ -405,3 +405,16 @@ def test_streaming_moments(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from moments").first()[0] == 100
+
+
+def test_config(tmp_path):
+    from plumbline.config import load_config, load_targets
+
+    (tmp_path / "c.yaml").write_text("seed: 7\nvalidation: {n_holdout_years: 3}\n")
+    c = load_config(tmp_path / "c.yaml")
+    assert c.seed == 7 and c.validation.n_holdout_years == 3 and c.validation.min_train_years == 4
+    (tmp_path / "c.yaml").write_text("sed: 7\n")
+    with pytest.raises(ValueError, match="sed"):
+        load_config(tmp_path / "c.yaml")
+    (tmp_path / "t.yaml").write_text("window: 3\ntiers: [{name: superstar, least: 5}, {name: starter, least: 0}]\n")
+    assert load_targets(tmp_path / "t.yaml").tiers == [("superstar", 5.0, None), ("starter", 0.0, None)]
