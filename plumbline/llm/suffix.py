@@ -16,7 +16,9 @@ documents, on the input as it is. A full suffix array of the corpus isn't needed
    by common prefix, are the repeats; the smallest place of each stays.
 
 Hot keys: within a batch only one record of a hash goes on, so none has more records than
-there are batches; an anchor with over ``HOT`` places has its strings dealt by their own hash.
+there are batches. Anchors with over ``HOT`` places, the ``MOST_HOT`` largest of them at most,
+have their strings dealt by the strings' own hash, one of equal strings from each part; an
+anchor that isn't among those has under 1/``MOST_HOT`` of all places.
 What is gathered in one task is bounded by the input over the number of parts, which grows
 with ``spark.sql.shuffle.partitions``.
 
@@ -41,8 +43,8 @@ from plumbline.llm.common import arrow_map, doc_texts, partition_map, partitions
 GRAM = 24
 #: A chunk has about so many bytes (a power of two).
 CHUNK = 128
-#: Places of an anchor from which its strings are dealt by their own hash.
-HOT = 5_000
+#: Places of an anchor from which its strings are dealt by their own hash, and such anchors at most.
+HOT, MOST_HOT = 5_000, 20_000
 #: Bytes that are suffix-sorted at once, unless one anchor has more.
 STRETCH = 1 << 20
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id
@@ -55,7 +57,7 @@ STRIP = [("h", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("size", "<u4")]
 RANGE = [("doc", "<i8"), ("at", "<u8"), ("span", "<u4")]
 PARTS = "part int, kind int, packed binary"
 #: Kinds of packed rows, and of marks: for SURE ones a batch has told that the anchor repeats.
-MARKS, TEXTS, STRIPS = range(3)
+MARKS, TEXTS, STRIPS, RANGES, HOTS = range(5)
 CHUNKS, ANCHORS, SETTLED, SURE = range(4)
 
 
@@ -208,8 +210,11 @@ def of_kind(columns: dict, kind: int) -> dict:
     return {k: v[rows] for k, v in columns.items()}
 
 
-def met(rows: dict[int, list[bytes]], names: np.ndarray) -> dict:
-    """Steps 1 and 2 of a part: settled chunks and anchors with several places, by part of doc_id."""
+def met(rows: dict[int, list[bytes]], names: np.ndarray, hot: int) -> dict:
+    """Steps 1 and 2 of a part: settled chunks and anchors with several places, by part of doc_id.
+
+    Anchors with over ``hot`` places get a row as well, with their places as its part.
+    """
     out = fresh()
     every, _ = unpacked(rows.get(MARKS, []), MARK)
     c = of_kind(every, CHUNKS)
@@ -222,6 +227,10 @@ def met(rows: dict[int, list[bytes]], names: np.ndarray) -> dict:
     order = np.argsort(a["h"], kind="stable")
     start, end = runs(a["h"][order])
     total = np.add.reduceat(a["n"][order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    for h, n in zip(a["h"][order][start][total > hot].tolist(), total[total > hot].tolist(), strict=True):
+        out["part"].append(min(n, 2**31 - 1))
+        out["kind"].append(HOTS)
+        out["packed"].append(h.to_bytes(8, "little"))
     total = np.repeat(total, end - start)
     several = {k: v[order[total > 1]] for k, v in a.items()} | {"n": total[total > 1]}
     parted = [settled, several, of_kind(every, SETTLED), of_kind(every, SURE)]
@@ -265,13 +274,17 @@ def inside(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def strips(rows: dict[int, list[bytes]], width: int, names: np.ndarray) -> dict:
-    """Step 3, by part of doc_id: the stretches of anchors with several places, by part of their hash."""
+def strips(rows: dict[int, list[bytes]], width: int, names: np.ndarray, hot: frozenset) -> dict:
+    """Step 3, by part of doc_id: the stretches of anchors with several places, by part of their hash.
+
+    Strings of hot anchors are stretches of their own; only the first of equal ones goes on.
+    """
     every, _ = unpacked(rows.get(MARKS, []), MARK)
     settled = by_document(of_kind(every, SETTLED))
     several = by_document({k: v[every["kind"] != SETTLED] for k, v in every.items()})
     cut, done = [], set()
     columns = {k: [] for k, _ in STRIP}
+    single = []
     for doc, tie, text in texts_of(rows.get(TEXTS, [])):
         a = several.get((doc, tie))
         if a is None or (doc, tie, text) in done:
@@ -287,20 +300,28 @@ def strips(rows: dict[int, list[bytes]], width: int, names: np.ndarray) -> dict:
         start, end = runs(key)
         which = key[start]
         start, end, which = start[which >= 0], end[which >= 0], which[which >= 0]
-        for s, e, h, many in zip(start.tolist(), end.tolist(), a["h"][which].tolist(), a["n"][which].tolist(), strict=True):
-            if many <= HOT:
-                rows_of = ((h, s, e),)
-            else:
-                rows_of = ((xxhash.xxh3_64_intdigest(text[i : i + width], h), i, i + 1) for i in range(s, e))
-            for k, i, j in rows_of:
+        for s, e, h in zip(start.tolist(), end.tolist(), a["h"][which].tolist(), strict=True):
+            own = h in hot
+            for k, i, j in ((xxhash.xxh3_64_intdigest(text[i : i + width], h), i, i + 1) for i in range(s, e)) if own else ((h, s, e),):
                 columns["h"].append(k)
                 columns["doc"].append(doc)
                 columns["at"].append(tie << 32 | i)
                 columns["size"].append(j - i + width - 1)
                 cut.append(text[i : j + width - 1])
+                single.append(own)
     out = fresh()
     arrays = {k: np.array(columns[k], t) for k, t in STRIP}
-    dealt(arrays, STRIP, spread(arrays["h"] >> np.uint64(20), names), STRIPS, out, cut)
+    keep = np.ones(len(single), bool)
+    one = np.flatnonzero(np.array(single, bool))
+    if len(one):
+        order, new = first_of([arrays["h"][one]], arrays["doc"][one], arrays["at"][one])
+        again = one[order[~new]]
+        keep[again] = False
+        gone = {"doc": arrays["doc"][again], "at": arrays["at"][again], "span": np.ones(len(again))}
+        dealt(gone, RANGE, spread(mix(gone["doc"]), names), RANGES, out)
+    keep = np.flatnonzero(keep)
+    arrays = {k: v[keep] for k, v in arrays.items()}
+    dealt(arrays, STRIP, spread(arrays["h"] >> np.uint64(20), names), STRIPS, out, [cut[i] for i in keep.tolist()])
     return out
 
 
@@ -399,9 +420,8 @@ def repeats(data: bytes, size: np.ndarray, doc: np.ndarray, at: np.ndarray, widt
 def sorted_part(rows: dict[int, list[bytes]], width: int, names: np.ndarray) -> dict:
     """Step 3, by part of hash: ranges of starts that repeat, by part of doc_id."""
     s, raw = unpacked(rows.get(STRIPS, []), STRIP)
+    told, _ = unpacked(rows.get(RANGES, []), RANGE)
     out = fresh()
-    if not len(s["h"]):
-        return out
     size = s["size"].astype(np.int64)
     end = np.cumsum(size)
     begin = end - size
@@ -410,7 +430,7 @@ def sorted_part(rows: dict[int, list[bytes]], width: int, names: np.ndarray) ->
     order, new = first_of([s["h"], g], s["doc"], s["at"])
     lead = order[new][np.cumsum(new) - 1]
     again = order[~new & ((s["doc"][order] != s["doc"][lead]) | (s["at"][order] != s["at"][lead]))]
-    docs, ats, spans = [s["doc"][again]], [s["at"][again]], [size[again] - width + 1]
+    docs, ats, spans = [told["doc"], s["doc"][again]], [told["at"], s["at"][again]], [told["span"], size[again] - width + 1]
     keep = order[new]
     start, stop = runs(s["h"][keep])
     bytes_of = np.concatenate([[0], np.cumsum(size[keep])])
@@ -438,14 +458,14 @@ def sorted_part(rows: dict[int, list[bytes]], width: int, names: np.ndarray) ->
     if piece:
         sort()
     found = {"doc": np.concatenate(docs), "at": np.concatenate(ats), "span": np.concatenate(spans)}
-    dealt(found, RANGE, spread(mix(found["doc"]), names), STRIPS, out)
+    dealt(found, RANGE, spread(mix(found["doc"]), names), RANGES, out)
     return out
 
 
 def cleaned(rows: dict[int, list[bytes]], width: int, as_text: bool) -> dict:
     """Of a part of doc_id: what is left of each text, and the spans that go."""
     a = of_kind(unpacked(rows.get(MARKS, []), MARK)[0], SETTLED)
-    b, _ = unpacked(rows.get(STRIPS, []), RANGE)
+    b, _ = unpacked(rows.get(RANGES, []), RANGE)
     ranges = by_document({k: np.concatenate([a[k], b[k]]) for k, _ in RANGE})
     out = {k: [] for k in ("doc_id", "tie", "n_bytes", "n_removed", "n_spans", "spans", "kept")}
     for doc, tie, text in texts_of(rows.get(TEXTS, [])):
@@ -469,7 +489,7 @@ def _grouped(table: pa.Table):
     return by.values()
 
 
-def deduplicated(docs: DataFrame, width: int = 100, as_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 100, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """Each row's doc_id, tie, n_bytes, n_removed, n_spans, spans (byte ranges) and kept (bytes).
 
     With ``as_text`` kept is a string; what is left of characters that are cut goes.
@@ -492,9 +512,12 @@ def deduplicated(docs: DataFrame, width: int = 100, as_text: bool = False) -> Da
         return partition_map(df.repartition("part"), lambda t: (x for rows in _grouped(t) if (x := fn(rows))["part"]), PARTS)
 
     marks = arrow_map(texts, lambda b: mark(*batch_of(b), width, names), PARTS)
-    marks = stored(over(marks, lambda rows: met(rows, names)), "marks")
+    marks = stored(over(marks, lambda rows: met(rows, names, hot)), "marks")
+    most = marks.where(F.col("kind") == HOTS).orderBy(F.desc("part"), "packed").limit(MOST_HOT).select("packed").collect()
+    hottest = frozenset(int.from_bytes(r.packed, "little") for r in most)
+    marks = marks.where(F.col("kind") == MARKS)
     whole = arrow_map(texts, lambda b: text_rows(*batch_of(b), names), PARTS)
-    cut = over(marks.union(whole), lambda rows: strips(rows, width, names))
+    cut = over(marks.union(whole), lambda rows: strips(rows, width, names, hottest))
     found = stored(over(cut, lambda rows: sorted_part(rows, width, names)), "repeats")
     last = marks.union(found).union(whole)
     schema = "doc_id long, tie long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept " + ("string" if as_text else "binary")

@@ -260,12 +260,11 @@ def planted(n=60, seed=7):
 
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 3])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_suffix_dedup_equals_brute_force(spark, hot):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     expected = slow_dedup(rows)
-    got = suffix.deduplicated(df).collect()
+    got = suffix.deduplicated(df, hot=hot).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id], r.doc_id
