@@ -5,7 +5,7 @@ minimise a loss in which error along the vector, which changes large inner produ
 ``eta`` times error across it. A query's tables of part products are scanned over the codes,
 two codes to a byte, and the best of a block are ranked again by the exact inner product.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors (the smallest by hash of vec_id); every
+The codebooks are fitted on at most ``SAMPLE`` vectors, by hash of vec_id; every
 vector is coded. Queries and candidates meet block by block, ``BLOCK`` candidates and
 ``QUERIES`` queries at a time; each block gives its ``RERANK`` best by code, and all that are
 level with the last, to the exact ranking.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, partition_map, stored
+from plumbline.llm.common import arrow_map, hashed_sample, partition_map, stored
 from plumbline.llm.vectors import matrix, usable, vectors
 
 WIDTH, CODES = 2, 16
@@ -122,7 +122,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """
     spark = df.sparkSession
     rows = vectors(df).where(F.col("vec_id").isNotNull() & usable("vector")).withColumn("_query", F.coalesce(is_query, F.lit(False)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
+    sample = hashed_sample(rows, "vec_id", SAMPLE).select("vector").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)

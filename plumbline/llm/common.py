@@ -132,6 +132,18 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df`` by the hash of a key column: all if there are no more.
+
+    Else nine tenths of ``most`` are expected; the hash decides in each task, so tasks send
+    no more than what is kept.
+    """
+    n = df.count()
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(99)), F.lit(1 << 40)) < int(0.9 * most / n * (1 << 40)))
+    return df.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def numbered(df: DataFrame, group: list[str], order: list, name: str, salts: int = 64) -> DataFrame:
     """Number the rows of each group from 0, with a third of all rows in one group or not.
 

@@ -9,7 +9,7 @@ Gumbel noise, which hangs on doc_id and text only, so a lost task draws the same
 How many are drawn follows from the labels: ``threshold`` is the log weight that parts good
 and bad labelled documents best, on those labelled that the target model hasn't seen, and as many are drawn as all documents have log weights
 from it on. The models' target and the threshold are fitted on at most ``LABELLED`` labelled
-rows (the smallest by hash of doc_id); counts, weights and the draw cover all documents.
+rows (by hash of doc_id); counts, weights and the draw cover all documents.
 
 Cases: a null text is an empty text, and texts without words have weight 0; repeated rows get
 equal keys and are drawn or not together, as are all that are level with the last one drawn;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, doc_texts, stored
+from plumbline.llm.common import arrow_map, doc_texts, hashed_sample, stored
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -98,7 +98,7 @@ def weighed(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled
         F.max("quality").alias("_any"),
     )
     # toxic good prose is neither a target nor a bad example
-    marks = marks.where("label = 1 or _any = 0").orderBy(F.xxhash64("_doc"), "_doc").limit(labelled).select("_doc", "label", F.pmod(F.xxhash64("_doc", F.lit(SEED)), F.lit(2)).cast("int").alias("fold"))
+    marks = hashed_sample(marks.where("label = 1 or _any = 0"), "_doc", labelled).select("_doc", "label", F.pmod(F.xxhash64("_doc", F.lit(SEED)), F.lit(2)).cast("int").alias("fold"))
     sample = spark.createDataFrame(marks.collect(), "_doc long, label int, fold int")  # at most ``labelled`` rows
     texts = doc_texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "label", "fold")
     ratio = log_ratio(counts(texts.withColumn("label", F.when(F.col("fold") == 0, F.col("label"))), buckets).collect(), buckets)  # at most two rows for each bucket
