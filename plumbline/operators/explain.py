@@ -34,7 +34,8 @@ class LinearShap:
 def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFrame], metric: Callable[[DataFrame], float], features: list[str], key: str, shuffles: int = 5, seed: int = 42) -> DataFrame:
     """feature, importance: the mean drop of ``metric`` when a column's values change rows.
 
-    Values are dealt anew by pairing two orders of hashes of the key.
+    Values are dealt anew by pairing two orders of hashes of the key. An exact permutation numbers
+    the rows in one order, so pass a validation set, not facts.
     """
     base, rows = metric(predict(df)), []
     for f in features:

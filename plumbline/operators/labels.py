@@ -7,8 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import mean_rank
-
 REPLACEMENT = -2.0
 # The proxy's weights per 100 possessions and its shooting term.
 WEIGHTS = {"pts_per100": 0.10, "ast_per100": 0.10, "oreb_per100": 0.07, "dreb_per100": 0.04, "stl_per100": 0.20, "blk_per100": 0.12, "tov_per100": -0.18}
@@ -148,7 +146,3 @@ def honors_from_frame(df: DataFrame) -> DataFrame:
 def load_honors(spark, path: str) -> DataFrame:
     """``honors_from_frame`` of a CSV file with a header."""
     return honors_from_frame(spark.read.csv(path, header=True, schema="player_id long, all_star_count long, all_nba_count long"))
-
-
-def peak_percentile(df: DataFrame, column: str) -> Column:
-    return F.round(mean_rank(F.col(column)) / F.count(F.lit(1)).over(Window.partitionBy()), 4)

@@ -165,4 +165,9 @@ def team_fit(prospects: DataFrame, roster: DataFrame, payroll: DataFrame, cap: C
     out = out.withColumns({"rsv_usd": real_surplus(F.col("vorp"), F.col("pick"), cap), "apron_label": label, "_times": times})
     out = out.withColumn("rsv_modulated_usd", F.round(F.col("rsv_usd") * F.col("_times"), 2))
     out = out.withColumns({"_b": clip(50.0 + 100.0 * F.col("net") + 5.0 * F.col("delta"), 0, 100), "_f": 50.0 * (1.0 + F.tanh(F.col("rsv_modulated_usd") / 30_000_000.0))})
+    story = F.format_string(
+        "Taking the place of %s moves the net rating from %+.1f to %+.1f (%+.1f per 100). Synergy net %+.2f (fills needs %.2f, overlaps %.2f). Surplus of $%,.0f over the rookie deal, x%.2f (%s): $%,.0f. Exploratory.",
+        "replaced", "before", "after", "delta", "net", "complementarity", "redundancy", "rsv_usd", "_times", "apron_label", "rsv_modulated_usd",
+    )
+    out = out.withColumns({"is_good_fit": F.col("net") > 0, "narrative": story})
     return out.withColumns({"basketball_fit": F.round("_b", 1), "financial_fit": F.round("_f", 1), "overall": F.round(basketball_weight * F.col("_b") + (1 - basketball_weight) * F.col("_f"), 1)}).drop("_b", "_f", "_times")
