@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from plumbline.functions.names import name_match_key, normalize_league
+from plumbline.functions.workers import importable
 
 ADVANCED = ["true_shooting", "usage", "bpm_college", "strength_of_schedule"]
 COMBINE = ["wingspan_in", "standing_reach_in", "max_vertical_in", "lane_agility_s", "body_fat_pct"]
@@ -76,6 +77,7 @@ def resolve_entities(sources: list[DataFrame], threshold: float = 0.88, similari
     ``threshold`` alike and birth dates that don't conflict are joined, transitively. Each
     person's id hangs on its smallest (key, year) only, not on the order of records.
     """
+    importable(sources[0].sparkSession)
     keyed = []
     for s in sources:
         birth = F.col("birthdate").cast("string") if "birthdate" in s.columns else F.lit(None).cast("string")
