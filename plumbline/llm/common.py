@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.functions.workers import importable
+
 #: Rows and bytes of one Arrow batch: bounds the memory of a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -65,7 +67,8 @@ def release(spark: SparkSession) -> None:
 
 
 def batched(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get."""
+    """Bound the Arrow batches that Python workers get, and let workers import this package."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -144,6 +147,11 @@ def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(most)
 
 
+def salts_for(rows: int) -> int:
+    """Salts that leave about a million rows to each, were all in one group."""
+    return max(64, -(-rows // 1_000_000))
+
+
 def numbered(df: DataFrame, group: list[str], order: list, name: str, salts: int = 64) -> DataFrame:
     """Number the rows of each group from 0, with a third of all rows in one group or not.
 

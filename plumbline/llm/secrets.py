@@ -20,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import doc_texts, stored
+from plumbline.llm.common import doc_texts
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 # re._parser is the parser behind the standard library's re module.
