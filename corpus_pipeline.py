@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import hamming, packing, quality, secrets, suffix
-from plumbline.llm.common import stored
+from plumbline.llm.common import aside, stored
 from plumbline.llm.queries import BPE, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier draws."""
+    docs, back = aside(docs, ["doc_id", "text"])
     rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     found = quality.resampled(docs, table(spark, sf_dir, "labels"))
     kept = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.crc32(F.col("_text").cast("binary")) == F.col("_draw"))
-    return rows.join(kept, same, "left_semi").select(*docs.columns)
+    return back(rows.join(kept, same, "left_semi"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +30,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a doc_id stay; of rows with equal doc_id and text one stays.
     """
+    docs, back = aside(docs, ["doc_id", "text"])
     found = hamming.near_duplicates(docs).where("component_id <> doc_id")
     again = found.select(F.col("doc_id").alias("_id")).distinct()
     once = docs.join(again, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
-    return once if repeated.isEmpty() else once.dropDuplicates(["doc_id", "text"])
+    return back(once if repeated.isEmpty() else once.dropDuplicates(["doc_id", "text"]))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +43,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes, unless it was empty before.
     """
+    docs, back = aside(docs, ["doc_id", "text", "n_chars"])
     found = suffix.deduplicated(docs, as_text=True).where("n_removed > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tie"])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & ((F.col("_tie") == 0) | (F.col("_tie") == F.crc32(F.col("text").cast("binary"))))
@@ -48,7 +51,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = joined.withColumn("text", F.coalesce("_kept", "text")).where("_kept is null or length(text) > 0")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return back(done)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

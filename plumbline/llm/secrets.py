@@ -20,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import doc_texts
+from plumbline.llm.common import aside, doc_texts
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 # re._parser is the parser behind the standard library's re module.
@@ -189,8 +189,9 @@ def _spans(rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """All columns of ``docs`` and ``_text``, ``_found``: an array of (start, kind, end), sorted.
 
-    kind is the rule's place in ``rules``; starts and ends count code points.
+    Columns of ``docs`` with these names, ``_key``, ``_doc`` or ``_rules`` go (``aside`` keeps them). kind is the rule's place in ``rules``; starts and ends count code points.
     """
+    docs = docs.drop("_text", "_found", "_key", "_doc", "_rules")
     rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     marked = candidates(doc_texts(docs), rules).select(F.col("doc_id").alias("_doc"), F.col("rules").alias("_rules"))
     wanted = rows.join(marked, F.col("_key").eqNullSafe(F.col("_doc")), "left")
@@ -222,7 +223,8 @@ def redacted(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[secret]")
 
     clean = F.aggregate("_found", begun, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
     hit = F.size("_found") > 0
+    docs, back = aside(docs, ["doc_id", "text", "n_chars"])
     done = scan(docs, rules).withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return back(done)
