@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, numbered, partition_map, stored
+from plumbline.llm.common import arrow_map, numbered, partition_map, salts_for, stored
 from plumbline.llm.graph import components, lowest
 from plumbline.llm.vectors import matrix, usable, vectors
 
@@ -95,7 +95,7 @@ def _block(table: pa.Table, least: float) -> list[dict]:
         rows = order[a:b]
         if b - a < 2:
             continue
-        x = np.stack([flat[offset[r] : offset[r + 1]] for r in rows.tolist()])
+        x = np.stack([flat[offset[r] : offset[r + 1]] for r in rows.tolist()]).astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
         u = x / norm[:, None]
         links, pairs = np.zeros(b - a, np.int64), []
@@ -125,11 +125,13 @@ def _block(table: pa.Table, least: float) -> list[dict]:
 
 def near_duplicates(df: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of ``df`` (vec_id, embedding)."""
-    rows = vectors(df).withColumn("_usable", usable("vector"))
+    kind = df.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats stay floats until they are compared
+    rows = vectors(df).withColumn("vector", F.col("vector").cast(kind)).withColumn("_usable", usable("vector"))
     fine = rows.where("_usable")
     classes = stored(fine.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    classes = stored(numbered(classes, [], ["vector"], "cid"), "classes")
-    hashed = stored(arrow_map(classes.select("cid", "n", "vector"), _hash, "cid long, n long, vector array<double>, keys array<long>"), "hashed")
+    classes = stored(numbered(classes, [], ["vector"], "cid", salts_for(classes.count())), "classes")
+    hashed = stored(arrow_map(classes.select("cid", "n", "vector"), _hash, f"cid long, n long, vector {kind}, keys array<long>"), "hashed")
     large = hashed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     spread = hashed.select("cid", "n", "vector", "keys", F.explode("keys").alias("key")).join(large, "key")
     own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")

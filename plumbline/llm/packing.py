@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, doc_texts, numbered, stored
+from plumbline.llm.common import arrow_map, doc_texts, numbered, salts_for, stored
 from plumbline.llm.tokenizer import ByteBPE
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -137,7 +137,7 @@ def pack(cut_pieces: DataFrame, most: int = 2048) -> DataFrame:
     spark = cut_pieces.sparkSession
     histogram = {r.length: r.n for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.createDataFrame(plan(histogram, most), "length long, _rank long, _n long, _sequence long, _each long, _offset long")
-    ranked = numbered(cut_pieces, ["length"], ["doc_id", "piece"], "_k")
+    ranked = numbered(cut_pieces, ["length"], ["doc_id", "piece"], "_k", salts_for(sum(histogram.values())))
     fits = (ranked["length"] == slots["length"]) & (F.col("_k") >= F.col("_rank")) & (F.col("_k") < F.col("_rank") + F.col("_n"))
     at = F.col("_k") - F.col("_rank")
     return ranked.join(F.broadcast(slots), fits).select(
