@@ -87,7 +87,7 @@ class ByteBPE:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PIECES)
         self.cuts = regex.compile(rf" (?=[^{SPACE}])")
-        self.opens = regex.compile(rf"[{SPACE}]")
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if regex.match(rf"[{SPACE}]", c))
         self.words = Cache(self.word)
         self.chunks = Cache(self.chunk)
 
@@ -124,7 +124,7 @@ class ByteBPE:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a space and ``chunk``, which runs to the text's next single space."""
-        if not chunk or self.opens.match(chunk):
+        if not chunk or chunk[0] in self.white:
             raise Odd
         return self.span(" " + chunk)
 
