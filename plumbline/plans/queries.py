@@ -435,9 +435,9 @@ def served_board(spark, d):
 
 @query()
 def team_fit_board(spark, d):
-    """A class with every team: fit scores and their parts."""
+    """Every player with every team: fit scores and their parts."""
     p = _players(spark, d)
-    pool = p.where("player_id % 50 = 0").select("player_id", "impact", F.greatest("impact", F.lit(0.0)).alias("vorp"), (1 + F.col("player_id") % 60).alias("pick"), *team_fit.SKILLS)
+    pool = p.select("player_id", "impact", F.greatest("impact", F.lit(0.0)).alias("vorp"), (1 + F.col("player_id") % 60).alias("pick"), *team_fit.SKILLS)
     payroll = table(spark, d, "supplier").where("s_suppkey < 25").select(F.col("s_suppkey").alias("team_id"), (195_000_000 + F.col("s_acctbal") * 3500).alias("total_salary"))
     return team_fit.team_fit(pool, p, payroll)
 

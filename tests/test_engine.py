@@ -98,6 +98,14 @@ def test_entities(spark):
     assert cleaning.resolve_entities([df])[1].count() == 1
 
 
+def test_every_player_meets_every_team(spark):
+    from plumbline.plans import registry
+
+    players = registry.table(spark, "/root/testdata/sf0.001", "customer").count()
+    board = registry.queries()["team_fit_board"](spark, "/root/testdata/sf0.001")
+    assert board.count() == 25 * players and board.select("player_id").distinct().count() == players
+
+
 def test_master(spark, tmp_path):
     college, abroad, combine = fixtures.multisource(spark)
     a = cleaning.build_master([college, abroad], combine, str(tmp_path))
