@@ -39,16 +39,19 @@ def edit_similarity(a: Column, b: Column) -> Column:
 def fuzzy_links(keys: DataFrame, threshold: float, similarity=ratio) -> DataFrame:
     """(a, b): entities of one block whose keys are at least ``threshold`` alike and whose birth dates agree.
 
-    keys: entity, match_key, draft_year, birthdate. Pairs need two thirds of the threshold's
-    letters in common, so lengths and first or last tokens bring candidates together: a pair
-    shares a block only by year and one of its tokens' first two letters.
+    keys: entity, match_key, draft_year, birthdate. All pairs of a year are compared whose lengths
+    and letter counts allow the threshold: neither difflib's ratio nor the edit similarity exceeds
+    twice the letters in common over both lengths.
     """
-    blocked = keys.withColumn("_token", F.explode(F.array_distinct(F.transform(F.split("match_key", " "), lambda t: F.substring(t, 1, 2)))))
-    one = lambda s: blocked.select(*(F.col(c).alias(f"{c}_{s}") for c in ("entity", "match_key", "draft_year", "birthdate", "_token")))
+    letters = F.array(*(F.length("match_key") - F.length(F.translate("match_key", c, "")) for c in "abcdefghijklmnopqrstuvwxyz"))
+    counted = keys.withColumn("_letters", letters).withColumn("_rest", F.length("match_key") - F.aggregate("_letters", F.lit(0), lambda x, y: x + y))
+    one = lambda s: counted.select(*(F.col(c).alias(f"{c}_{s}") for c in ("entity", "match_key", "draft_year", "birthdate", "_letters", "_rest")))
     a, b = one("a"), one("b")
     la, lb = F.length("match_key_a"), F.length("match_key_b")
-    near = (F.col("draft_year_a") == F.col("draft_year_b")) & (F.col("_token_a") == F.col("_token_b")) & (F.col("entity_a") < F.col("entity_b"))
-    near = near & (2 * F.least(la, lb) >= threshold * (la + lb))
+    common = F.least("_rest_a", "_rest_b") + F.aggregate(F.zip_with("_letters_a", "_letters_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    need = threshold * (la + lb) - 1e-9
+    near = (F.col("draft_year_a") == F.col("draft_year_b")) & (F.col("entity_a") < F.col("entity_b"))
+    near = near & (2 * F.least(la, lb) >= need) & (2 * common >= need)
     fits = F.col("birthdate_a").isNull() | F.col("birthdate_b").isNull() | (F.col("birthdate_a") == F.col("birthdate_b"))
     pairs = a.join(b, near & fits).select("entity_a", "entity_b", "match_key_a", "match_key_b").distinct()
     return pairs.where(similarity(F.col("match_key_a"), F.col("match_key_b")) >= threshold).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))

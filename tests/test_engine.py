@@ -98,6 +98,14 @@ def test_entities(spark):
     assert cleaning.resolve_entities([df])[1].count() == 1
 
 
+def test_links_need_no_common_first_letters(spark):
+    names = ["mcdermottson", "macdermottson", "ognjenovic", "gnjenovic", "someone else"]
+    keys = rows(spark, [(n, n, 2018, None) for n in names], "entity string, match_key string, draft_year long, birthdate string")
+    for similarity in (cleaning.ratio, cleaning.edit_similarity):
+        got = {(r.a, r.b) for r in cleaning.fuzzy_links(keys, 0.88, similarity).collect()}
+        assert got == {("macdermottson", "mcdermottson"), ("gnjenovic", "ognjenovic")}
+
+
 def test_every_player_meets_every_team(spark):
     from plumbline.plans import registry
 
