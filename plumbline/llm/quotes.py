@@ -2,7 +2,8 @@
 
 A message's lines begin with any number of ``>``, its quote level. Neighbouring lines of one
 level are a passage. A quoted passage and each of its lines are normalised and hashed, and so
-are the own passages and lines of all messages; equal hashes link. The original is the first
+are the own passages and lines of all messages, of any length; equal hashes link. Only lines of
+under ``LEAST`` characters in a quote of several lines don't: they are the quote's ``}`` or ``ok``. The original is the first
 message that holds the passage: in the same conversation, before the quoting message, or else
 the first of all conversations. A message's parent is the original, in its own conversation,
 of its shallowest quote that has one. Messages linked by parents are a thread; threads come in
@@ -30,7 +31,8 @@ from plumbline.llm.common import arrow_map, stored
 from plumbline.llm.graph import components
 
 _LEVEL = re.compile(r"(?:[ \t]*>)*")
-#: Shorter normalised passages are too common to tell a message by.
+#: Shorter lines of a quote of several lines are too common to tell a message by, and shorter
+#: passages count after longer ones of their level.
 LEAST = 12
 
 
@@ -39,9 +41,8 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def key_of(text: str) -> int | None:
-    text = normalised(text)
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63) if len(text) >= LEAST else None
+def key_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(normalised(text).encode()) - (1 << 63)
 
 
 def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -64,13 +65,14 @@ def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
     return clean, [(level, "\n".join(lines)) for level, lines in passages]
 
 
-def keys_of(passage: str) -> list[int]:
-    """Hashes of a passage and of its lines."""
-    return [k for k in dict.fromkeys([key_of(passage), *map(key_of, passage.split("\n"))]) if k is not None]
+def keys_of(passage: str, quoted: bool) -> list[tuple[int, bool]]:
+    """(hash, whether it is short) of a passage and of its lines; short lines of a longer quote are left out."""
+    texts = list(dict.fromkeys(map(normalised, [passage, *passage.split("\n")])))
+    return [(key_of(t), len(t) < LEAST) for i, t in enumerate(texts) if i == 0 or not quoted or len(t) >= LEAST]
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own_text, levels and keys (level, key) of each message."""
+    """conv_id, turn, role, own_text, levels and keys (level, key, short) of each message."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -80,10 +82,10 @@ def passages(messages: DataFrame) -> DataFrame:
             out["own_text"].append(own)
             out["n_quotes"].append(sum(level > 0 for level, _ in found))
             out["levels"].append(max([level for level, _ in found], default=0))
-            out["keys"].append([{"level": level, "key": k} for level, passage in found for k in keys_of(passage)])
+            out["keys"].append([{"level": level, "key": k, "short": short} for level, passage in found for k, short in keys_of(passage, level > 0)])
         return {c: batch[c] for c in ("conv_id", "turn", "role")} | out
 
-    return arrow_map(rows, run, "conv_id long, turn long, role string, own_text string, n_quotes int, levels int, keys array<struct<level:int,key:long>>")
+    return arrow_map(rows, run, "conv_id long, turn long, role string, own_text string, n_quotes int, levels int, keys array<struct<level:int,key:long,short:boolean>>")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -108,7 +110,7 @@ def linked(messages: DataFrame) -> DataFrame:
     first message; position: from 0 in the conversation's reply order.
     """
     rows = stored(passages(messages), "passages")
-    keys = rows.select("conv_id", "turn", F.explode("keys").alias("k")).select("conv_id", "turn", "k.level", "k.key")
+    keys = rows.select("conv_id", "turn", F.explode("keys").alias("k")).select("conv_id", "turn", "k.level", "k.key", "k.short")
     own = keys.where("level = 0")
     first = own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
     first_here = own.groupBy(F.col("conv_id").alias("_conv"), F.col("key").alias("_key")).agg(F.min("turn").alias("here"))
@@ -116,8 +118,8 @@ def linked(messages: DataFrame) -> DataFrame:
     here = quoted.join(first_here, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("key") == F.col("_key")), "left").withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here")))
     found = here.join(first, "key", "left").withColumn("any", F.when(F.col("here").isNotNull(), F.struct("conv_id", F.col("here").alias("turn"))).when(~(F.col("any.conv_id").eqNullSafe(F.col("conv_id")) & (F.col("any.turn") >= F.col("turn"))), F.col("any")))
     links = found.groupBy("conv_id", "turn").agg(
-        F.min(F.when(F.col("here").isNotNull(), F.struct("level", (-F.col("here")).alias("turn")))).alias("parent"),
-        F.min(F.when(F.col("any").isNotNull(), F.struct("level", "any"))).alias("original"),
+        F.min(F.when(F.col("here").isNotNull(), F.struct("level", "short", (-F.col("here")).alias("turn")))).alias("parent"),
+        F.min(F.when(F.col("any").isNotNull(), F.struct("level", "short", "any"))).alias("original"),
     )
     links = stored(links.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), (-F.col("parent.turn")).alias("parent_turn"), F.col("original.any.conv_id").alias("original_conv"), F.col("original.any.turn").alias("original_turn")), "links")
     edges = links.where("parent_turn is not null").select(F.struct(F.col("_c").alias("conv_id"), F.col("_t").alias("turn")).alias("a"), F.struct(F.col("_c").alias("conv_id"), F.col("parent_turn").alias("turn")).alias("b"))

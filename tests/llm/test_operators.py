@@ -527,6 +527,21 @@ def test_reply_order(spark):
     assert quotes.linked(df.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    m = [
+        (1, 0, "user", "Shall I go on, or is that enough?"),
+        (1, 1, "assistant", "yes please"),
+        (1, 2, "user", "好的，谢谢。\nok, more"),
+        (1, 3, "assistant", "> Yes  please\nOn it goes."),
+        (1, 4, "assistant", "> 好的，谢谢。\nNot at all."),
+        (1, 5, "user", "> Shall I go on, or is that enough?\n\n> ok, more\nEnough."),
+        (2, 0, "user", "> ok, more\nElsewhere."),
+    ]
+    rows = quotes.linked(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.parent_turn for r in rows if r.conv_id == 1} == {0: None, 1: None, 2: None, 3: 1, 4: 2, 5: 0}
+    assert [(r.original_conv, r.original_turn) for r in rows if r.conv_id == 2] == [(1, 2)]
+
+
 def test_hash_of_kept_bytes(spark):
     df = spark.createDataFrame([(1, "short")], "doc_id long, text string")
     row = suffix.deduplicated(df).select(F.sha2("kept", 256).alias("h")).first()
