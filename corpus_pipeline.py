@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import hamming, packing, quality, secrets, suffix
+from plumbline.llm import packing, quality, secrets, similar, suffix
 from plumbline.llm.common import aside, stored
 from plumbline.llm.queries import BPE, table
 
@@ -28,12 +28,14 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id.
 
+    Near copies share four fifths of their five-word shingles or more; op5's fingerprints have
+    no bound of bits that all of those keep, so ``similar`` finds them from the shingles.
     Documents without a doc_id stay; of rows with equal doc_id and text one stays.
     """
     docs, back = aside(docs, ["doc_id", "text"])
-    found = hamming.near_duplicates(docs).where("component_id <> doc_id")
-    again = found.select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.join(again, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    again = similar.similar_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    tie = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    once = docs.join(again, (F.col("doc_id").cast("long") == F.col("_id")) & (tie == F.col("_tie")), "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null")
     return back(once if repeated.isEmpty() else once.dropDuplicates(["doc_id", "text"]))
 

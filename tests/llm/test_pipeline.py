@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plumbline.llm import similar
 from plumbline.llm.packing import Fast
 from plumbline.llm.queries import BPE
 
@@ -85,3 +86,36 @@ def test_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("sample", [8192, 0])
+def test_edited_copies_go(spark, folder, monkeypatch, sample):
+    """Planted copies with edits: those within similarity 0.8 are one group, others stay; hot or not."""
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+
+    def edit(words, k):
+        at = set(rng.sample(range(len(words)), min(k, len(words))))
+        return [f"e{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+    base = [text(n) for n in (1, 3, 8, 30, 60, 100, 200, 400)]
+    hot = text(80)
+    docs = [*base, *(edit(b, 1) for b in base), *(edit(b, 3) for b in base), *(edit(b, 10) for b in base[5:]), *(edit(hot, rng.randrange(4)) for _ in range(60))]
+    docs += [hot + text(90) for _ in range(20)] + [b + text(5) for b in base]
+    docs = [" ".join(w) for w in docs]
+    cut = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) or {t} for t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(cut[i] & cut[j]) >= 4 * len(cut[i] | cut[j])]
+    root = list(range(len(docs)))
+    for _ in root:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in enumerate(docs)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, df, folder).collect()}
+    assert len(near) > 100 and kept == {k for k, r in enumerate(root) if k == r}
+
+
+def test_other_text_of_a_copys_id_stays(spark, folder):
+    rows = [(1, "one text of two"), (2, "one text of two"), (2, "quite another text of the id")]
+    df = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], SCHEMA)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, df, folder).collect()} == {rows[0], rows[2]}
