@@ -1,35 +1,40 @@
 """Maximum inner product search by score-aware (anisotropic) product quantisation.
 
-A vector is cut in ``WIDTH``-dimensional parts, each coded by four bits. Codes and codebooks
-minimise a loss in which error along the vector, which changes large inner products, weighs
-``eta`` times error across it. A query's tables of part products are scanned over the codes,
-two codes to a byte, and the best of a block are ranked again by the exact inner product.
+Each dimension of a vector is coded by four bits. Codes and codebooks minimise a loss in which
+error along the vector, which changes large inner products, weighs ``eta`` times error across
+it. A query's tables of products are scanned over the codes of every candidate, two codes to a
+byte; the ``RERANK`` best of a query by code are ranked again by the exact inner product.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors, by hash of vec_id; every
-vector is coded. Queries and candidates meet block by block, ``BLOCK`` candidates and
-``QUERIES`` queries at a time; each block gives its ``RERANK`` best by code, and all that are
-level with the last, to the exact ranking.
+The codebooks of each vector length are fitted on at most ``SAMPLE`` vectors, by hash; every
+vector is coded. Only codes and queries meet in the scan, ``BLOCK`` candidates and ``QUERIES``
+queries at a time; vectors are joined to what is left, once for each ``QUERIES`` queries.
+
+Rows with equal vec_id and vector are one row. Equal vectors are one candidate with their
+``k`` + 1 smallest ids, which is all that a query can ask of them, so copies of any number cost
+no more than one. Rows with equal vec_id and other vectors are queries of their own.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
-nor those of another length than most of the sample; candidates with a query's own vec_id are
-left out; ties go to the smaller vec_id; rows with a null vec_id take no part; fewer candidates
-than asked for are all returned; an empty table gives an empty table.
+nor rows with a null vec_id; queries and candidates of different lengths don't meet; candidates
+with a query's own vec_id are left out; ties go to the smaller vec_id; fewer candidates than
+asked for are all returned; an empty table gives an empty table; further columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, hashed_sample, partition_map, stored
+from plumbline.llm.common import arrow_map, grouped_map, hashed_sample, stored
 from plumbline.llm.vectors import matrix, usable, vectors
 
-WIDTH, CODES = 2, 16
-SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16384, 1024, 1024
+WIDTH, CODES = 1, 16
+SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16384, 1024, 256
+#: Queries whose tables are scanned at once.
+TOGETHER = 32
 #: Inner products under this share of the norm don't count in the loss.
 THRESHOLD = 0.2
 
@@ -93,75 +98,122 @@ class Quantiser:
         return codes[:, ::2] | codes[:, 1::2] << 4
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """For each pair of parts, the products of ``q`` with all 256 pairs of centroids."""
-        one = np.einsum("mkw,mw->mk", self.books, self._cut(q[None])[0])
-        one = np.pad(one, ((0, self.parts % 2), (0, 0)))
-        return (one[1::2, :, None] + one[::2, None, :]).reshape(-1, CODES * CODES).astype(np.float32)
-
-
-def scan(quantiser: Quantiser, codes: np.ndarray, ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the ``k`` best of a block: a scan of the codes, then exact products."""
-    approx = np.zeros(len(ids), np.float32)
-    for t, c in zip(quantiser.tables(q), codes.T, strict=True):
-        approx += t[c]
-    approx[ids == query_id] = -np.inf
-    if len(ids) > rerank:
-        best = np.flatnonzero(approx >= np.partition(approx, len(ids) - rerank)[len(ids) - rerank])
-    else:
-        best = np.arange(len(ids))
-    best = best[ids[best] != query_id]
-    score = x[best] @ q
-    order = np.lexsort((ids[best], -score))[:k]
-    return ids[best][order], score[order]
+        """For each pair of parts and of centroids, its product with each of ``q``: (parts / 2, 256, queries)."""
+        one = np.einsum("mkw,qmw->mkq", self.books, self._cut(q))
+        one = np.pad(one, ((0, self.parts % 2), (0, 0), (0, 0)))
+        return (one[1::2, :, None] + one[::2, None, :]).reshape(-1, CODES * CODES, len(q)).astype(np.float32)
+
+
+def scan(quantiser: Quantiser, codes: np.ndarray, q: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, approximate scores), a row for each of ``q``: its ``rerank`` best candidates by code."""
+    few, n = min(rerank, len(codes)), len(codes)
+    at, score = np.empty((len(q), few), np.int64), np.empty((len(q), few), np.float32)
+    codes = np.ascontiguousarray(codes.T)
+    for s in range(0, len(q), TOGETHER):
+        tables = quantiser.tables(q[s : s + TOGETHER])
+        total = tables[0][codes[0]]
+        got = np.empty_like(total)
+        for t, c in zip(tables[1:], codes[1:], strict=True):
+            total += np.take(t, c, axis=0, out=got)
+        for i, row in enumerate(np.ascontiguousarray(total.T), s):
+            best = np.argpartition(row, n - few)[n - few :] if few < n else np.arange(n)
+            at[i], score[i] = best, row[best]
+    return at, score
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The inner products of the rows of ``x`` and ``y``, summed from the first dimension to the last."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, y.T, strict=True):
+        total += a * b
+    return total
+
+
+def _nearest(table: pa.Table, k: int) -> dict:
+    """The ``k`` nearest of each query of a group, from its candidates' vectors."""
+    asked = table.filter(pc.is_valid(table["cids"]))
+    held = table.filter(pc.is_null(table["cids"]))
+    place = {c: i for i, c in enumerate(held["id"].to_pylist())}
+    x, y, ids = matrix(held["vector"]), matrix(asked["vector"]), held["ids"].to_pylist()
+    out = {"query_id": [], "rank": [], "vec_id": [], "score": []}
+    for q, (own, cids) in enumerate(zip(asked["vec_id"].to_pylist(), asked["cids"].to_pylist(), strict=True)):
+        at = np.array([place[c] for c in cids])
+        score = products(x[at], np.broadcast_to(y[q], (len(at), y.shape[1])))
+        # of a candidate, copies with the query's own id are left out
+        found = sorted((-v, i) for v, c in sorted(zip(score.tolist(), at.tolist(), strict=True), reverse=True) for i in ids[c] if i != own)[:k]
+        out["query_id"] += [own] * len(found)
+        out["rank"] += range(1, len(found) + 1)
+        out["vec_id"] += [i for _, i in found]
+        out["score"] += [-v for v, _ in found]
+    return out
 
 
 def search(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest of each row for which ``is_query`` holds.
 
-    ``df`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
+    ``df`` has vec_id and embedding; ``is_query`` is a condition on vec_id. The driver holds a
+    sample of ``SAMPLE`` vectors, and a count for each length that occurs.
     """
     spark = df.sparkSession
-    rows = vectors(df).where(F.col("vec_id").isNotNull() & usable("vector")).withColumn("_query", F.coalesce(is_query, F.lit(False)))
-    sample = hashed_sample(rows, "vec_id", SAMPLE).select("vector").collect()
+    kind = df.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats stay floats until they are compared
+    rows = vectors(df).withColumn("vector", F.col("vector").cast(kind)).where(F.col("vec_id").isNotNull() & usable("vector"))
+    lowest = Window.partitionBy("vector").orderBy("vec_id")
+    few = rows.distinct().withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= k + 1)
+    classes = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "vector", "ids"), "classes")
+    asked = rows.where(F.coalesce(is_query, F.lit(False))).distinct()
+    asked = stored(asked.select(F.monotonically_increasing_id().alias("id"), "vec_id", "vector"), "asked")
+
+    def sizes(table: DataFrame) -> dict[int, int]:
+        return {r.d: r.n for r in table.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    n, m = sizes(classes), sizes(asked)
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    if not m:
         return spark.createDataFrame([], schema)
-    dim = Counter(len(r.vector) for r in sample).most_common(1)[0][0]
-    quantiser = Quantiser(np.array([r.vector for r in sample if len(r.vector) == dim]))
-    rows = rows.where(F.size("vector") == dim)
+    fitted = {d: Quantiser(np.array([r.vector for r in hashed_sample(classes.where(F.size("vector") == d), "id", SAMPLE).select("vector").collect()])) for d in sorted(m)}
 
     def code(batch: pa.RecordBatch) -> dict:
-        x = matrix(batch["vector"])
-        return {"vec_id": batch["vec_id"], "vector": batch["vector"], "_query": batch["_query"], "codes": [c.tobytes() for c in quantiser.encode(x)]}
-
-    coded = stored(arrow_map(rows, code, "vec_id long, vector array<double>, _query boolean, codes binary"), "codes")
-    n = coded.agg(F.count(F.lit(1)), F.count(F.when(F.col("_query"), 1))).first()
-    blocks, groups = max(1, -(-n[0] // BLOCK)), max(1, -(-n[1] // QUERIES))
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    base = coded.select("vec_id", "vector", "codes", "_query")
-    candidates = base.select("vec_id", "vector", "codes", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(groups).alias("group"))
-    asked = base.where("_query").select("vec_id", "vector", F.lit(None).cast("binary").alias("codes"), every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"))
-
-    def meet(table: pa.Table):
-        block, group = table["block"].to_numpy(), table["group"].to_numpy()
-        ids, x = table["vec_id"].to_numpy(), matrix(table["vector"])
-        codes, is_candidate = table["codes"].to_pylist(), table["codes"].is_valid().to_numpy()
-        for b, g in sorted(set(zip(block.tolist(), group.tolist(), strict=True))):
-            here = (block == b) & (group == g)
-            c, q = np.flatnonzero(here & is_candidate), np.flatnonzero(here & ~is_candidate)
-            packed = np.frombuffer(b"".join([codes[r] for r in c.tolist()]), np.uint8).reshape(len(c), -1)
-            packed = np.asfortranarray(packed)
-            out = {"query_id": [], "vec_id": [], "score": []}
-            own_ids, own_x = ids[c], x[c]
-            for r in q.tolist() if len(c) else []:
-                found, score = scan(quantiser, packed, own_ids, own_x, int(ids[r]), x[r], k, RERANK)
-                out["query_id"] += [int(ids[r])] * len(found)
-                out["vec_id"] += list(found)
-                out["score"] += list(score)
-            yield out
-
-    met = partition_map(candidates.union(asked).repartition("block", "group"), meet, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        width = pc.list_value_length(batch["vector"]).to_numpy()
+        codes = [None] * len(width)
+        for d in np.unique(width).tolist():
+            at = np.flatnonzero(width == d)
+            for r, c in zip(at.tolist(), fitted[d].encode(matrix(batch["vector"].take(pa.array(at)))), strict=True):
+                codes[r] = c.tobytes()
+        return {"id": batch["id"], "length": width, "codes": codes}
+
+    def dealt(count: dict[int, int], most: int) -> Column:
+        parts = F.create_map(*(F.lit(x) for d in m for x in (d, max(1, -(-count[d] // most)))))
+        return parts[F.col("length")]
+
+    coded = arrow_map(classes.where(F.size("vector").isin(list(m))), code, "id long, length int, codes binary")
+    coded = stored(coded, "codes")
+    sized = asked.withColumn("length", F.size("vector"))
+    blocks, groups = dealt(n, BLOCK), dealt(m, QUERIES)
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    own = lambda count: F.pmod(F.xxhash64("id"), count).cast("int")
+    candidates = coded.select("id", "length", "codes", F.lit(None).cast(kind).alias("vector"), own(blocks).alias("block"), every(groups).alias("group"))
+    sent = sized.select("id", "length", F.lit(None).cast("binary").alias("codes"), "vector", every(blocks).alias("block"), own(groups).alias("group"))
+
+    def meet(table: pa.Table) -> dict:
+        q = table.filter(pc.is_null(table["codes"]))
+        c = table.filter(pc.is_valid(table["codes"]))
+        if not len(q) or not len(c):
+            return {"id": [], "found": []}
+        ids = c["id"].to_numpy()
+        packed = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(len(c), -1)
+        at, score = scan(fitted[table["length"][0].as_py()], packed, matrix(q["vector"]), RERANK)
+        found = pa.StructArray.from_arrays([pa.array(ids[at].ravel()), pa.array(score.ravel())], ["cid", "approx"])
+        return {"id": q["id"], "found": pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), found)}
+
+    met = grouped_map(candidates.union(sent), ["length", "block", "group"], meet, "id long, found array<struct<cid:long,approx:float>>")
+    best = Window.partitionBy("id").orderBy(F.desc("approx"), "cid")
+    pairs = met.select("id", F.inline("found")).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= RERANK)
+    lists = stored(pairs.groupBy("id").agg(F.collect_list("cid").alias("cids")), "candidates")
+
+    grouped = lists.join(sized, "id").withColumn("group", own(groups))
+    need = grouped.select("length", "group", F.explode("cids").alias("id")).distinct().join(classes, "id")
+    held = need.select("length", "group", "id", F.lit(None).cast("long").alias("vec_id"), "vector", "ids", F.lit(None).cast("array<long>").alias("cids"))
+    ask = grouped.select("length", "group", "id", "vec_id", "vector", F.lit(None).cast("array<long>").alias("ids"), "cids")
+    return grouped_map(held.union(ask), ["length", "group"], lambda t: _nearest(t, k), schema)

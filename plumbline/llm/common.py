@@ -125,6 +125,21 @@ def partition_map(df: DataFrame, fn: Callable, schema: T.StructType | str) -> Da
     return df.mapInArrow(run, schema)
 
 
+def grouped_map(df: DataFrame, keys: list[str], fn: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.groupBy(*keys).applyInArrow`` with a function from a group's table to a dict of columns.
+
+    A task holds one group at a time, however many it has; the caller bounds a group.
+    """
+    batched(df.sparkSession)
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([record_batch(fn(table), fields)])
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
 def doc_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id`` (long) and ``text`` (null: empty) of ``docs``; other columns go."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

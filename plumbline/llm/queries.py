@@ -93,9 +93,19 @@ def _op7_sql() -> str:
       from docs left join per using (row)"""
 
 
+#: Usable vectors, one row of equal ones with equal ids, as doubles.
+VECTORS_SQL = """v as (select distinct vec_id::bigint as vec_id, embedding::double[] as x from embeddings where vec_id is not null and embedding is not null
+        and list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c))) and list_bool_or(list_transform(embedding, lambda c: c <> 0)))"""
+OP8_SQL = f"""
+      with {VECTORS_SQL},
+      s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x) as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.x) = len(c.x)),
+      r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+      select query_id, rank::int as rank, vec_id, score from r where rank <= 20"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": _op7_sql()}
+    return {"op7_secret_scan": _op7_sql(), "op8_inner_product_search": OP8_SQL}

@@ -403,6 +403,47 @@ def test_search_recall(spark):
     assert ann.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).count() == 4
 
 
+def slow_search(rows, k=20):
+    """Each query's nearest among the distinct (vec_id, vector) of its length, by sums from the first dimension on."""
+    once = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)})
+    out = collections.Counter()
+    for q, x in once:
+        if q % 20 == 0:
+            found = []
+            for i, y in once:
+                if i != q and len(y) == len(x):
+                    total = 0.0
+                    for a, b in zip(y, x, strict=True):
+                        total += a * b
+                    found.append((-total, i))
+            out.update((q, r, i, -v) for r, (v, i) in enumerate(sorted(found)[:k], 1))
+    return out
+
+
+@pytest.mark.parametrize("block, queries", [(16384, 1024), (64, 4)])
+def test_search_equals_brute_force_on_odd_rows(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "QUERIES", queries)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((150, 12)).astype(np.float32).astype(float).tolist()
+    rows = [(k, v) for k, v in enumerate(x)]
+    rows += [(k, x[7]) for k in range(200, 290)]  # copies under other ids
+    rows += [(k, v) for k, v in enumerate(x[:60]) for _ in range(4)]  # repeated rows
+    rows += [(20, x[3]), (40, x[4])]  # an id with two vectors
+    rows += [(k, v[:5]) for k, v in enumerate(x[:30], 400)] + [(500, [1.0]), (520, [2.0])]  # other lengths
+    rows += [(600, None), (620, []), (640, [0.0] * 12), (660, [float("inf")] * 12), (680, [None] * 12), (None, x[9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "block", "group", "codes", "vector", "ids", "_k")})
+    got = collections.Counter(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == slow_search(rows)
+
+
+def test_every_query_has_all_its_neighbours_however_often_rows_repeat(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 8)).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)] * 5, "vec_id long, embedding array<double>")
+    assert {r.query_id: r["count"] for r in ann.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()} == {0: 20, 20: 20, 40: 20}
+
+
 # --- quality
 
 
