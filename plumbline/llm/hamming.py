@@ -35,8 +35,12 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = [digest(join(w), seed) for w in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    columns = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array([digest(join(w), seed) for w in zip(*(words[i:] for i in range(shingle)), strict=False)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in over half of ``hashes``."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 400:
         counts = np.unpackbits(columns, axis=1, bitorder="little").sum(0, dtype=np.int64)
     else:

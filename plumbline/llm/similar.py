@@ -1,17 +1,28 @@
-"""Groups of texts whose sets of word shingles are similar, found without loss.
+"""SimHash near-duplicates at shingle similarity 0.8: fingerprints first, whole sets last.
 
-Two sets have similarity 0.8 (their common shingles over all of both) only if the first fifth
-and one more of each, in any order that all sets share, have a shingle in common. So those
-first ones are posted by shingle, and only sets that meet there are candidates. The order puts
-shingles that are frequent in a sample last: this decides how many candidates there are, not
-which pairs are found. Each candidate pair is verified by its whole sets.
+Each text has its set of word shingles and their SimHash fingerprint. Candidates come from
+
+1. the Gray-order index of ``hamming``: fingerprints at most ``NEAR`` bits apart;
+2. what a bound of so few bits leaves (a pair at 0.8 differs in ten bits of 64, give or take
+   three): two sets have similarity 0.8 (their common shingles over all of both) only if the
+   first fifth and one more of each, in any order that all sets share, have a shingle in common.
+   So those first ones are posted by shingle, and sets that meet there are candidates unless
+   their fingerprints differ by over ``FAR`` bits, which a pair at 0.8 does once in 10**8 at most.
+   The order puts shingles that are frequent in a sample last: this decides how many candidates
+   there are, not which pairs are found.
+
+Each candidate pair is verified by its whole sets, so no link rests on fingerprints alone.
 
 Hot keys: equal sets are one from the start. In each posting the sets first meet its smallest
-member only; of what is then in no common component, members outside the smallest member's
-component meet the others. So a large group of near copies makes a few pairs a member.
+member only, and a set is verified against the nearest such member before any other; of what is
+then in no common component, members outside the smallest member's component meet the others.
+So a large group of near copies ships about one set a member. Sets are verified in groups of
+``MEMBERS`` around one of them.
 
 Cases: a null text is an empty text, and texts without words are one group; fewer words than a
-shingle has are one shingle; repeated rows are one group; an empty table gives an empty table.
+shingle has are one shingle; repeated rows are one group; rows with equal doc_id and other texts
+are told apart by the texts' CRC-32; texts of any length are taken whole; an empty table gives an
+empty table; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, doc_texts, dropped, hashed_sample, stored
+from plumbline.llm.common import arrow_map, doc_texts, dropped, grouped_map, hashed_sample, stored
 from plumbline.llm.graph import components
-
+from plumbline.llm.hamming import majority, near_links
+
+#: Bits between fingerprints that the Gray index links before anything else.
+NEAR = 3
+#: Bits between fingerprints beyond which a pair is not verified.
+FAR = 30
+#: Sets that are verified against one other at once.
+MEMBERS = 512
 #: Documents that the order of shingles is taken from, and shingles at most that come last.
 SAMPLE, FREQUENT = 8192, 1 << 17
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29))
@@ -81,49 +99,63 @@ def _prints(texts: DataFrame, width: int) -> DataFrame:
             "doc_id": batch["doc_id"],
             "tie": [crc32(x.encode()) for x in texts],
             "key": [key_of(s) for s in sets],
+            "fp": np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
             "size": [len(s) for s in sets],
             "first": [first_of(s, hot, n).view(np.int64) for s in sets],
         }
 
-    made = arrow_map(texts, run, "doc_id long, tie long, key long, size int, first array<long>")
+    made = arrow_map(texts, run, "doc_id long, tie long, key long, fp long, size int, first array<long>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
-def _may(size_a: str, pos_a: str, size_b: str, pos_b: str) -> Column:
-    """Whether sets whose first common shingle is at these places can have similarity 0.8."""
-    return 9 * F.least(F.col(size_a) - F.col(pos_a), F.col(size_b) - F.col(pos_b)) >= 4 * (F.col(size_a) + F.col(size_b))
+def _bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _may(a: str, b: str) -> Column:
+    """Whether postings (size, pos and fp with these prefixes), pos being the first common shingle's
+    place, can be of sets with similarity 0.8."""
+    enough = 9 * F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos")) >= 4 * (F.col(f"{a}size") + F.col(f"{b}size"))
+    return enough & (_bits(f"{a}fp", f"{b}fp") <= FAR)
+
+
+def _common(table: pa.Table) -> dict:
+    """(a, b): which sets of a group have similarity 0.8 with that of its ``b``: 9 common shingles to 4 of both sizes."""
+    b, sets = table["b"][0].as_py(), {}
+    for row, grams in zip(table["row"].to_pylist(), table["grams"], strict=True):
+        sets[row] = np.frombuffer(grams.as_buffer(), np.uint64)
+    one, near = sets.pop(b, None), []
+    for row, x in sets.items() if one is not None and len(one) else ():
+        few, many = (x, one) if len(x) < len(one) else (one, x)
+        common = (many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()
+        if 9 * common >= 4 * (len(x) + len(one)):
+            near.append(row)
+    return {"a": near, "b": [b] * len(near)}
 
 
 def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of rows whose whole sets have similarity 0.8: 9 common shingles to 4 of both sizes.
+    """The pairs (a, b) of rows, a stored table, whose whole sets have similarity 0.8.
 
-    Sets are made again from the texts of the pairs' rows, so those of the others never leave a task.
+    Sets are made again from the texts of the pairs' rows, so those of the others never leave a
+    task. Each goes to the groups of the rows that it is compared with.
     """
-    need = stored(prints.join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi").select("row", "key", "doc_id", "tie"), "need")
-    few = need.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "row", "key")
+    if pairs.isEmpty():
+        return pairs
+    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
+    members = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("group"), F.col("a").alias("row"))
+    centres = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("b").alias("row"))
+    need = members.union(centres).join(prints.select("row", "key", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), "row")
+    need = stored(need, "need")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_tie"))
 
     def again(batch: pa.RecordBatch) -> dict:
         sets = [shingles(x, width) for x in batch["text"].to_pylist()]
         keep = pa.array([key_of(s) == k for s, k in zip(sets, batch["key"].to_pylist(), strict=True)], pa.bool_())
-        return {"row": batch["row"].filter(keep), "grams": pa.array([s.tobytes() for s in sets], pa.binary()).filter(keep)}
+        return {c: batch[c].filter(keep) for c in ("b", "group", "row")} | {"grams": pa.array([s.tobytes() for s in sets], pa.binary()).filter(keep)}
 
-    held = stored(arrow_map(texts.join(few, same).select("row", "key", "text"), again, "row long, grams binary"), "held")
-    if not held.groupBy("row").count().where("count > 1").isEmpty():
-        held = held.dropDuplicates(["row"])
-    side = lambda s: held.select(F.col("row").alias(s), F.col("grams").alias(f"grams_{s}"))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        near = []
-        for x, y in zip(batch["grams_a"], batch["grams_b"], strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            common = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
-            near.append(9 * common >= 4 * (len(x) + len(y)))
-        keep = pa.array(near, pa.bool_())
-        return {"a": batch["a"].filter(keep), "b": batch["b"].filter(keep)}
-
-    found = stored(arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long"), "similar")
-    dropped(held)
+    held = arrow_map(texts.join(need, same).select("b", "group", "row", "key", "text"), again, "b long, group int, row long, grams binary")
+    found = stored(grouped_map(held, ["b", "group"], _common, "a long, b long"), "similar")
+    dropped(need)
     return found
 
 
@@ -132,30 +164,52 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     it reaches by texts with shingle similarity 0.8 or more."""
     texts = doc_texts(docs)
     prints = _prints(texts, width)
-    owner = stored(prints.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "owners")
-    single = stored(prints.where("size > 0").select("row", "size", "first").join(owner.select("row"), "row", "left_semi"), "firsts")
-    posts = single.select("row", F.posexplode("first").alias("pos", "gram"), "size")
+    same = ["key", "size", "fp"]
+    owner = stored(prints.groupBy(*same).agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")), "owners")
+    whole = owner.where("size > 0").select("row", "fp")
+
+    # 1: near fingerprints, and other sets of one fingerprint
+    of_fp = whole.groupBy("fp").agg(F.min("row").alias("first"))
+    linked = near_links(whole, NEAR).join(of_fp.toDF("a", "row_a"), "a").join(of_fp.toDF("b", "row_b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    equal = whole.join(of_fp, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+
+    # 2: postings of first shingles that several sets have
+    single = stored(prints.where("size > 0").join(owner.select("row"), "row", "left_semi").select("row", "size", "fp", "first"), "firsts")
+    posts = single.select("row", F.posexplode("first").alias("pos", "gram"), "size", "fp")
     often = stored(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     shared = stored(posts.join(often, "gram", "left_semi"), "postings")
     dropped(single)
     dropped(often)
-    least = shared.groupBy("gram").agg(F.min(F.struct("size", "row", "pos")).alias("r"))
-    shared = stored(shared.join(least.select("gram", F.col("r.row").alias("r_row"), F.col("r.size").alias("r_size"), F.col("r.pos").alias("r_pos")), "gram"), "postings")
-
-    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    star = stored(shared.where((F.col("row") != F.col("r_row")) & _may("size", "pos", "r_size", "r_pos")).select(*pair("row", "r_row")).distinct(), "pairs")
-    links = verified(star, prints, texts, width)
-    parts = stored(components(links), "parts")
-    of = lambda c, name: parts.select(F.col("node").alias(c), F.col("component").alias(name))
-    named = shared.join(of("row", "part"), "row", "left").join(of("r_row", "r_part"), "r_row", "left")
-    named = named.select("gram", "row", "size", "pos", F.coalesce("part", "row").alias("part"), (F.coalesce("part", "row") != F.coalesce("r_part", "r_row")).alias("out"))
-    named = stored(named, "postings")
-    outer = named.where("out").toDF("gram", *(f"o_{c}" for c in named.columns[1:]))
-    apart = (F.col("part") != F.col("o_part")) & _may("size", "pos", "o_size", "o_pos") & (~F.col("out") | (F.col("row") < F.col("o_row")))
-    rest = outer.join(named, "gram").where(apart).select(*pair("row", "o_row")).distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    parts = stored(components(links.union(verified(rest, prints, texts, width))), "parts").select(F.col("node").alias("row"), "component")
-
-    least_id = parts.join(owner, "row").groupBy("component").agg(F.min("first_id").alias("least"))
-    ids = owner.join(parts, "row", "left").join(least_id, "component", "left").select("key", F.coalesce("least", "first_id").alias("component_id"))
-    return prints.select("doc_id", "tie", "key").join(ids, "key").select("doc_id", "tie", "component_id")
+    least = shared.groupBy("gram").agg(F.min(F.struct("size", "row", "pos", "fp")).alias("r"))
+    met = shared.join(least.select("gram", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("size", "row", "pos", "fp"))), "gram")
+    star = met.where((F.col("row") != F.col("r_row")) & _may("", "r_")).select(F.col("row").alias("a"), F.col("r_row").alias("b"), _bits("fp", "r_fp").alias("bits"))
+    star = stored(star.distinct(), "star")
+    nearest = star.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
+    first = stored(linked.union(equal).union(nearest).distinct(), "pairs")
+    links = verified(first, prints, texts, width)
+
+    def parts_of(links: DataFrame) -> DataFrame:
+        return stored(components(links).select(F.col("node").alias("_node"), F.col("component").alias("_part")), "parts")
+
+    def with_part(rows: DataFrame, row: str, name: str) -> DataFrame:
+        return rows.join(parts, F.col(row) == F.col("_node"), "left").withColumn(name, F.coalesce("_part", row)).drop("_node", "_part")
+
+    # then the pairs with a posting's smallest member that are in no common component yet
+    parts = parts_of(links)
+    apart = with_part(with_part(star, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
+    links = links.union(verified(stored(apart.join(first, ["a", "b"], "left_anti"), "pairs"), prints, texts, width))
+    parts = parts_of(links)
+    # and those of members outside its component
+    named = with_part(with_part(met.select("gram", "row", "size", "pos", "fp", "r_row"), "row", "part"), "r_row", "r_part")
+    named = stored(named.select("gram", "row", "size", "pos", "fp", "part", (F.col("part") != F.col("r_part")).alias("out")), "postings")
+    dropped(shared)
+    outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in ("row", "size", "pos", "fp", "part")))
+    rest = outer.join(named, "gram").where((F.col("part") != F.col("o_part")) & _may("", "o_") & (~F.col("out") | (F.col("row") < F.col("o_row"))))
+    rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    links = links.union(verified(stored(rest, "pairs"), prints, texts, width))
+    parts = parts_of(links)
+
+    owner = with_part(owner, "row", "part")
+    least_id = owner.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    ids = owner.join(least_id, "part").select(*same, "component_id")
+    return prints.select("doc_id", "tie", *same).join(ids, same).select("doc_id", "tie", "component_id")
