@@ -3,7 +3,8 @@
 Each dimension of a vector is coded by four bits. Codes and codebooks minimise a loss in which
 error along the vector, which changes large inner products, weighs ``eta`` times error across
 it. A query's tables of products are scanned over the codes of every candidate, two codes to a
-byte; the ``RERANK`` best of a query by code are ranked again by the exact inner product.
+byte; the ``RERANK`` best of a query by code are ranked again by the exact inner product. Each
+block of candidates gives its expected share of these and four deviations more.
 
 The codebooks of each vector length are fitted on at most ``SAMPLE`` vectors, by hash; every
 vector is coded. Only codes and queries meet in the scan, ``BLOCK`` candidates and ``QUERIES``
@@ -32,9 +33,9 @@ from plumbline.llm.common import arrow_map, grouped_map, hashed_sample, stored
 from plumbline.llm.vectors import matrix, usable, vectors
 
 WIDTH, CODES = 1, 16
-SAMPLE, BLOCK, QUERIES, RERANK = 8192, 16384, 1024, 256
-#: Queries whose tables are scanned at once.
-TOGETHER = 32
+SAMPLE, BLOCK, QUERIES, RERANK = 8192, 65536, 1024, 256
+#: Queries whose tables are scanned at once, and candidates.
+TOGETHER, CHUNK = 32, 8192
 #: Inner products under this share of the norm don't count in the loss.
 THRESHOLD = 0.2
 
@@ -111,16 +112,24 @@ def scan(quantiser: Quantiser, codes: np.ndarray, q: np.ndarray, rerank: int) ->
     codes = np.ascontiguousarray(codes.T)
     for s in range(0, len(q), TOGETHER):
         tables = quantiser.tables(q[s : s + TOGETHER])
-        total = tables[0][codes[0]]
-        got = np.empty_like(total)
-        for t, c in zip(tables[1:], codes[1:], strict=True):
-            total += np.take(t, c, axis=0, out=got)
+        total = np.empty((n, tables.shape[2]), np.float32)
+        for c in range(0, n, CHUNK):
+            part = total[c : c + CHUNK]
+            np.take(tables[0], codes[0, c : c + CHUNK], axis=0, out=part)
+            for t, code in zip(tables[1:], codes[1:, c : c + CHUNK], strict=True):
+                part += t[code]
         for i, row in enumerate(np.ascontiguousarray(total.T), s):
             best = np.argpartition(row, n - few)[n - few :] if few < n else np.arange(n)
             at[i], score[i] = best, row[best]
     return at, score
 
 
+def share(blocks: int) -> int:
+    """How many of a query's ``RERANK`` best one of ``blocks`` blocks, dealt by hash, holds, and four deviations more."""
+    mean = RERANK / blocks
+    return min(RERANK, int(np.ceil(mean + 4 * np.sqrt(mean))) + 4)
+
+
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The inner products of the rows of ``x`` and ``y``, summed from the first dimension to the last."""
     total = np.zeros(len(x))
@@ -203,7 +212,8 @@ def search(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             return {"id": [], "found": []}
         ids = c["id"].to_numpy()
         packed = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(len(c), -1)
-        at, score = scan(fitted[table["length"][0].as_py()], packed, matrix(q["vector"]), RERANK)
+        length = table["length"][0].as_py()
+        at, score = scan(fitted[length], packed, matrix(q["vector"]), share(max(1, -(-n[length] // BLOCK))))
         found = pa.StructArray.from_arrays([pa.array(ids[at].ravel()), pa.array(score.ravel())], ["cid", "approx"])
         return {"id": q["id"], "found": pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), found)}
 

@@ -145,11 +145,14 @@ def doc_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def aside(df: DataFrame, keep: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``df`` with all columns but ``keep`` under names that clash with none, and what gives them back."""
+def aside(df: DataFrame, keep: list[str]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with all columns but ``keep`` under names that clash with none, and what gives them back.
+
+    That takes the DataFrame made of it and names of new columns to keep beside the old ones.
+    """
     names = df.columns
     new = [c if c in keep else f"__aside_{i}" for i, c in enumerate(names)]
-    return df.toDF(*new), lambda done: done.select(*(F.col(n).alias(c) for n, c in zip(new, names, strict=True)))
+    return df.toDF(*new), lambda done, *more: done.select(*(F.col(n).alias(c) for n, c in zip(new, names, strict=True)), *more)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -7,7 +7,8 @@ matched. A rule whose pattern has no mandatory trigram scans every document.
 
 Cases: a null text is an empty text without spans; rows with equal doc_id share postings and
 are each matched on their own text; a null doc_id is an id like any other; an empty table
-gives an empty table; whole texts are matched, of any length.
+gives an empty table; whole texts are matched, of any length; ties between kinds at one start
+are ordered as the rules are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ class Rule:
     """A kind of secret: ``pattern`` (Java and RE2 read it alike), and the least length of a group.
 
     Matches are leftmost and don't overlap; one whose ``group`` has under ``least`` characters
-    is dropped after it has matched. ``fold``: ASCII letters match in either case.
+    is dropped after it has matched. ``fold``: ASCII letters match in either case. ``long``: a
+    pattern whose matches are those of ``pattern`` that aren't dropped, if there is a cheaper one.
     """
 
     kind: str
@@ -40,6 +42,7 @@ class Rule:
     group: int = 0
     least: int = 1
     fold: bool = False
+    long: str | None = None
 
     @property
     def regex(self) -> str:
@@ -50,7 +53,7 @@ class Rule:
 BASE = [
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("hex", r"[0-9a-f]+", 0, 24, long=r"[0-9a-f]{24,}"),
 ]
 #: Published formats of further credentials.
 MORE = [
@@ -65,6 +68,9 @@ RULES = BASE + MORE
 #: Sets of literal strings larger than this, or longer strings, stop being followed.
 FOLLOW = 64
 
+#: Trigrams that a conjunction asks for: its rarest, by the place of their letters in this order.
+ASKED, COMMON = 4, "etaoinshrdlcumwfgypbvkjxqz"
+
 # A query is True (anything), a trigram, ("and", ...) or ("or", ...).
 ANY = True
 
@@ -87,6 +93,17 @@ def trigrams(text: str):
     return both(*(text[i : i + 3] for i in range(len(text) - 2)))
 
 
+def rarest(query):
+    """The query with ``ASKED`` trigrams to a conjunction at most; all its matches fulfil it still."""
+    if query is ANY or isinstance(query, str):
+        return query
+    if query[0] == "or":
+        return either(map(rarest, query[1:]))
+    weight = lambda t: -sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in t)
+    plain = sorted((p for p in query[1:] if isinstance(p, str)), key=lambda t: (weight(t), t))[:ASKED]
+    return both(*plain, *(rarest(p) for p in query[1:] if not isinstance(p, str)))
+
+
 def _node(op, value) -> tuple[set[str] | None, object]:
     """(all strings that the node matches, or None if unbounded; a query that its matches fulfil)."""
     name = str(op)
@@ -134,18 +151,36 @@ def _sequence(items) -> tuple[set[str] | None, object]:
 def trigram_query(pattern: str):
     """The Boolean trigram query, in lower case, that each match of ``pattern`` fulfils."""
     exact, query = _sequence(_parse(pattern))
-    return query if exact is None else both(query, either(map(trigrams, exact)))
+    return rarest(query if exact is None else both(query, either(map(trigrams, exact))))
 
 
 def _terms(query) -> set[str]:
     return set() if query is ANY else {query} if isinstance(query, str) else set().union(*map(_terms, query[1:]))
 
 
+def any_of(terms: list[str]) -> str:
+    """A pattern that captures one of ``terms`` (three characters each) where one starts, and consumes nothing."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in terms:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+
+    def one(chars) -> str:
+        return "[" + "".join(f"\\{c}" if c in "-[]^&\\" else c for c in sorted(chars)) + "]"
+
+    # the letters that texts have most of come first
+    order = sorted(tree, key=lambda c: COMMON.find(c) if c in COMMON else len(COMMON))
+    branches = "|".join(one(a) + "(?:" + "|".join(one(b) + one(c) for b, c in tree[a].items()) + ")" for a in order)
+    return f"(?={one(tree)})(?=({branches}))"
+
+
 def postings(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for each of ``terms``, by number, in lower-cased texts."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(terms))))
-    return texts.select("doc_id", F.explode(held).alias("trigram"))
+    """The inverted index: (trigram, doc_id) for each of ``terms``, by number, in lower-cased texts.
+
+    One pass over a text finds all trigrams that it holds.
+    """
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(terms)), F.lit(1)))
+    number = F.array_position(F.array(*map(F.lit, terms)), F.col("term")) - 1
+    return texts.select("doc_id", F.explode(held).alias("term")).select("doc_id", number.cast("int").alias("trigram"))
 
 
 def candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -171,10 +206,11 @@ def _spans(rule: Rule, order: int) -> Column:
 
     What lies between the matches comes from a split, so starts are running sums of lengths.
     """
-    text, pattern = F.col("text"), F.lit(rule.regex)
-    between = F.transform(F.split(text, rule.regex, -1), lambda x: F.length(x))
+    regex = rule.regex if rule.long is None else rule.long
+    text, pattern = F.col("text"), F.lit(regex)
+    between = F.transform(F.split(text, regex, -1), lambda x: F.length(x))
     matched = F.regexp_extract_all(text, pattern, F.lit(0))
-    sized = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    sized = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matched
     parts = F.zip_with(F.zip_with(between, matched, lambda b, m: F.struct(b.alias("b"), F.length(m).alias("m"))), sized, lambda p, g: F.struct(p["b"].alias("b"), p["m"].alias("m"), F.length(g).alias("g")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
     def step(acc, p):
@@ -187,11 +223,12 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All columns of ``docs`` and ``_text``, ``_found``: an array of (start, kind, end), sorted.
-
-    Columns of ``docs`` with these names, ``_key``, ``_doc`` or ``_rules`` go (``aside`` keeps them). kind is the rule's place in ``rules``; starts and ends count code points.
+    """doc_id and text of ``docs`` with ``_text``, its null as empty, and ``_found``: an array of
+    (start, kind, end), sorted. kind is the rule's place in ``rules``; starts and ends count code
+    points. Further columns stay as they are, whatever their names, but those named as the
+    result's two give way to it.
     """
-    docs = docs.drop("_text", "_found", "_key", "_doc", "_rules")
+    docs, back = aside(docs.drop("_text", "_found"), ["doc_id", "text"])
     rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
     marked = candidates(doc_texts(docs), rules).select(F.col("doc_id").alias("_doc"), F.col("rules").alias("_rules"))
     wanted = rows.join(marked, F.col("_key").eqNullSafe(F.col("_doc")), "left")
@@ -200,7 +237,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         _spans(r, i) if trigram_query(r.pattern) is ANY else F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, _spans(r, i)).otherwise(none)
         for i, r in enumerate(rules)
     ]
-    return wanted.select(*docs.columns, "_text", F.array_sort(F.concat(*each)).alias("_found"))
+    done = wanted.select(*docs.columns, "_text", F.array_sort(F.concat(*each)).alias("_found"))
+    return back(done, "_text", "_found")
 
 
 def joined(found: Column, rules: list[Rule] = RULES) -> Column:

@@ -315,9 +315,9 @@ SECRETS = [
 
 
 def test_secret_scan(spark):
-    df = spark.createDataFrame(SECRETS, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in CLASH.items() if k not in ("_text", "_found", "_doc")})
+    df = spark.createDataFrame(SECRETS, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in CLASH.items()} | {"_key": F.lit(7), "_rules": F.lit(8)})
     rows = secrets.scan(df).collect()
-    assert len(rows) == len(SECRETS)
+    assert len(rows) == len(SECRETS) and all(r["_key"] == 7 and r["_rules"] == 8 for r in rows)
     for r in rows:
         base = [(s.start, s.kind, s.end) for s in r._found if s.kind < 3]
         assert base == slow_secrets(r.text or "")
@@ -329,9 +329,20 @@ def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", "aki", "kia")
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("(abcd|xyz)?q") is True
+    assert secrets.trigram_query("zebraquilt") == ("and", "aqu", "qui", "raq", "zeb")
     assert secrets.trigram_query("(abcd|xyz)q") == ("or", ("and", "abc", "bcd", "cdq"), ("and", "xyz", "yzq"))
 
 
+def test_index_holds_every_trigram_of_the_queries(spark):
+    """Postings by one pass equal those by looking for each trigram; queries hold for what rules match."""
+    terms = sorted(set().union(*(secrets._terms(secrets.trigram_query(r.pattern)) for r in secrets.RULES)))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("apikey_-. sekrtoxbghAKIZ]^\\é") for _ in range(200)) for _ in range(40)] + [t or "" for _, t in SECRETS] + ["".join(terms)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, terms[r.trigram]) for r in secrets.postings(df, terms).collect()}
+    assert got == {(i, x) for i, t in enumerate(texts) for x in terms if x in t.lower()}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, len(t) if t else None) for i, t in SECRETS], "doc_id long, text string, n_chars long")
     rows = secrets.redacted(df).collect()
@@ -420,7 +431,7 @@ def slow_search(rows, k=20):
     return out
 
 
-@pytest.mark.parametrize("block, queries", [(16384, 1024), (64, 4)])
+@pytest.mark.parametrize("block, queries", [(65536, 1024), (64, 4)])
 def test_search_equals_brute_force_on_odd_rows(spark, monkeypatch, block, queries):
     monkeypatch.setattr(ann, "BLOCK", block)
     monkeypatch.setattr(ann, "QUERIES", queries)
