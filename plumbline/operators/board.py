@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import TIER_EDGES, TIERS, mean_rank, measured, tier
+from plumbline.functions.expressions import TIER_EDGES, TIERS, measured, tier
 from plumbline.operators import team_fit
 from plumbline.operators.cleaning import Preprocessor
 from plumbline.operators.explain import LinearShap, greedy_counterfactual
+from plumbline.operators.metrics import mean_ranks
 from plumbline.operators.models import Hurdle, Linear, TierModel, ridge
+from plumbline.operators.ordered import numbered, quantiles
 from plumbline.operators.uncertainty import Bootstrap, SplitConformal
 
 LEAST_ROWS = 20
@@ -74,15 +78,17 @@ class Board:
 
     def ranked_with_profile(self, pool: DataFrame, cap: team_fit.Cap | None = None) -> DataFrame:
         """The board with rank, percentile, value in money, picture and the pick's distance from the rank."""
-        every = Window.orderBy(F.desc("expected_value"), "player_id")  # one class: a hundred rows
-        ranked = self.rank(pool).select("player_id", "impact", "floor", "ceiling", *(f"p_{t}" for t in TIERS), "p_reach", "expected_value", "predicted_tier")
+        ranked = self.rank(pool).select("player_id", "impact", "floor", "ceiling", *(f"p_{t}" for t in TIERS), "p_reach", "expected_value", "predicted_tier").cache()
+        n = ranked.count()
+        places = mean_ranks(ranked, "impact", "_place")
+        ranked = numbered(ranked, [], -F.col("expected_value"), ["player_id"], "model_rank").join(places, F.col("impact") == F.col("_v")).drop("_v")
         ranked = ranked.withColumns({
-            "model_rank": F.row_number().over(every),
-            "peak_pctile": F.round(mean_rank(F.col("impact")) / F.count(F.lit(1)).over(Window.partitionBy()), 4),
+            "model_rank": F.col("model_rank").cast("int"),
+            "peak_pctile": F.round(F.col("_place") / n, 4),
             "value_usd": team_fit.projected_value(F.greatest("impact", F.lit(0.0)), cap or team_fit.load_cap()),
             "headshot": F.format_string("https://cdn.nba.com/headshots/nba/latest/260x190/%s.png", F.col("player_id").cast("string")),
         })
-        out = ranked.join(self.profile(pool), "player_id", "left")
+        out = ranked.drop("_place").join(self.profile(pool), "player_id", "left")
         return out.withColumn("slot_delta", F.col("draft_pick") - F.col("model_rank")) if "draft_pick" in out.columns else out
 
     def explain(self, pool: DataFrame, player_id=None) -> DataFrame:
@@ -93,8 +99,8 @@ class Board:
     def counterfactual(self, pool: DataFrame, player_id=None, rounds: int = 3) -> DataFrame:
         """The fewest moves within the background's 5th to 95th percentile that reach the next tier."""
         rows = self.model.transform(self.pre.transform(pool if player_id is None else _one(pool, player_id)))
-        got = self.background.agg(*(F.percentile(f, F.array(F.lit(0.05), F.lit(0.95))).alias(f) for f in self.features)).first()
-        bounds = {f: tuple(got[f]) for f in self.features if got[f] and got[f][0] < got[f][1]}
+        got = quantiles(self.background, {f: [0.05, 0.95] for f in self.features})
+        bounds = {f: tuple(got[f]) for f in self.features if got[f][0] is not None and got[f][0] < got[f][1]}
         edge = F.array_min(F.filter(F.array(*map(F.lit, TIER_EDGES)), lambda e: e > F.col("prediction")))
         out = rows.withColumns({"current_tier": tier(F.col("prediction")), "target": edge, "target_tier": tier(edge)})
         return greedy_counterfactual(out, self.model, bounds, F.coalesce(F.col("target"), F.lit(float("-inf"))), rounds)
@@ -131,7 +137,20 @@ class Service:
 
     @staticmethod
     def from_master(spark, folder: str, features: list[str]) -> Service:
-        return Service.from_table(spark.read.parquet(folder), features, mode="master")
+        """A service over a written table; its version is that of the manifest beside it, if there is one."""
+        try:
+            manifest = json.loads(spark.read.text(f"{folder.rstrip('/').rsplit('/', 1)[0]}/manifest").first()[0])
+        except (AnalysisException, TypeError, ValueError):
+            manifest = {}
+        return Service.from_table(spark.read.parquet(folder), features, mode="master", version=manifest.get("version", "v1"))
+
+    @staticmethod
+    def load(spark, folder: str, features: list[str]) -> Service:
+        """``from_master``, or the demo's service where no table can be read."""
+        try:
+            return Service.from_master(spark, folder, features)
+        except AnalysisException:
+            return Service.demo(spark)
 
     @staticmethod
     def demo(spark, features: list[str] | None = None) -> Service:

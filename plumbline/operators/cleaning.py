@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from plumbline.functions.names import name_match_key, normalize_league
 from plumbline.functions.workers import importable
+from plumbline.operators.ordered import quantiles
 
 ADVANCED = ["true_shooting", "usage", "bpm_college", "strength_of_schedule"]
 COMBINE = ["wingspan_in", "standing_reach_in", "max_vertical_in", "lane_agility_s", "body_fat_pct"]
@@ -57,20 +58,31 @@ def fuzzy_links(keys: DataFrame, threshold: float, similarity=ratio) -> DataFram
     return pairs.where(similarity(F.col("match_key_a"), F.col("match_key_b")) >= threshold).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
 
 
-def smallest_reached(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(entity, root): min-label propagation to a fixed point, checkpointed each round where a folder is set."""
+def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(entity, root): the smallest entity that each one reaches by links.
+
+    Each round an entity takes the least root among its own, its neighbours' and its root's, so
+    roots jump along chains; rounds go on until none moves. Checkpointed where a folder is set.
+    """
     spark = nodes.sparkSession
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels = nodes.select("entity", F.col("entity").alias("root"))
-    for _ in range(rounds):
+    labels, held = nodes.select("entity", F.col("entity").alias("root")), None
+    while True:
         low = both.join(labels, F.col("b") == F.col("entity")).groupBy("a").agg(F.min("root").alias("_low"))
-        new = labels.join(low, F.col("entity") == F.col("a"), "left").select("entity", F.least("root", F.coalesce("_low", "root")).alias("root"), (F.col("_low") < F.col("root")).alias("_moved"))
+        near = labels.join(low, F.col("entity") == F.col("a"), "left").select("entity", "root", F.least("root", F.coalesce("_low", "root")).alias("_next"))
+        # what an entity points to takes the least of what points to it, and then all look up where theirs points
+        pulled = near.select(F.col("root").alias("_at"), "_next").union(near.select(F.col("entity").alias("_at"), "_next")).groupBy("_at").agg(F.min("_next").alias("_next"))
+        jump = pulled.select(F.col("_at").alias("_via"), F.col("_next").alias("_far"))
+        moved = near.select("entity", "root").join(pulled, F.col("entity") == F.col("_at")).join(jump, F.col("_next") == F.col("_via"), "left")
+        new = moved.select("entity", F.least("_next", F.coalesce("_far", "_next")).alias("_to"), "root").select("entity", F.col("_to").alias("root"), (F.col("_to") != F.col("root")).alias("_moved"))
         new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
-        moved = new.where("_moved").limit(1).count()
-        labels = new.select("entity", "root")
-        if not moved:
-            break
-    return labels
+        still = new.where("_moved").isEmpty()
+        if held is not None:
+            held.unpersist()
+        labels, held = new.select("entity", "root"), new
+        if still:
+            both.unpersist()
+            return labels
 
 
 def resolve_entities(sources: list[DataFrame], threshold: float = 0.88, similarity=ratio) -> tuple[list[DataFrame], DataFrame]:
@@ -199,7 +211,7 @@ class Preprocessor:
             if step:
                 train = step.fit(train).transform(train)
         rows = self._learned_columns(train)
-        self.medians = rows.agg(*(F.median(c).alias(c) for c in self.features)).first().asDict()
+        self.medians = {c: q[0] for c, q in quantiles(rows, {c: [0.5] for c in self.features}).items()}
         return self
 
     def _learned_columns(self, df: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import band
-from plumbline.operators.metrics import spearman
+from plumbline.operators.metrics import spearman, with_mean_rank
+from plumbline.operators.ordered import quantiles
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, missing share, mean, sd, min, quartiles (linear) and max of each column, in one pass."""
+    """n, missing share, mean, sd, min, quartiles (linear) and max of each column, all columns together."""
+    quartiles = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+
     def stats(c: str) -> Column:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in quartiles[c]]
         return F.struct(
             F.lit(c).alias("feature"), F.count(F.lit(1)).alias("n"), F.avg(F.when(x.isNull(), 1.0).otherwise(0.0)).alias("missing"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
             F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(x).alias("max"),
@@ -26,25 +29,47 @@ def missingness_by_group(df: DataFrame, group: str, columns: list[str]) -> DataF
     return df.groupBy(group).agg(*(F.avg(F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).alias(c) for c in columns))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, rho: pairwise complete Spearman correlations to four places, NaN under two rows."""
+def _whole(df: DataFrame, columns: list[str]) -> tuple[list[str], int]:
+    """The columns without nulls, and the number of rows."""
+    n, *counts = df.agg(F.count(F.lit(1)), *map(F.count, columns)).first()
+    return [c for c, k in zip(columns, counts, strict=True) if k == n], n
+
+
+def _rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """a, b, rho of each pair, over rows that have both (NaN under two).
+
+    Columns without nulls are ranked once, and one aggregate gives all their pairs; a pair with
+    nulls has ranks of its own.
+    """
+    whole, n = _whole(df, list(dict.fromkeys(c for p in pairs for c in p)))
+    together = [p for p in pairs if set(p) <= set(whole)] if n > 1 else []
     out = None
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
+    if together:
+        used = list(dict.fromkeys(c for p in together for c in p))
+        base = df.select(*(F.col(c).cast("double").alias(c) for c in used)).persist()
+        at = {c: f"_rank{i}" for i, c in enumerate(used)}
+        rows = with_mean_rank(base, *at.items())
+        rho = lambda a, b: F.coalesce(F.try_divide(F.covar_pop(at[a], at[b]), F.sqrt(F.var_pop(at[a]) * F.var_pop(at[b]))), F.lit(0.0))
+        found = rows.agg(*(rho(a, b) for a, b in together)).first()  # a number for each pair
+        base.unpersist()
+        out = df.sparkSession.createDataFrame([(a, b, float(x)) for (a, b), x in zip(together, found, strict=True)], "a string, b string, rho double")
+    for a, b in pairs:
+        if (a, b) not in together:
             both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            one = spearman(both, "x", "y", few=float("nan")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round("rho", 4).alias("rho"))
+            one = spearman(both, "x", "y", few=float("nan")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
             out = one if out is None else out.union(one)
     return out
 
 
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, rho: pairwise complete Spearman correlations to four places, NaN under two rows."""
+    return _rank_correlations(df, [(a, b) for i, a in enumerate(columns) for b in columns[i:]]).withColumn("rho", F.round("rho", 4))
+
+
 def feature_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Each feature's Spearman correlation with the target, the largest by size first."""
-    out = None
-    for f in features:
-        both = df.select(F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y"))
-        one = spearman(both, "x", "y", few=float("nan")).select(F.lit(f).alias("feature"), "rho")
-        out = one if out is None else out.union(one)
-    return out.orderBy(F.desc_nulls_last(F.abs("rho")), "feature")
+    found = _rank_correlations(df, [(f, target) for f in features]).select(F.col("a").alias("feature"), "rho")
+    return found.orderBy(F.desc_nulls_last(F.abs("rho")), "feature")
 
 
 def with_bands(df: DataFrame, column: str, edges: list[float], labels: list[str], name: str = "band") -> DataFrame:
@@ -68,8 +93,8 @@ def grouped_target(df: DataFrame, group: str, target: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """The distinct linear quantiles at the bins' edges (a few numbers on the driver)."""
-    got = df.agg(F.percentile(F.col(column).cast("double"), F.lit([i / bins for i in range(bins + 1)]))).first()[0]
-    return sorted(set(got)) if got else []
+    got = quantiles(df, {column: [i / bins for i in range(bins + 1)]})[column]
+    return sorted(set(got) - {None})
 
 
 def binned_relationship(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:

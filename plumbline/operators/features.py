@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.names import name_match_key
+from plumbline.functions.names import name_match_key, normalize_name
+from plumbline.operators.ordered import keep_first
 
 #: Columns that are known after the draft only; the pick itself is allowed.
 POST_DRAFT = {"peak_impact", "cumulative_value", "reached", "outcome_tier", "resolved", "career_seasons", "career_ended", "nba_impact"}
@@ -69,6 +70,11 @@ def assembled(seasons: DataFrame, measures: DataFrame, identity: DataFrame) -> D
     return assert_pre_draft_safe(out.join(identity.select("player_id", "full_name"), "player_id", "left"))
 
 
+def feature_matrix(seasons: DataFrame, measures: DataFrame, identity: DataFrame, context: LeagueContext) -> DataFrame:
+    """``assembled`` with an already fitted league context; for inference, not inside temporal folds."""
+    return assert_pre_draft_safe(context.transform(assembled(seasons, measures, identity)))
+
+
 class LeagueContext:
     """Translates statistics to a reference league, and schedules to z-scores, by fitted moments.
 
@@ -107,22 +113,23 @@ class LeagueContext:
         return out.withColumns(new).select(*df.columns, *new)
 
 
-COLLEGE = ["pts_per40", "ast_per40", "reb_per40", "stl_per40", "blk_per40", "tov_per40", "true_shooting", "usage", "efg", "three_pt_pct", "oreb_pct", "off_rating", "def_rating", "net_rating", "porpag"]
+COLLEGE = ["pts_per40", "ast_per40", "reb_per40", "stl_per40", "blk_per40", "tov_per40", "true_shooting", "usage", "efg", "three_pt_pct", "off_rating", "def_rating", "net_rating", "porpag", "win_shares_per40"]
 ABROAD = ["pts_per40", "ast_per40", "reb_per40", "stl_per40", "blk_per40", "tov_per40", "true_shooting"]
 
 
 def _linked(draft: DataFrame, rows: DataFrame, years, order, columns: list[str]) -> DataFrame:
-    """player_id and ``columns`` of the best row of the same name key and a fitting season."""
-    players = draft.dropDuplicates(["player_id"]).withColumn("_key", name_match_key(F.col("full_name")))
-    there = rows.select(name_match_key(F.col("full_name")).alias("_rkey"), *(F.col(c).alias(f"_r_{c}") for c in dict.fromkeys([*columns, "season", *(["school"] if "school" in rows.columns else [])])), F.monotonically_increasing_id().alias("_order"))
+    """player_id and ``columns`` of the best row of the same name key and a fitting season; ties by the rows' own values."""
+    players = keep_first(draft, ["player_id"], "draft_year").withColumn("_key", name_match_key(F.col("full_name")))
+    there = rows.select(name_match_key(F.col("full_name")).alias("_rkey"), *(F.col(c).alias(f"_r_{c}") for c in dict.fromkeys([*columns, "season", *(["school"] if "school" in rows.columns else [])])))
     joined = players.join(there, (F.col("_key") == F.col("_rkey")) & years(F.col("_r_season"), F.col("draft_year")), "left")
-    first = joined.withColumn("_n", F.row_number().over(Window.partitionBy("player_id").orderBy(*order, "_order"))).where("_n = 1")
+    ties = [F.col(c) for c in there.columns if c.startswith("_r_")]
+    first = joined.withColumn("_n", F.row_number().over(Window.partitionBy("player_id").orderBy(*order, *ties))).where("_n = 1")
     return first.select("player_id", *(F.col(f"_r_{c}").alias(c) for c in columns))
 
 
 def link_college(draft: DataFrame, college: DataFrame, columns: list[str] = COLLEGE) -> DataFrame:
     """Each drafted player's college row of the draft year; of several, that of the player's own school first."""
-    mine = F.coalesce(F.col("_r_school") == F.col("organization"), F.lit(False))
+    mine = F.coalesce(normalize_name(F.col("_r_school")) == normalize_name(F.col("organization").cast("string")), F.lit(False))
     return _linked(draft, college, lambda s, y: s == y, [F.desc(mine)], columns)
 
 
@@ -144,10 +151,10 @@ def age_at_draft(birth, year):
 
 def modeling_table(draft: DataFrame, labels: DataFrame, measures: DataFrame, college: DataFrame | None = None, abroad: DataFrame | None = None, births: DataFrame | None = None) -> DataFrame:
     """One row per drafted player: labels, combine, college or international features, and age."""
-    out = draft.dropDuplicates(["player_id"])
+    out = keep_first(draft, ["player_id"], "draft_year")
     out = out.join(labels.drop("draft_year"), "player_id", "left")
     taken = [c for c in measures.columns if c in out.columns and c != "player_id"]
-    out = out.join(measures.drop(*taken).dropDuplicates(["player_id"]), "player_id", "left")
+    out = out.join(keep_first(measures.drop(*taken), ["player_id"]), "player_id", "left")
     if college is not None:
         out = out.join(link_college(draft, college), "player_id", "left")
     if abroad is not None:

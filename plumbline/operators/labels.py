@@ -86,7 +86,7 @@ def outcomes(draft: DataFrame, seasons: DataFrame, honors: DataFrame | None, thr
     honors: player_id, all_star_count, all_nba_count. A player's seasons are grouped once; the
     windows and the aggregate share one shuffle.
     """
-    years = draft.select("player_id", "draft_year").dropDuplicates(["player_id"])
+    years = draft.groupBy("player_id").agg(F.min("draft_year").alias("draft_year"))
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("minutes", "bpm", "vorp")}
     facts = seasons.select("player_id", "season_year", *(zero[c].alias(c) for c in zero)).join(years, "player_id")
     player = Window.partitionBy("player_id")

@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import paired, running_total
+
 
-def with_mean_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add ranks from 1 with ties at their mean.
+def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(_v, ``name``): the rank from 1 of each distinct value, ties at their mean.
 
     Counts by value are summed in order, so rows are never sorted together; only distinct
-    values are, and they are joined back.
+    values are.
     """
-    from plumbline.operators.ordered import running_total
-
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, "_v", "_n", "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+    return running_total(counts, "_v", "_n", "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
+
+
+def with_mean_rank(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """Add the mean rank of each (column, name)."""
+    out = df
+    for column, name in columns:
+        out = out.join(mean_ranks(df, column, name), F.col(column) == F.col("_v"), "left").drop("_v")
+    return out
 
 
 def spearman(df: DataFrame, a: str, b: str, name: str = "rho", few: float | None = None) -> DataFrame:
-    """Pearson's correlation of mean ranks; 0 without variance; under two rows ``few``."""
-    rows = with_mean_rank(with_mean_rank(df.select(a, b).dropna(), a, "_ra"), b, "_rb")
+    """Pearson's correlation of mean ranks; 0 without variance; under two rows ``few``, or an error without it."""
+    rows = with_mean_rank(df.select(a, b).dropna(), (a, "_ra"), (b, "_rb"))
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("_ra", "_rb").alias("c"), F.var_pop("_ra").alias("va"), F.var_pop("_rb").alias("vb"))
-    rho = F.when(F.col("n") < 2, F.lit(few).cast("double")).otherwise(F.coalesce(F.try_divide(F.col("c"), F.sqrt(F.col("va") * F.col("vb"))), F.lit(0.0)))
+    none = F.raise_error(F.lit("a rank correlation needs two rows")) if few is None else F.lit(few)
+    rho = F.when(F.col("n") < 2, none.cast("double")).otherwise(F.coalesce(F.try_divide(F.col("c"), F.sqrt(F.col("va") * F.col("vb"))), F.lit(0.0)))
     return s.select(rho.alias(name))
 
 
 def kendall(df: DataFrame, a: str, b: str, key: str, name: str = "tau") -> DataFrame:
-    """Tau-a over all pairs of distinct rows, without correction for ties.
-
-    Pairs are quadratic by definition: for folds and boards, not for facts. Tau is found from
-    pairs of distinct (a, b) with their counts.
-    """
-    values = df.select(a, b).dropna().groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    x, y = values.select(F.col(a).alias("a1"), F.col(b).alias("b1"), F.col("n").alias("n1")), values.select(F.col(a).alias("a2"), F.col(b).alias("b2"), F.col("n").alias("n2"))
-    pairs = x.join(y, (F.col("a1") < F.col("a2")) & (F.col("b1") != F.col("b2")))
-    concord = pairs.agg(F.coalesce(F.sum(F.signum(F.col("b2") - F.col("b1")) * F.col("n1") * F.col("n2")), F.lit(0.0)).alias("s"))
-    total = values.agg(F.sum("n").alias("n"))
-    return concord.crossJoin(total).select(F.try_divide(F.col("s"), F.col("n") * (F.col("n") - 1) / 2.0).alias(name))
+    """Tau-a over all pairs of distinct rows, without correction for ties, by counting inversions."""
+    known = df.select(a, b).dropna().persist()
+    pairs, n = paired(known, a, b, F.lit(1.0), F.lit(1.0)), known.count()
+    known.unpersist()
+    return pairs.select(F.try_divide(F.col("less") - F.col("more"), F.lit(n * (n - 1) / 2.0)).alias(name))
 
 
 def top_k_hit_rate(df: DataFrame, actual: str, predicted: str, order: str, k: int = 10, name: str = "hit_rate") -> DataFrame:
@@ -103,6 +108,39 @@ def interval_coverage(y: Column, low: Column, high: Column) -> Column:
     return F.avg(F.when(y.between(low, high), 1.0).otherwise(0.0))
 
 
+def default_metrics(target: str, key: str, predicted: str = "prediction") -> dict:
+    """The usual three, each a function of scored rows: rank correlation, hit rate of the top ten, RMSE."""
+    return {
+        "spearman": lambda d: spearman(d, target, predicted),
+        "top10": lambda d: top_k_hit_rate(d, target, predicted, key, 10),
+        "rmse": lambda d: d.agg(rmse(F.col(target), F.col(predicted))),
+    }
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A model to compare: its features, and what makes a preprocessor and a model of them."""
+
+    features: list[str]
+    model: Callable
+    preprocessor: Callable
+
+    def fit(self, train: DataFrame):
+        """The fitted chain, for ``temporal.evaluated``."""
+        pre = self.preprocessor(self.features).fit(train)
+        model = self.model(pre.transform(train), self.features)
+        return _Chain(pre, model)
+
+
+@dataclass(frozen=True)
+class _Chain:
+    pre: object
+    model: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self.pre.transform(df))
+
+
 def compare(spark, results: list[dict], metric: str, baseline: str, larger_is_better: bool = True) -> DataFrame:
     """Models by ``metric``, best first and missing last, with their uplift over ``baseline``."""
     base = next((r[metric] for r in results if r["model"] == baseline), None)
@@ -114,12 +152,14 @@ def compare(spark, results: list[dict], metric: str, baseline: str, larger_is_be
 def concordance(df: DataFrame, time: str, event: str, risk: str, name: str = "c_index") -> DataFrame:
     """Censoring-aware concordance: of comparable pairs, those whose higher risk has the earlier event.
 
-    Pairs are quadratic by definition; equal (time, event, risk) are counted together.
+    A pair is comparable if the first has an event and the other is observed for longer, or as
+    long without an event; equal risks count half. Pairs are counted, not made.
     """
-    v = df.select(time, event, risk).dropna().groupBy(time, event, risk).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a = v.where(F.col(event).cast("int") == 1).select(F.col(time).alias("t1"), F.col(risk).alias("r1"), F.col("n").alias("n1"))
-    b = v.select(F.col(time).alias("t2"), F.col(event).cast("int").alias("e2"), F.col(risk).alias("r2"), F.col("n").alias("n2"))
-    pairs = a.join(b, (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("e2") == 0)))
-    good = F.when(F.col("r1") > F.col("r2"), 1.0).when(F.col("r1") == F.col("r2"), 0.5).otherwise(0.0)
-    weight = F.col("n1") * F.col("n2")
-    return pairs.agg(F.try_divide(F.sum(good * weight), F.sum(weight)).alias(name))
+    seen = F.col(event).cast("int") == 1
+    known = df.select(time, event, risk).dropna().persist()
+    # of equal times the events come first
+    times = running_total(known.groupBy(F.col(time).cast("double").alias("_t")).agg(F.lit(2).alias("_two")), "_t", "_two", "_p").select("_t", "_p")
+    rows = known.join(times, F.col(time).cast("double") == F.col("_t")).withColumn("_p", F.col("_p") + F.when(seen, 0).otherwise(1))
+    got = paired(rows, "_p", risk, F.when(seen, 1.0).otherwise(0.0), F.lit(1.0))
+    known.unpersist()
+    return got.select(F.try_divide(F.col("more") + 0.5 * F.col("equal"), F.col("less") + F.col("equal") + F.col("more")).alias(name))

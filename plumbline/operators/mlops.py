@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import math
 import os
 import random
 from dataclasses import asdict, dataclass, field
@@ -15,35 +16,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import band
-from plumbline.operators.eda import quantile_edges
+from plumbline.operators.ordered import quantiles
 
 TINY = 1e-6
 
 
+def _indices(reference: DataFrame, current: DataFrame, columns: list[str], bins: int) -> dict[str, float]:
+    """The index of each column: its reference's quantile bins, all columns together; counts of both
+    tables by column and bin, in one job."""
+    found = quantiles(reference, {c: [i / bins for i in range(bins + 1)] for c in columns})
+    edges = {c: sorted(set(q) - {None}) for c, q in found.items()}
+    rows = reference.select(*columns, F.lit(0).alias("_new")).unionByName(current.select(*columns, F.lit(1).alias("_new")))
+    parts = []
+    for c in columns:
+        inner = edges[c][1:-1]
+        place = band(F.col(c).cast("double"), inner, [str(i) for i in range(len(inner) + 1)]).cast("int")
+        parts.append(F.struct(F.lit(c).alias("c"), place.alias("b")))
+    counts = rows.select("_new", F.explode(F.array(*parts)).alias("p")).where("p.b is not null").groupBy("p.c", "p.b").agg(F.count_if(F.col("_new") == 0).alias("r"), F.count_if(F.col("_new") == 1).alias("k"))
+    by: dict[str, list] = {c: [] for c in columns}
+    for x in counts.collect():  # a row for each column and bin
+        by[x.c].append((x.r, x.k))
+
+    def index(c: str) -> float:
+        old, new = (sum(x[i] for x in by[c]) for i in (0, 1))
+        if not old or not new:
+            return math.nan
+        shares = [(max(r / old, TINY), max(k / new, TINY)) for r, k in sorted(by[c])]
+        return 0.0 if len(edges[c]) == 1 else math.fsum((a - e) * math.log(a / e) for e, a in shares)
+
+    return {c: index(c) for c in columns}
+
+
 def stability_index(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row, ``psi``: between two tables, by the reference's quantile bins with open ends.
 
     NaN if either is empty, 0 if the reference has one value.
     """
-    edges = quantile_edges(reference.where(F.col(column).isNotNull()), column, bins)
-    inner = edges[1:-1]
-    place = band(F.col(column).cast("double"), inner, [str(i) for i in range(len(inner) + 1)]).cast("int")
-    counts = reference.select(place.alias("b"), F.lit(1.0).alias("r"), F.lit(0.0).alias("c")).union(current.select(place.alias("b"), F.lit(0.0).alias("r"), F.lit(1.0).alias("c")))
-    per = counts.where("b is not null").groupBy("b").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    total = per.agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))
-    e = F.greatest(F.try_divide(F.col("r"), F.col("tr")), F.lit(TINY))
-    a = F.greatest(F.try_divide(F.col("c"), F.col("tc")), F.lit(TINY))
-    if len(edges) == 1:
-        return total.select(F.when((F.coalesce("tr", F.lit(0.0)) > 0) & (F.coalesce("tc", F.lit(0.0)) > 0), 0.0).otherwise(float("nan")).alias("psi"))
-    got = per.crossJoin(F.broadcast(total)).agg(F.sum((a - e) * F.log(a / e)).alias("psi"), F.min("tr").alias("tr"), F.min("tc").alias("tc"))
-    return got.select(F.when((F.col("tr") > 0) & (F.col("tc") > 0), F.col("psi")).otherwise(float("nan")).alias("psi"))
+    return reference.sparkSession.createDataFrame([(_indices(reference, current, [column], bins)[column],)], "psi double")
 
 
 def drift_report(reference: DataFrame, current: DataFrame, features: list[str], limit: float = 0.25) -> DataFrame:
     """feature, psi to four places and whether it drifted, the largest first; typed when empty."""
-    out = reference.sparkSession.createDataFrame([], "feature string, psi double")
-    for f in [f for f in features if f in reference.columns and f in current.columns]:
-        out = out.union(stability_index(reference, current, f).select(F.lit(f), F.round("psi", 4)))
+    both = [f for f in features if f in reference.columns and f in current.columns]
+    found = _indices(reference, current, both, 10) if both else {}
+    out = reference.sparkSession.createDataFrame(list(found.items()), "feature string, psi double").withColumn("psi", F.round("psi", 4))
     return out.withColumn("drifted", F.col("psi") > limit).orderBy(F.desc_nulls_last("psi"), "feature")
 
 
@@ -159,10 +175,10 @@ def logger(name: str) -> logging.Logger:
     return logging.getLogger(name)
 
 
-def run_pipeline(prospects: DataFrame, features: list[str], target: str, registry: Registry, holdout_years: int = 2, alpha: float = 10.0) -> dict:
+def run_pipeline(prospects: DataFrame, features: list[str], target: str, registry: Registry, holdout_years: int = 2, alpha: float = 10.0, key: str = "player_id") -> dict:
     """Split in time, compare models by walk-forward folds, train, score the holdout once, register, watch drift."""
     from plumbline.operators.cleaning import Preprocessor
-    from plumbline.operators.metrics import rmse, spearman
+    from plumbline.operators.metrics import default_metrics
     from plumbline.operators.models import Linear, mean_model, ridge
     from plumbline.operators.temporal import evaluated, holdout, walk_forward, years_of
 
@@ -183,7 +199,7 @@ def run_pipeline(prospects: DataFrame, features: list[str], target: str, registr
     def fit_mean(train: DataFrame) -> Fitted:
         return Fitted(Preprocessor(features).fit(train), mean_model(train, target))
 
-    scores = {"spearman": lambda d: spearman(d, target, "prediction"), "rmse": lambda d: d.agg(rmse(F.col(target), F.col("prediction")))}
+    scores = default_metrics(target, key)
     results = {name: evaluated(dev, folds, fit, scores)[1] for name, fit in (("ridge", fit_ridge), ("mean", fit_mean))}
     final = fit_ridge(dev)
     scored = final.transform(held)

@@ -13,6 +13,8 @@ SKILLS = ["scoring", "shooting_spacing", "playmaking", "rebounding", "rim_protec
 # The label of each dominant skill.
 ARCHETYPES = ["Scorer", "Floor Spacer", "Playmaker", "Rebounder", "Rim Protector", "Perimeter Defender"]
 TARGET_LEVEL = 60.0
+#: Teams that prospects are paired with at most.
+TEAMS = 10_000
 
 
 @dataclass(frozen=True)
@@ -111,22 +113,39 @@ def team_supply(roster: DataFrame, team: str = "team_id") -> DataFrame:
     return supply.withColumns({"need": F.greatest(F.lit(0.0), TARGET_LEVEL - F.col("supply")), "surplus": F.greatest(F.lit(0.0), F.col("supply") - TARGET_LEVEL)})
 
 
+def few_teams(teams: DataFrame) -> DataFrame:
+    """A table of a row a team, to be sent to all tasks; over ``TEAMS`` rows are an error."""
+    if (n := teams.count()) > TEAMS:
+        raise ValueError(f"{n} teams; pairing every prospect with every team is meant for {TEAMS} at most")
+    return F.broadcast(teams)
+
+
 def synergy(prospects: DataFrame, supply: DataFrame, team: str = "team_id", key: str = "player_id") -> DataFrame:
     """Each prospect with each team: complementarity, redundancy and net, to four places.
 
     A team's six needs become columns first, so the pairing makes one row for a pair.
     """
     wide = supply.groupBy(team).agg(*(F.max(F.when(F.col("skill") == s, F.col(c))).alias(f"_{c}_{s}") for s in SKILLS for c in ("need", "surplus")))
-    pairs = prospects.crossJoin(F.broadcast(wide))  # teams are a few dozen by nature
+    pairs = prospects.crossJoin(few_teams(wide))
     total = lambda c: sum((F.coalesce(f"_{c}_{s}", F.lit(TARGET_LEVEL if c == "need" else 0.0)) * F.coalesce(s, F.lit(0.0)) for s in SKILLS), F.lit(0.0)) / 600.0
     comp, red = total("need"), total("surplus")
     out = pairs.withColumns({"complementarity": F.round(comp, 4), "redundancy": F.round(red, 4), "net": F.round(comp - 0.5 * red, 4)})
     return out.drop(*(c for c in wide.columns if c != team))
 
 
-def net_rating(impact: Column, spacing: Column, rim: Column) -> Column:
+@dataclass(frozen=True)
+class LineupWeights:
+    """What a point of mean spacing and of the best rim protection is worth, and from where it counts."""
+
+    spacing: float = 0.06
+    spacing_from: float = 55.0
+    rim: float = 0.05
+    rim_from: float = 50.0
+
+
+def net_rating(impact: Column, spacing: Column, rim: Column, w: LineupWeights = LineupWeights()) -> Column:
     """A lineup's net rating from the sum of impact, mean spacing and best rim protection."""
-    return F.round(impact + 0.06 * (spacing - 55.0) + 0.05 * (rim - 50.0), 2)
+    return F.round(impact + w.spacing * (spacing - w.spacing_from) + w.rim * (rim - w.rim_from), 2)
 
 
 def lineups(roster: DataFrame, team: str = "team_id", order: str = "name") -> DataFrame:
@@ -136,7 +155,7 @@ def lineups(roster: DataFrame, team: str = "team_id", order: str = "name") -> Da
     return five.withColumn("weakest", F.row_number().over(w.orderBy("impact", order)) == 1).drop("_n")
 
 
-def lineup_upgrade(prospects: DataFrame, lineup: DataFrame, team: str = "team_id") -> DataFrame:
+def lineup_upgrade(prospects: DataFrame, lineup: DataFrame, team: str = "team_id", weights: LineupWeights = LineupWeights()) -> DataFrame:
     """Each prospect with each team: net rating before and after taking the weakest's place, and who that is."""
     rest = F.col("weakest") == F.lit(False)
     sums = lineup.groupBy(team).agg(
@@ -144,9 +163,9 @@ def lineup_upgrade(prospects: DataFrame, lineup: DataFrame, team: str = "team_id
         F.coalesce(F.sum(F.when(rest, F.col("impact"))), F.lit(0.0)).alias("_i4"), F.coalesce(F.sum(F.when(rest, F.col("shooting_spacing"))), F.lit(0.0)).alias("_s4"), F.max(F.when(rest, F.col("rim_protection"))).alias("_r4"),
         F.max(F.when(F.col("weakest"), F.col("name"))).alias("replaced"),
     )
-    out = prospects.crossJoin(F.broadcast(sums))
-    before = net_rating(F.col("_i"), F.col("_s"), F.col("_r"))
-    after = net_rating(F.col("_i4") + F.col("impact"), (F.col("_s4") + F.col("shooting_spacing")) / F.col("_k"), F.greatest(F.coalesce("_r4", F.lit(0.0)), F.col("rim_protection")))
+    out = prospects.crossJoin(few_teams(sums))
+    before = net_rating(F.col("_i"), F.col("_s"), F.col("_r"), weights)
+    after = net_rating(F.col("_i4") + F.col("impact"), (F.col("_s4") + F.col("shooting_spacing")) / F.col("_k"), F.greatest(F.coalesce("_r4", F.lit(0.0)), F.col("rim_protection")), weights)
     out = out.withColumns({"before": before, "after": after, "delta": F.round(after - before, 2)})
     return out.drop(*(c for c in sums.columns if c.startswith("_")))
 
@@ -160,7 +179,7 @@ def team_fit(prospects: DataFrame, roster: DataFrame, payroll: DataFrame, cap: C
     cap = cap or load_cap()
     pairs = synergy(prospects, team_supply(roster, team), team)
     moved = lineup_upgrade(prospects.select("player_id", "impact", "shooting_spacing", "rim_protection"), lineups(roster, team), team).select("player_id", team, "before", "after", "delta", "replaced")
-    out = pairs.join(moved, ["player_id", team]).join(F.broadcast(payroll), team, "left")
+    out = pairs.join(moved, ["player_id", team]).join(payroll, team, "left")
     times, label = apron(F.coalesce("total_salary", F.lit(0.0)), cap)
     out = out.withColumns({"rsv_usd": real_surplus(F.col("vorp"), F.col("pick"), cap), "apron_label": label, "_times": times})
     out = out.withColumn("rsv_modulated_usd", F.round(F.col("rsv_usd") * F.col("_times"), 2))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import TIER_EDGES, TIERS, linear_quantile, normal_cdf
 from plumbline.operators.models import Linear, gramian, ridge, ridge_from
+from plumbline.operators.ordered import quantiles, running_total
 
 
 def uniform(key: str, seed: int) -> Column:
@@ -54,11 +55,8 @@ class SplitConformal:
         if not n:
             raise ValueError("no calibration rows")
         level = min(1.0, math.ceil((n + 1) * (1 - self.alpha)) / n)
-        place = math.ceil((n - 1) * level)  # the order statistic above, from 0
-        self.width = held.agg(F.percentile("a", place / max(1, n - 1))).first()[0]
-        # signed residuals for tiers: at most 1001 of their quantiles
-        self.residuals = held.agg(F.percentile("r", F.lit([i / 1000 for i in range(1001)]))).first()[0]
-        held.unpersist()
+        self.width = quantiles(held, {"a": [level]}, ceil=True)["a"][0]  # the order statistic above
+        self.residuals, self.n = held.select("r"), n
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -66,8 +64,19 @@ class SplitConformal:
         return out.withColumns({"lower": F.col("prediction") - self.width, "upper": F.col("prediction") + self.width})
 
     def tiers(self, df: DataFrame) -> DataFrame:
-        samples = F.transform(F.array(*map(F.lit, self.residuals)), lambda r: F.col("prediction") + r)
-        return self.model.transform(df).withColumn("_s", samples).withColumns(tiers_from_samples(F.col("_s"))).drop("_s")
+        """Each tier's share of the prediction plus each of all signed residuals; ``key`` tells rows apart.
+
+        A row asks how many residuals are under each edge less its prediction; questions and
+        residuals are put in one order, and a running count answers them all.
+        """
+        rows = self.model.transform(df)
+        asked = rows.select(F.col(self.key).alias("_key"), F.posexplode(F.array(*(F.lit(e) - F.col("prediction") for e in TIER_EDGES))).alias("_edge", "_x")).withColumn("_one", F.lit(0))
+        told = self.residuals.select(F.lit(None).cast(df.schema[self.key].dataType).alias("_key"), F.lit(None).cast("int").alias("_edge"), F.col("r").alias("_x"), F.lit(1).alias("_one"))
+        under = running_total(asked.union(told), "_x", "_one", "_under", "_one").where("_one = 0")
+        below = under.groupBy("_key").agg(*(F.max(F.when(F.col("_edge") == i, F.col("_under"))).alias(f"_c{i}") for i in range(len(TIER_EDGES))))
+        at = [F.lit(0), *(F.col(f"_c{i}") for i in range(len(TIER_EDGES))), F.lit(self.n)]
+        shares = {f"p_{t}": F.round((b - a) / F.lit(float(self.n)), 4) for t, a, b in zip(TIERS, at, at[1:], strict=False)}
+        return rows.join(below, F.col(self.key) == F.col("_key")).withColumns(shares).drop("_key", *(f"_c{i}" for i in range(len(TIER_EDGES))))
 
 
 class Bootstrap:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordered import numbered
 from plumbline.plans.registry import table
 
 THROUGH = 2001
 
 
 def draft(spark: SparkSession, d: str) -> DataFrame:
-    """player_id, full_name, draft_year, draft_pick (by balance in a year), league, organization."""
+    """player_id, full_name, draft_year, league, organization and balance."""
     c = table(spark, d, "customer").where("c_custkey is not null")
     year = (F.lit(1993) + F.col("c_custkey") % 6).cast("long")
     rows = c.select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("full_name"), year.alias("draft_year"), F.col("c_mktsegment").alias("league_id"), F.col("c_nationkey").cast("long").alias("organization"), F.col("c_acctbal").alias("balance"))
-    pick = F.row_number().over(Window.partitionBy("draft_year").orderBy(F.desc("balance"), "player_id"))
-    return rows.withColumn("draft_pick", pick.cast("long"))
+    return rows
+
+
+def picks(spark: SparkSession, d: str) -> DataFrame:
+    """``draft`` with draft_pick: the place by balance in a year."""
+    return numbered(draft(spark, d), ["draft_year"], -F.col("balance"), ["player_id"], "draft_pick")
 
 
 def seasons(spark: SparkSession, d: str) -> DataFrame:

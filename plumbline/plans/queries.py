@@ -10,7 +10,7 @@ from plumbline.functions.expressions import TIERS, normal_cdf
 from plumbline.operators import board, cleaning, eda, explain, features, labels, metrics, mlops, models, ordered, team_fit, temporal, uncertainty
 from plumbline.plans import binding as b
 from plumbline.plans.registry import query, table
-from plumbline.sources import fixtures, parse
+from plumbline.sources import parse
 
 WITH_SEASONS = f"with {b.DRAFT_SQL}, {b.SEASONS_SQL}"
 WITH_IMPACT = f"{WITH_SEASONS}, {b.IMPACT_SQL}"
@@ -29,16 +29,11 @@ def _r(c: str, n: int = 6):
 select row_number() over (order by value desc, player_id)::bigint as board_rank, player_id, full_name, draft_year, draft_pick, outcome_tier, value, round(cumulative_value, 4) as cumulative_value from v where resolved""")
 def ranked_board(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: seasons to impact to labels to a board by realised value."""
-    rows = b.labels(spark, d).where("resolved").join(b.draft(spark, d).select("player_id", "full_name", "draft_pick"), "player_id")
+    rows = b.labels(spark, d).where("resolved").join(b.picks(spark, d).select("player_id", "full_name", "draft_pick"), "player_id")
     rows = rows.withColumn("value", labels.realized_value(F.round("peak_impact", 4), F.col("reached")))
     rows = rows.select("player_id", "full_name", "draft_year", "draft_pick", "outcome_tier", "value", _r("cumulative_value", 4))
-    per_value = rows.groupBy((-F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    before = ordered.running_total(per_value, "v", "n", "before").select(F.col("v").alias("_v"), "before")
-    ranked = rows.join(before, F.col("value") == -F.col("_v"))
-    within = F.row_number().over(Window.partitionBy("value").orderBy("player_id"))
-    return ranked.select((F.col("before") + within).cast("long").alias("board_rank"), *rows.columns)
+    rows = rows.cache()  # cut, counted and numbered
+    return ordered.numbered(rows, [], -F.col("value"), ["player_id"], "board_rank").select("board_rank", *rows.columns)
 
 
 @query(f"{WITH_IMPACT} select player_id, season_year, minutes, ebpm, vorp from impact")
@@ -310,7 +305,7 @@ def walk_forward(spark, d):
 
 @query(f"{WITH_LABELS}, x as (select l.peak_impact as y, ln(d.draft_pick::double) as p from labels_ l join draft d using (player_id) where peak_impact is not null) select round(regr_slope(y, p), 6) as slope, round(regr_intercept(y, p), 6) as intercept from x")
 def draft_position_baseline(spark, d):
-    rows = b.labels(spark, d).join(b.draft(spark, d).select("player_id", "draft_pick"), "player_id").where("peak_impact is not null")
+    rows = b.labels(spark, d).join(b.picks(spark, d).select("player_id", "draft_pick"), "player_id").where("peak_impact is not null")
     m = models.DraftPosition().fit(rows, "peak_impact")
     return spark.createDataFrame([(round(m.slope, 6), round(m.intercept, 6))], "slope double, intercept double")
 
@@ -400,11 +395,11 @@ def lineup_rating(spark, d):
 _W = ", ".join(f"max(supply) filter (where skill = '{s}') as {s}" for s in team_fit.SKILLS)
 
 
-@query(f"with {_PLAYERS_SQL}, {_LONG_SQL}, w as (select team_id as t, {_W} from supply group by 1), pool as (select * from players where player_id % 50 = 0) select pool.player_id, w.t as team_id, round((" + " + ".join(f"greatest(0, 60 - w.{s}) * pool.{s}" for s in team_fit.SKILLS) + ") / 600.0::double, 4) as complementarity, round((" + " + ".join(f"greatest(0, w.{s} - 60) * pool.{s}" for s in team_fit.SKILLS) + ") / 600.0::double, 4) as redundancy from pool cross join w")
+@query(f"with {_PLAYERS_SQL}, {_LONG_SQL}, w as (select team_id as t, {_W} from supply group by 1), pool as (select * from players) select pool.player_id, w.t as team_id, round((" + " + ".join(f"greatest(0, 60 - w.{s}) * pool.{s}" for s in team_fit.SKILLS) + ") / 600.0::double, 4) as complementarity, round((" + " + ".join(f"greatest(0, w.{s} - 60) * pool.{s}" for s in team_fit.SKILLS) + ") / 600.0::double, 4) as redundancy from pool cross join w")
 def synergy_scores(spark, d):
-    """The last class, every fiftieth player by the binding, meets all teams."""
+    """Every player meets every team."""
     p = _players(spark, d)
-    pool = p.where("player_id % 50 = 0").drop("team_id", "name")
+    pool = p.drop("team_id", "name")
     return team_fit.synergy(pool, team_fit.team_supply(p)).select("player_id", "team_id", "complementarity", "redundancy")
 
 
@@ -418,7 +413,7 @@ def archetypes(spark, d):
 
 
 def _features(spark, d):
-    rows = b.labels(spark, d).join(features.primary_season(b.seasons(spark, d), season="season_year").drop("season_year"), "player_id").join(b.draft(spark, d).select("player_id", "full_name", "draft_pick", "league_id"), "player_id")
+    rows = b.labels(spark, d).join(features.primary_season(b.seasons(spark, d), season="season_year").drop("season_year"), "player_id").join(b.picks(spark, d).select("player_id", "full_name", "draft_pick", "league_id"), "player_id")
     return rows
 
 
@@ -469,8 +464,7 @@ def cox_risk(spark, d):
 
 @query()
 def entity_resolution(spark, d):
-    """The messy three-source fixture: six people."""
-    _, identity = cleaning.resolve_entities(list(fixtures.multisource(spark)))
+    """All parts by name and year, from two sources that spell them differently, by difflib's ratio."""
+    p = table(spark, d, "part").select(F.col("p_name").alias("full_name"), (1993 + F.col("p_partkey") % 6).alias("draft_year"))
+    _, identity = cleaning.resolve_entities([p, p.withColumn("full_name", F.concat(F.upper("full_name"), F.lit(" III")))])
     return identity
-
-

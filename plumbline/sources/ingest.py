@@ -45,13 +45,14 @@ class Source:
     enabled: bool = False
     scraping_allowed: bool = False
     requires_key: bool = False
+    attribution_required: bool = False
     coverage: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.kind not in ("api", "open_dataset", "scrape"):
             raise ValueError(f"{self.id}: kind {self.kind}")
-        if not self.license:
-            raise ValueError(f"{self.id}: no licence")
+        if self.license is None or self.license.strip().upper() in ("", "UNKNOWN"):
+            raise ValueError(f"{self.id}: no known licence")
         if self.enabled and self.kind != "open_dataset" and self.rate_limit_per_min <= 0:
             raise ValueError(f"{self.id}: enabled without a rate")
 
@@ -60,10 +61,16 @@ class Source:
         return 60.0 / self.rate_limit_per_min if self.rate_limit_per_min > 0 else 0.0
 
 
-def load_sources(path: str | Path) -> dict[str, Source]:
-    """Sources by id from a YAML file; an id that occurs twice is an error."""
+#: Where the registry of sources is looked for.
+SOURCES = Path("configs/sources.yaml")
+
+
+def load_sources(path: str | Path = SOURCES) -> dict[str, Source]:
+    """Sources by id from a YAML file; an id that occurs twice, or no such file, is an error."""
     import yaml
 
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no registry of sources at {path}")
     known, out = set(Source.__dataclass_fields__), {}
     for entry in yaml.safe_load(Path(path).read_text())["sources"]:
         s = Source(**{k: tuple(v) if k == "coverage" else v for k, v in entry.items() if k in known})
@@ -81,13 +88,15 @@ def get_source(sources: dict[str, Source], name: str) -> Source:
 
 def cache_key(url: str, params: dict | None = None) -> str:
     """24 hex digits of a hash of the URL and its parameters in order."""
-    return hashlib.sha256(f"{url}?{'&'.join(f'{k}={v}' for k, v in sorted((params or {}).items()))}".encode()).hexdigest()[:24]
+    query = "&".join(f"{k}={v}" for k, v in sorted((params or {}).items()))
+    return hashlib.sha256((f"{url}?{query}" if query else url).encode()).hexdigest()[:24]
 
 
 def cache_key_column(url: Column, params: Column) -> Column:
     """``cache_key`` of a URL and a map column."""
     pairs = F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return F.substring(F.sha2(F.concat(url, F.lit("?"), F.array_join(pairs, "&")), 256), 1, 24)
+    query = F.array_join(pairs, "&")
+    return F.substring(F.sha2(F.when(F.coalesce(F.size(params), F.lit(0)) > 0, F.concat(url, F.lit("?"), query)).otherwise(url), 256), 1, 24)
 
 
 @dataclass
@@ -97,40 +106,72 @@ class Provenance:
     params: dict
     sha256: str
     license: str
+    n_bytes: int = 0
+    attribution_required: bool = False
     fetched_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
 
+def provenance(source: Source, url: str, params: dict, content: bytes) -> Provenance:
+    return Provenance(source.id, url, params, hashlib.sha256(content).hexdigest(), source.license, len(content), source.attribution_required)
+
+
 class FileCache:
-    """Payloads and their provenance by key in a folder."""
+    """Payloads and their provenance by key, a folder for each source; on the driver, which lands them.
 
-    def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    Point it at a mounted folder that executors share where Spark is to read them in bulk.
+    """
 
-    def get(self, key: str) -> bytes | None:
-        path = self.folder / key
+    def __init__(self, folder: str | Path, extension: str = "bin"):
+        self.folder, self.extension = Path(folder), extension.lstrip(".")
+
+    def path(self, source: str, key: str) -> Path:
+        return self.folder / source / f"{key}.{self.extension}"
+
+    def get(self, source: str, key: str) -> bytes | None:
+        path = self.path(source, key)
         return path.read_bytes() if path.exists() else None
 
-    def put(self, key: str, content: bytes, provenance: Provenance) -> None:
-        (self.folder / key).write_bytes(content)
-        (self.folder / f"{key}.prov.json").write_text(provenance.to_json())
+    def put(self, source: str, key: str, content: bytes, provenance: Provenance) -> Path:
+        path = self.path(source, key)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(content)
+        (path.parent / f"{key}.prov.json").write_text(provenance.to_json())
+        return path
+
+
+def http_fetcher(headers: dict[str, str] | None = None, timeout: float = 30.0, agent: str = "plumbline") -> Fetcher:
+    """A fetcher over HTTP by the standard library; a status that isn't 200 is returned, not raised."""
+    own = {"User-Agent": agent} | (headers or {})
+
+    def fetch(url: str, params: dict, more: dict) -> tuple[int, bytes]:
+        from urllib.error import HTTPError
+        from urllib.parse import urlencode
+        from urllib.request import Request, urlopen
+
+        try:
+            with urlopen(Request(f"{url}?{urlencode(params)}" if params else url, headers=own | more), timeout=timeout) as answer:
+                return answer.status, answer.read()
+        except HTTPError as e:
+            return e.code, e.read()
+
+    return fetch
 
 
 def landed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Landed payloads, a file a row: path and value."""
-    return spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder).withColumn("path", F.input_file_name())
+    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("wholetext", True).text(folder).withColumn("path", F.input_file_name())
 
 
 def provenance_table(spark: SparkSession, folder: str) -> DataFrame:
-    return landed(spark, folder, "*.prov.json").select("path", F.from_json("value", "struct<source:string,url:string,params:map<string,string>,sha256:string,license:string,fetched_at:string>").alias("p")).select("path", "p.*")
+    return landed(spark, folder, "*.prov.json").select("path", F.from_json("value", "struct<source:string,url:string,params:map<string,string>,sha256:string,license:string,n_bytes:long,attribution_required:boolean,fetched_at:string>").alias("p")).select("path", "p.*")
 
 
 def verified(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256 of each payload in a folder, by Spark's binary reader."""
-    return spark.read.format("binaryFile").load(folder).where(~F.col("path").endswith(".prov.json")).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(~F.col("path").endswith(".prov.json")).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 class RateLimiter:
@@ -170,7 +211,7 @@ class PoliteClient:
 
     RETRIED = (429, 500, 502, 503, 504)
 
-    def __init__(self, source: Source, cache: FileCache, fetch: Fetcher, robots: Robots | None = None, limiter: RateLimiter | None = None, tries: int = 3, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, source: Source, cache: FileCache, fetch: Fetcher, robots: Robots | None = None, limiter: RateLimiter | None = None, tries: int = 4, backoff: float = 1.0, sleep: Callable[[float], None] = time.sleep):
         self.source, self.cache, self.fetch, self.robots = source, cache, fetch, robots
         self.limiter = limiter or RateLimiter(source.min_interval_s, sleep=sleep)
         self.tries, self.backoff, self.sleep = tries, backoff, sleep
@@ -183,11 +224,11 @@ class PoliteClient:
 
     def get(self, url: str, params: dict | None = None, headers: dict | None = None) -> bytes:
         key = cache_key(url, params)
-        if (held := self.cache.get(key)) is not None:
+        if (held := self.cache.get(self.source.id, key)) is not None:
             return held
         self._allow(url)
         body = self._tried(url, params or {}, headers or {})
-        self.cache.put(key, body, Provenance(self.source.id, url, params or {}, hashlib.sha256(body).hexdigest(), self.source.license))
+        self.cache.put(self.source.id, key, body, provenance(self.source, url, params or {}, body))
         return body
 
     def _tried(self, url: str, params: dict, headers: dict) -> bytes:
@@ -198,7 +239,7 @@ class PoliteClient:
             self.limiter.wait()
             try:
                 status, body = self.fetch(url, params, headers)
-            except OSError as e:
+            except Exception as e:  # noqa: BLE001 - a fetcher has errors of its own; all are tried again
                 why = str(e)
                 continue
             if status == 200:
@@ -220,7 +261,7 @@ class StatsIngester:
 
     def _cached(self, endpoint: str, params: dict, safe: bool = False) -> str:
         key = cache_key(f"{self.source.base_url}/{endpoint}", params)
-        if (held := self.cache.get(key)) is not None:
+        if (held := self.cache.get(self.source.id, key)) is not None:
             return held.decode()
         self.limiter.wait()
         try:
@@ -229,7 +270,7 @@ class StatsIngester:
             if not safe:
                 raise
             text = self.EMPTY
-        self.cache.put(key, text.encode(), Provenance(self.source.id, endpoint, params, hashlib.sha256(text.encode()).hexdigest(), self.source.license))
+        self.cache.put(self.source.id, key, text.encode(), provenance(self.source, endpoint, params, text.encode()))
         return text
 
     def draft_history(self, year: int) -> str:
@@ -277,7 +318,7 @@ class AbroadIngester:
 
     def player_season(self, season: int) -> str:
         key = cache_key(f"{self.source.base_url}/players", {"season": season})
-        if (held := self.cache.get(key)) is not None:
+        if (held := self.cache.get(self.source.id, key)) is not None:
             return held.decode()
         try:
             text = json.dumps(self.records(season))
@@ -285,9 +326,21 @@ class AbroadIngester:
             if "404" in str(e):
                 return "[]"
             raise
-        self.cache.put(key, text.encode(), Provenance(self.source.id, "players", {"season": season}, hashlib.sha256(text.encode()).hexdigest(), self.source.license))
+        self.cache.put(self.source.id, key, text.encode(), provenance(self.source, "players", {"season": season}, text.encode()))
         return text
 
 
+def stats_producer(fetch: Fetcher, source: Source) -> Callable[[str, dict], str]:
+    """What ``StatsIngester`` asks for a payload: an endpoint under the source's address."""
+
+    def produce(endpoint: str, params: dict) -> str:
+        status, body = fetch(f"{source.base_url}/{endpoint}", params, {})
+        if status != 200:
+            raise FetchError(f"{endpoint}: status {status}")
+        return body.decode()
+
+    return produce
+
+
 def season_label(year: int) -> str:
     return f"{year}-{(year + 1) % 100:02d}"

@@ -16,10 +16,16 @@ def result_rows(raw: DataFrame, index: int = 0, column: str = "value") -> DataFr
     block = F.coalesce(F.try_element_at(p["resultSets"], F.lit(index + 1)), p["resultSet"])
     rows = raw.select(*[c for c in raw.columns if c != column], block.alias("b"))
     return rows.select(*[c for c in raw.columns if c != column], F.col("b.headers").alias("h"), F.posexplode("b.rowSet").alias("row_no", "r")).select(
-        *[c for c in raw.columns if c != column], "row_no", F.map_from_arrays(F.col("h"), F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.try_element_at(F.col("r"), i.cast("int")))).alias("m")
+        *[c for c in raw.columns if c != column], "row_no", _by_key(F.col("h"), F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.try_element_at(F.col("r"), i.cast("int")))).alias("m")
     )
 
 
+def _by_key(keys: Column, values: Column) -> Column:
+    """A map from keys to values; of a key that occurs twice the last value."""
+    once, back = F.array_distinct(keys), F.reverse(keys)
+    return F.map_from_arrays(once, F.transform(once, lambda k: F.element_at(values, -F.array_position(back, k).cast("int"))))
+
+
 def _get(name: str, kind: str = "string") -> Column:
     return F.try_element_at("m", F.lit(name)).try_cast(kind)
 
@@ -61,7 +67,7 @@ def player_season(base: DataFrame, advanced: DataFrame, season: str) -> DataFram
 
 _COLLEGE = """array<struct<athleteId:string,name:string,team:string,conference:string,season:long,position:string,games:long,minutes:double,points:double,assists:double,
 rebounds:struct<total:double>,steals:double,blocks:double,turnovers:double,trueShootingPct:double,usage:double,effectiveFieldGoalPct:double,threePointFieldGoals:struct<pct:double>,
-offensiveReboundPct:double,offensiveRating:double,defensiveRating:double,netRating:double,PORPAG:double,winShares:struct<totalPer40:double>>>"""
+offensiveReboundPct:double,offensiveRating:double,defensiveRating:double,netRating:double,PORPAG:double,assistsTurnoverRatio:double,winShares:struct<totalPer40:double>>>"""
 
 
 def _per40(x: Column, minutes: Column) -> Column:
@@ -74,7 +80,7 @@ def college_season(raw: DataFrame, column: str = "value") -> DataFrame:
     m = F.coalesce("minutes", F.lit(0.0))
     rates = {"pts": "points", "ast": "assists", "reb": "rebounds.total", "stl": "steals", "blk": "blocks", "tov": "turnovers"}
     pct = {"usage": "usage", "efg": "effectiveFieldGoalPct", "three_pt_pct": "threePointFieldGoals.pct", "oreb_pct": "offensiveReboundPct"}
-    plain = {"off_rating": "offensiveRating", "def_rating": "defensiveRating", "net_rating": "netRating", "porpag": "PORPAG", "ws_per40": "winShares.totalPer40"}
+    plain = {"off_rating": "offensiveRating", "def_rating": "defensiveRating", "net_rating": "netRating", "porpag": "PORPAG", "win_shares_per40": "winShares.totalPer40", "ast_to": "assistsTurnoverRatio"}
     return r.select(
         F.col("athleteId").alias("cbd_athlete_id"), F.col("name").alias("full_name"), F.col("team").alias("school"), "conference", "season", "position", "games", m.alias("minutes"),
         *(_per40(F.col(v), m).alias(f"{k}_per40") for k, v in rates.items()), F.col("trueShootingPct").alias("true_shooting"), *((F.col(v) / 100.0).alias(k) for k, v in pct.items()), *(F.col(v).alias(k) for k, v in plain.items()),
@@ -109,9 +115,12 @@ def season_number(x: Column) -> Column:
 
 
 def abroad_season(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Flat records with keys of any case and spelling as per-40 rates and true shooting."""
+    """Flat records with keys of any case and spelling as per-40 rates and true shooting.
+
+    Of keys that are spelled alike then, the last one's value counts.
+    """
     r = raw.select(F.explode(F.from_json(column, "array<map<string,string>>")).alias("r"))
-    m = r.select(F.map_from_entries(F.array_distinct(F.transform(F.map_entries("r"), lambda e: F.struct(_plain_key(e["key"]).alias("key"), e["value"].alias("value"))))).alias("m"))
+    m = r.select(_by_key(F.transform(F.map_keys("r"), _plain_key), F.map_values("r")).alias("m"))
 
     def field(name: str, kind: str = "double") -> Column:
         keys = [k.lower().replace(".", "").replace("_", "") for k in _ABROAD[name]]

@@ -107,7 +107,7 @@ def test_links_need_no_common_first_letters(spark):
 
 
 def test_every_player_meets_every_team(spark):
-    from plumbline.plans import registry
+    from plumbline.plans import queries, registry  # noqa: F401 - registers itself
 
     players = registry.table(spark, "/root/testdata/sf0.001", "customer").count()
     board = registry.queries()["team_fit_board"](spark, "/root/testdata/sf0.001")
