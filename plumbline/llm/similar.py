@@ -7,7 +7,8 @@ Each text has its set of word shingles and their SimHash fingerprint. Candidates
    three): two sets have similarity 0.8 (their common shingles over all of both) only if the
    first fifth and one more of each, in any order that all sets share, have a shingle in common.
    So those first ones are posted by shingle, and sets that meet there are candidates unless
-   their fingerprints differ by over ``FAR`` bits, which a pair at 0.8 does once in 10**8 at most.
+   their two fingerprints, of other hashes each, differ by over ``FAR`` of 128 bits: a pair at 0.8
+   differs in 19, give or take four, so this happens to one in 10**9.
    The order puts shingles that are frequent in a sample last: this decides how many candidates
    there are, not which pairs are found.
 
@@ -15,8 +16,8 @@ Each candidate pair is verified by its whole sets, so no link rests on fingerpri
 
 Hot keys: equal sets are one from the start. In each posting the sets first meet its smallest
 member only, and a set is verified against the nearest such member before any other; of what is
-then in no common component, members outside the smallest member's component meet the others.
-So a large group of near copies ships about one set a member. Sets are verified in groups of
+then in no common component, members outside the smallest member's component meet the smallest of
+them, and then those outside both meet the others. So a large group of near copies ships about one set a member. Sets are verified in groups of
 ``MEMBERS`` around one of them.
 
 Cases: a null text is an empty text, and texts without words are one group; fewer words than a
@@ -41,8 +42,8 @@ from plumbline.llm.hamming import majority, near_links
 
 #: Bits between fingerprints that the Gray index links before anything else.
 NEAR = 3
-#: Bits between fingerprints beyond which a pair is not verified.
-FAR = 30
+#: Bits of 128, in two fingerprints, beyond which a pair of sets of ``SMALL`` shingles or more is not verified.
+FAR, SMALL = 44, 16
 #: Sets that are verified against one other at once.
 MEMBERS = 512
 #: Documents that the order of shingles is taken from, and shingles at most that come last.
@@ -100,23 +101,25 @@ def _prints(texts: DataFrame, width: int) -> DataFrame:
             "tie": [crc32(x.encode()) for x in texts],
             "key": [key_of(s) for s in sets],
             "fp": np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
+            "fp2": np.array([majority(s * _MIX[0] ^ (s >> _MIX[2])) if len(s) else 0 for s in sets], np.uint64).view(np.int64),
             "size": [len(s) for s in sets],
             "first": [first_of(s, hot, n).view(np.int64) for s in sets],
         }
 
-    made = arrow_map(texts, run, "doc_id long, tie long, key long, fp long, size int, first array<long>")
+    made = arrow_map(texts, run, "doc_id long, tie long, key long, fp long, fp2 long, size int, first array<long>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
 def _bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    """In how many of 128 bits the fingerprints with these prefixes differ."""
+    return sum((F.bit_count(F.col(f"{a}{fp}").bitwiseXOR(F.col(f"{b}{fp}"))) for fp in ("fp", "fp2")), F.lit(0))
 
 
 def _may(a: str, b: str) -> Column:
     """Whether postings (size, pos and fp with these prefixes), pos being the first common shingle's
     place, can be of sets with similarity 0.8."""
     enough = 9 * F.least(F.col(f"{a}size") - F.col(f"{a}pos"), F.col(f"{b}size") - F.col(f"{b}pos")) >= 4 * (F.col(f"{a}size") + F.col(f"{b}size"))
-    return enough & (_bits(f"{a}fp", f"{b}fp") <= FAR)
+    return enough & ((F.least(f"{a}size", f"{b}size") < SMALL) | (_bits(a, b) <= FAR))
 
 
 def _common(table: pa.Table) -> dict:
@@ -174,15 +177,21 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     equal = whole.join(of_fp, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
 
     # 2: postings of first shingles that several sets have
-    single = stored(prints.where("size > 0").join(owner.select("row"), "row", "left_semi").select("row", "size", "fp", "first"), "firsts")
-    posts = single.select("row", F.posexplode("first").alias("pos", "gram"), "size", "fp")
+    single = stored(prints.where("size > 0").join(owner.select("row"), "row", "left_semi").select("row", "size", "fp", "fp2", "first"), "firsts")
+    posts = single.select("row", F.posexplode("first").alias("pos", "gram"), "size", "fp", "fp2")
     often = stored(posts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     shared = stored(posts.join(often, "gram", "left_semi"), "postings")
     dropped(single)
     dropped(often)
-    least = shared.groupBy("gram").agg(F.min(F.struct("size", "row", "pos", "fp")).alias("r"))
-    met = shared.join(least.select("gram", *(F.col(f"r.{c}").alias(f"r_{c}") for c in ("size", "row", "pos", "fp"))), "gram")
-    star = met.where((F.col("row") != F.col("r_row")) & _may("", "r_")).select(F.col("row").alias("a"), F.col("r_row").alias("b"), _bits("fp", "r_fp").alias("bits"))
+    what = ["row", "size", "pos", "fp", "fp2"]
+
+    def with_least(rows: DataFrame, prefix: str) -> DataFrame:
+        """Each posting with its gram's smallest one."""
+        least = rows.groupBy("gram").agg(F.min(F.struct("size", *(c for c in what if c != "size"))).alias("r"))
+        return rows.join(least.select("gram", *(F.col(f"r.{c}").alias(f"{prefix}{c}") for c in what)), "gram")
+
+    met = with_least(shared, "r_")
+    star = met.where((F.col("row") != F.col("r_row")) & _may("", "r_")).select(F.col("row").alias("a"), F.col("r_row").alias("b"), _bits("", "r_").alias("bits"))
     star = stored(star.distinct(), "star")
     nearest = star.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
     first = stored(linked.union(equal).union(nearest).distinct(), "pairs")
@@ -199,13 +208,20 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     apart = with_part(with_part(star, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
     links = links.union(verified(stored(apart.join(first, ["a", "b"], "left_anti"), "pairs"), prints, texts, width))
     parts = parts_of(links)
-    # and those of members outside its component
-    named = with_part(with_part(met.select("gram", "row", "size", "pos", "fp", "r_row"), "row", "part"), "r_row", "r_part")
-    named = stored(named.select("gram", "row", "size", "pos", "fp", "part", (F.col("part") != F.col("r_part")).alias("out")), "postings")
+    # then, of members outside its component, those with the smallest of them
+    named = with_part(with_part(met.select("gram", *what, "r_row"), "row", "part"), "r_row", "r_part")
+    named = stored(named.select("gram", *what, "part", (F.col("part") != F.col("r_part")).alias("out")), "postings")
     dropped(shared)
-    outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in ("row", "size", "pos", "fp", "part")))
+    second = with_least(named.where("out").select("gram", *what, "part"), "s_").where((F.col("row") != F.col("s_row")) & _may("", "s_"))
+    second = with_part(second.select(F.col("row").alias("a"), F.col("s_row").alias("b"), "part").distinct(), "b", "pb").where("part <> pb").select("a", "b")
+    second = stored(second.join(star, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(verified(second, prints, texts, width))
+    parts = parts_of(links)
+    # and what is outside still with all others
+    named = stored(with_part(named.drop("part"), "row", "part"), "postings")
+    outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in (*what, "part")))
     rest = outer.join(named, "gram").where((F.col("part") != F.col("o_part")) & _may("", "o_") & (~F.col("out") | (F.col("row") < F.col("o_row"))))
-    rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b")).distinct().join(star, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
     links = links.union(verified(stored(rest, "pairs"), prints, texts, width))
     parts = parts_of(links)
 
