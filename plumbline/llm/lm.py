@@ -5,7 +5,9 @@ each place, are summed, pass a tanh layer, and give first a class of tokens, the
 it. A document's score is the sum of the log probabilities of all its tokens.
 
 Words go to ``HASHED`` hash buckets; the most frequent buckets are tokens of their own, the
-others share the rest of the ``VOCABULARY``. Counts are over all documents. Training goes over
+others share the rest of the ``VOCABULARY``. A word of a shared token has the token's probability
+times its bucket's share of the token in the whole corpus, so rare words weigh as what they are,
+and ones that never occurred least. Counts are over all documents. Training goes over
 all documents as well, masking one token in ``MASK`` in each of ``ROUNDS`` rounds: each
 partition steps through its own documents from the common parameters, and the results are
 averaged by their examples, in a tree whose groups are bounded.
@@ -29,6 +31,8 @@ from plumbline.llm.common import arrow_map, doc_texts, partition_map, stored
 HASHED, VOCABULARY, CLASSES, HIDDEN, SIDE = 1 << 16, 1024, 32, 32, 2
 #: Buckets of rare words at the end of the vocabulary.
 SHARED = 128
+#: Added to a bucket's count.
+UNSEEN = 0.5
 MASK, ROUNDS, RATE, STEP = 12, 2, 0.15, 1024
 #: Parameter sets that are averaged at once, and partitions that train at most.
 FAN, TRAINERS = 32, 4096
@@ -49,6 +53,14 @@ def vocabulary(counts: dict[int, int]) -> np.ndarray:
     return tokens
 
 
+def log_shares(counts: dict[int, int], tokens: np.ndarray) -> np.ndarray:
+    """The log of each bucket's share of its token, by counts with ``UNSEEN`` added: 0 for a token of one bucket."""
+    n = np.full(HASHED, UNSEEN)
+    for bucket, k in counts.items():
+        n[bucket] += k
+    return np.log(n / np.bincount(tokens, n, VOCABULARY)[tokens])
+
+
 def fresh_parameters(seed: int = 7) -> dict[str, np.ndarray]:
     """Random parameters; the last embedding is that of the places beyond a text's ends."""
     rng, words = np.random.default_rng(seed), VOCABULARY // CLASSES
@@ -202,12 +214,13 @@ def averaged(sets: DataFrame) -> np.ndarray | None:
         sets = partition_map(sets.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).repartition("part"), merge, "part int, weights binary, examples long")
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict]:
-    """(token of each hash bucket, parameters), from counts and training over all of ``docs``."""
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict, np.ndarray]:
+    """(token of each hash bucket, parameters, log share of each bucket), from counts and training over all of ``docs``."""
     from pyspark import TaskContext
 
     texts = doc_texts(docs).select("text")
-    tokens = vocabulary(bucket_counts(texts))
+    counts = bucket_counts(texts)
+    tokens = vocabulary(counts)
     p = fresh_parameters()
     for turn in range(rounds):
         start = p
@@ -221,16 +234,18 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, dict]:
 
         got = averaged(texts.coalesce(TRAINERS).mapInArrow(run, "part int, weights binary, examples long"))
         p = shaped(got) if got is not None else p
-    return tokens, p
+    return tokens, p, log_shares(counts, tokens)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[np.ndarray, dict, np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of each row of ``docs``."""
-    tokens, p = model
+    tokens, p, share = model
 
     def run(batch: pa.RecordBatch) -> dict:
-        seq, place, size = padded(batch["text"].to_pylist(), tokens)
-        total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, seq, place))])
+        texts = batch["text"].to_pylist()
+        seq, place, size = padded(texts, tokens)
+        own = share[np.concatenate([*map(hashed, texts), np.zeros(0, np.int64)])]
+        total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, seq, place) + own)])
         end = np.cumsum(size)
         score = np.where(size > 0, total[end] - total[end - size], 0.0)
         return {"doc_id": batch["doc_id"], "n_tokens": size, "log_likelihood": score, "mean_log_likelihood": pa.array(score / np.maximum(size, 1), mask=size == 0)}

@@ -528,12 +528,25 @@ def test_gradients_equal_differences():
     assert abs((up - down) / 2e-5 - back[token == row, 2].sum()) < 1e-6
 
 
+def test_shares_of_shared_tokens():
+    """Buckets' shares of a token sum to one, go by counts, and are least for what never occurred."""
+    counts = {k: 10_000 - k for k in range(3000)}
+    tokens = lm.vocabulary(counts)
+    share = lm.log_shares(counts, tokens)
+    assert np.allclose(np.bincount(tokens, np.exp(share), lm.VOCABULARY), 1)
+    own = tokens < lm.VOCABULARY - lm.SHARED
+    assert np.allclose(share[own], 0) and (share[~own] < 0).all()
+    shared = [b for b in range(lm.HASHED) if tokens[b] == tokens[2000]]
+    assert sorted(shared, key=lambda b: -share[b])[:3] == sorted(shared, key=lambda b: -counts.get(b, 0))[:3]
+    assert share[60_000] < share[2999]
+
+
 def test_training_helps_held_out_text(spark, empty, clash):
     rng = random.Random(13)
     line = lambda: " ".join(w for _ in range(12) for w in rng.choice([("red", "apple", "pie"), ("blue", "sky", "high"), ("green", "grass", "grows")]))
     train = spark.createDataFrame([(k, line()) for k in range(400)], "doc_id long, text string").repartition(3)
     model = lm.fit(train)
-    untrained = (model[0], lm.fresh_parameters())
+    untrained = (model[0], lm.fresh_parameters(), model[2])
     other = spark.createDataFrame([(1, line()), (2, " ".join(rng.sample(line().split(), 36)))], "doc_id long, text string")
     after, before = ({r.doc_id: r for r in lm.scored(other, m).collect()} for m in (model, untrained))
     assert after[1].mean_log_likelihood > before[1].mean_log_likelihood + 1
