@@ -21,6 +21,8 @@ from plumbline.functions.workers import importable
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 _own_folder: list[str] = []
+#: Tables that ``stored`` has written in this process.
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,10 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    This cuts lineage: a lost executor costs tasks, not the steps before.
+    This cuts lineage: a lost executor costs tasks, not the steps before. Results are read
+    from such tables, so they stay until ``cleaned``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,10 +58,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete all tables that ``stored`` has written in this process: call it once results are saved elsewhere."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

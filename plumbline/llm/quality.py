@@ -109,7 +109,8 @@ def weighed(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled
     rows = arrow_map(texts, run, "doc_id long, label int, fold int, log_weight double, draw long")
     uniform = (F.pmod(F.xxhash64("doc_id", "draw", F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = stored(rows.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
-    seen = np.array(rows.where("fold = 1").select("log_weight", "label").limit(10 * labelled).collect(), float).reshape(-1, 2)
+    # rows of one doc_id count once, by the least of their texts: at most ``labelled`` rows
+    seen = np.array(rows.where("fold = 1").groupBy("doc_id").agg(F.min("log_weight"), F.min("label")).drop("doc_id").collect(), float).reshape(-1, 2)
     both = len(seen) and 0 < seen[:, 1].sum() < len(seen)
     return rows, best_threshold(seen[:, 0], seen[:, 1]) if both else -np.inf
 

@@ -102,9 +102,21 @@ OP8_SQL = f"""
       select query_id, rank::int as rank, vec_id, score from r where rank <= 20"""
 
 
+#: Rows as they come, each a vector; links by cosine, components by what links reach.
+OP3_SQL = """
+      with recursive v as (select row_number() over () as row, vec_id::bigint as vec_id, embedding::double[] as x,
+             coalesce(list_bool_and(list_transform(embedding, lambda c: c is not null and isfinite(c))) and list_bool_or(list_transform(embedding, lambda c: c <> 0)), false) as fine from embeddings),
+      links as (select p.row as a, q.row as b from v p join v q on p.fine and q.fine and p.row <> q.row and len(p.x) = len(q.x) and list_cosine_similarity(p.x, q.x) >= 0.95),
+      reach as (select row as a, row as b from v union select r.a, l.b from reach r join links l on r.b = l.a),
+      least as (select r.a, min(v.vec_id) as component_id from reach r join v on r.b = v.row group by r.a),
+      degree as (select a, count(*) as n from links group by a)
+      select vec_id, coalesce(n, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, true) as kept
+      from v join least on v.row = least.a left join degree on v.row = degree.a"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_scan": _op7_sql(), "op8_inner_product_search": OP8_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op7_secret_scan": _op7_sql(), "op8_inner_product_search": OP8_SQL}

@@ -26,6 +26,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of one generation of a cache; a cache holds two generations at most.
 CACHE = 220_000
+#: Characters of a key that a cache holds at most: bounds its bytes where text has no spaces.
+LONGEST = 128
 #: Bits that hold an id.
 WIDE = 20
 
@@ -41,7 +43,7 @@ class Cache(dict):
     """A bounded map that fills itself: ``make(key)`` gives what is missing.
 
     Two generations: when the young one is full it becomes the old one, and entries
-    that are used again move to the young one.
+    that are used again move to the young one. Keys over ``LONGEST`` characters are made anew.
     """
 
     def __init__(self, make, size: int = CACHE):
@@ -52,6 +54,8 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

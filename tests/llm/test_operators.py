@@ -86,6 +86,13 @@ def test_broken_bytes_decode_as_the_library_does(library):
         assert bpe.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_chunks_stay_out_of_caches(library):
+    bpe = tokenizer.ByteBPE(BPE)
+    text = "x" * 5000 + " " + "ab" * 3000 + " short"
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*bpe.words, *bpe.chunks])) <= tokenizer.LONGEST
+
+
 def test_encode_and_decode_frames(clash, empty, library):
     rows = tokenizer.decode(tokenizer.encode(clash, BPE), BPE).collect()
     assert len(rows) == len(ROWS)
@@ -385,6 +392,22 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
     assert cross_polytope.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_embedding_dedup", "op8_inner_product_search"])
+def test_vector_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from plumbline.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
+    rel = con.sql(queries.oracle_sql()[name])
+    got = getattr(queries, name)(spark, SF)
+    columns = sorted(rel.columns)
+    assert columns == sorted(got.columns)
+    plain = lambda rows, names: sorted(tuple(round(r[names.index(c)], 9) for c in columns) for r in rows)
+    assert plain(rel.fetchall(), rel.columns) == plain(got.collect(), got.columns)
+
+
 def test_hadamard_is_orthogonal():
     h = cross_polytope.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16))
@@ -541,6 +564,43 @@ def test_shares_of_shared_tokens():
     assert share[60_000] < share[2999]
 
 
+def test_sizes_grow_with_the_corpus():
+    """More words, more buckets and tokens; all are powers of two; shares of a larger vocabulary sum to one."""
+    got = [lm.sizes(10**k) for k in range(15)]
+    assert got[0] == (lm.HASHED, lm.VOCABULARY, lm.CLASSES) and got == sorted(got) and got[9] < got[11] < got[13]
+    assert all(x & (x - 1) == 0 for s in got for x in s) and lm.sizes(16 * 10**12)[0] <= 1 << 27
+    counts = np.random.default_rng(1).zipf(1.5, 1 << 18).astype(np.float32)
+    tokens = lm.vocabulary(counts, 1 << 18, 2048)
+    assert np.allclose(np.bincount(tokens, np.exp(lm.log_shares(counts, tokens))), 1, atol=1e-3) and tokens.max() == 2047
+
+
+def test_each_token_is_a_target_once():
+    """Rounds have other targets and together all; targets don't depend on the documents beside."""
+    rng = np.random.default_rng(3)
+    size = np.array([0, 7, 1, 0, 30, 4, 0])
+    words = rng.integers(0, 1 << 32, size.sum(), dtype=np.uint32)
+    rounds = [lm.targets(words, size, turn) for turn in range(lm.MASK)]
+    assert (np.sum(rounds, 0) == 1).all()
+    assert [lm.targets(words[8:38], np.array([30]), turn).tolist() for turn in range(lm.MASK)] == [r[8:38].tolist() for r in rounds]
+    starts = {lm.targets(rng.integers(0, 1 << 32, 8, dtype=np.uint32), np.array([8]), 0).argmax() for _ in range(60)}
+    assert starts == set(range(lm.MASK))
+
+
+def test_model_of_more_buckets(spark, docs, monkeypatch):
+    """Scores with a grown vocabulary, from the operator and step by step; counts are those of all words."""
+    monkeypatch.setattr(lm, "BUCKETS", 1 << 14)
+    table = lm.word_table(docs)
+    n = table.agg(F.sum("n_tokens")).first()[0]
+    buckets, size, _ = lm.sizes(n)
+    assert buckets > lm.HASHED and size > lm.VOCABULARY
+    expected = np.bincount(np.concatenate([lm.hashed(t or "", buckets) for _, t in ROWS]), minlength=buckets)
+    assert (lm.bucket_counts(table, buckets) == expected).all()
+    rows = lm.pseudo_likelihood(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted((k or 0, len((t or "").lower().encode().split())) for k, t in ROWS)
+    assert all(r.log_likelihood < 0 for r in rows if r.n_tokens)
+    assert len({r.log_likelihood for r in rows if r.doc_id in (1, 5)}) == 1
+
+
 def test_training_helps_held_out_text(spark, empty, clash):
     rng = random.Random(13)
     line = lambda: " ".join(w for _ in range(12) for w in rng.choice([("red", "apple", "pie"), ("blue", "sky", "high"), ("green", "grass", "grows")]))
@@ -592,6 +652,56 @@ def test_reply_order(spark):
     assert quotes.linked(df.limit(0)).count() == 0
 
 
+def slow_links(rows):
+    """Originals, parents, threads and positions by loops over all messages."""
+    held, out = collections.defaultdict(list), {}
+    for conv, turn, _, text in rows:
+        for level, passage in quotes.parsed(text)[1]:
+            for t in {quotes.normalised(x) for x in [passage, *passage.split("\n")]} if level == 0 else ():
+                held[t].append((conv, turn))
+    parent = {}
+    for conv, turn, _, text in rows:
+        parents, originals = [], []
+        for level, passage in quotes.parsed(text)[1]:
+            whole = quotes.normalised(passage)
+            for t in {whole} | {quotes.normalised(x) for x in passage.split("\n")} if level else ():
+                short = len(t) < quotes.LEAST
+                if short and t != whole or not held[t]:
+                    continue
+                here = min((k for c, k in held[t] if c == conv), default=turn)
+                first = (conv, here) if here < turn else min(held[t])
+                if here < turn:
+                    parents.append((level, short, -here))
+                if first[0] != conv or first[1] < turn:
+                    originals.append((level, short, first))
+        parent[conv, turn] = -min(parents)[2] if parents else None
+        out[conv, turn] = (min(originals)[2] if originals else (None, None), parent[conv, turn])
+    ids = [(c, k) for c, k, _, _ in rows]
+    root = union(len(ids), [(i, ids.index((c, parent[c, k]))) for i, (c, k) in enumerate(ids) if parent[c, k] is not None])
+    thread = {x: min(ids[j][1] for j in range(len(ids)) if root[j] == root[i]) for i, x in enumerate(ids)}
+    place = {x: sum((thread[y], y[1]) < (thread[x], x[1]) for y in ids if y[0] == x[0]) for x in ids}
+    return {(*x, *out[x][0], out[x][1], thread[x], place[x]) for x in ids}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quote_trees_equal_brute_force(spark, seed):
+    """Random trees of nested quotes, with common and short lines, in three conversations."""
+    rng = random.Random(seed)
+    said, rows = collections.defaultdict(list), []
+    for turn in range(30):
+        for conv in range(3):
+            lines = [rng.choice(["ok", "yes, do it", "thanks a lot for this", f"a thought of number {rng.randrange(25)}", f"remark {conv} {turn} that is new"]) for _ in range(rng.randint(1, 3))]
+            near = said[conv if rng.random() < 0.8 else rng.randrange(3)]
+            quoted = rng.choice(near) if near and rng.random() < 0.7 else ""
+            some = [x for x in quoted.split("\n") if rng.random() < 0.8 and x]
+            text = "\n".join([*(f">{x}" if x.startswith(">") else f"> {x}" for x in some), *lines])
+            said[conv].append(text)
+            rows.append((conv, turn, "user", text))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn, r.original_conv, r.original_turn, r.parent_turn, r.thread_turn, r.position) for r in quotes.linked(df).collect()}
+    assert got == slow_links(rows)
+
+
 def test_short_quotes_link(spark):
     m = [
         (1, 0, "user", "Shall I go on, or is that enough?"),
