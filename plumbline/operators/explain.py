@@ -1,7 +1,8 @@
-"""Explanations of linear models, partial dependence, importance and counterfactuals."""
+"""Explanations of models, partial dependence, importance and counterfactuals."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -104,3 +105,44 @@ def _mover(predict, now: dict[str, Column], feature: str):
         return F.struct(predict(now | {feature: v}).alias("gain"), F.lit(feature).alias("feature"), v.alias("value"))
 
     return move
+
+
+class SampledShap:
+    """Shapley values of any model, by sampled orders of the features against the background's means.
+
+    ``predict`` adds ``prediction`` to a frame; each order comes with its reverse. A row meets
+    each prefix of each order, ``orders`` * (features + 1) rows in all, and ``predict`` runs once
+    over them. Values of a row sum to its prediction less the base whatever the orders are, and
+    equal ``LinearShap`` for linear models. ``key`` tells the rows apart.
+    """
+
+    def __init__(self, predict: Callable[[DataFrame], DataFrame], features: list[str], background: DataFrame, key: str, orders: int = 16, seed: int = 42):
+        self.predict, self.features, self.key = predict, features, key
+        self.means = list(background.agg(*(F.avg(f) for f in features)).first())
+        rng, n = random.Random(seed), len(features)
+        half = [rng.sample(range(n), n) for _ in range(max(1, orders // 2))]
+        self.orders = [o for x in half for o in (x, x[::-1])]
+
+    def local(self, df: DataFrame) -> DataFrame:
+        """key, shap_base and shap_<feature> of each row."""
+        n, k = len(self.features), len(self.orders)
+        place = [F.element_at(F.array(*(F.lit(o.index(i)) for o in self.orders)), F.col("_order") + 1) for i in range(n)]
+        met = df.select(self.key, *self.features).withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        met = met.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
+        mixed = {f: F.when(place[i] < F.col("_step"), F.col(f)).otherwise(F.lit(float(self.means[i]))) for i, f in enumerate(self.features)}
+        scored = self.predict(met.withColumns(mixed))
+        sign = lambda i: F.when(F.col("_step") == place[i] + 1, 1.0).when(F.col("_step") == place[i], -1.0).otherwise(0.0)
+        parts = [(F.sum(F.col("prediction") * sign(i)) / k).alias(f"shap_{f}") for i, f in enumerate(self.features)]
+        return scored.groupBy(self.key).agg(F.avg(F.when(F.col("_step") == 0, F.col("prediction"))).alias("shap_base"), *parts)
+
+    def importance(self, df: DataFrame) -> DataFrame:
+        """feature, mean_abs_shap; the largest first."""
+        means = self.local(df).agg(F.array(*(F.struct(F.lit(f).alias("feature"), F.avg(F.abs(f"shap_{f}")).alias("mean_abs_shap")) for f in self.features)).alias("s"))
+        return means.select(F.inline("s")).orderBy(F.desc("mean_abs_shap"), "feature")
+
+
+def model_dependence(df: DataFrame, predict: Callable[[DataFrame], DataFrame], feature: str, points: int = 20, grid: list[float] | None = None) -> DataFrame:
+    """``partial_dependence`` of any model: ``predict`` adds ``prediction`` to a frame."""
+    grid = grid if grid is not None else quantile_edges(df, feature, points - 1)
+    met = df.withColumn("_v", F.explode(F.array(*map(F.lit, map(float, grid))))).withColumn(feature, F.col("_v"))
+    return predict(met).groupBy(F.col("_v").alias("value")).agg(F.avg("prediction").alias("mean_prediction")).orderBy("value")
