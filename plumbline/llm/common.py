@@ -42,6 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder in the shared one, which ``cleaned`` deletes."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -49,8 +56,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     from such tables, so they stay until ``cleaned``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark, label)
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, cross_polytope, hamming, lm, packing, quality, quotes, secrets, suffix, tokenizer
+from plumbline.llm import alignment, ann, cross_polytope, divergence, hamming, lm, packing, quality, quotes, secrets, suffix, token_files, tokenizer
 
 #: The published byte-level BPE file; another path may be set.
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: The published SentencePiece model that op12 aligns it with.
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), BPE, PIECE)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_files.documents(token_files.write(table(spark, sf_dir, "documents"), BPE))
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def _op7_sql() -> str:
     """Each rule's matches from what a split leaves between them, as lists."""
     rules = []
@@ -114,9 +129,32 @@ OP3_SQL = """
       from v join least on v.row = least.a left join degree on v.row = degree.a"""
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All kept terms of all groups, zero counts as well, and all pairs of groups over them.
+OP11_SQL = f"""
+      with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+             regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+      t as (select row, lang, source, unnest(w) as term from d),
+      kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct row) >= 3),
+      v as (select lang, count(*) as v, sum(n) as n from kept group by lang),
+      g as (select distinct lang, source from d),
+      c as (select lang, source, term, count(*) as n from t group by all),
+      full_c as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join kept k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+      sums as (select lang, source, sum(n) as n from full_c group by all),
+      p as (select f.lang, f.source, f.term, f.n as count, (1 + (1000000000::hugeint * (f.n + 1)) // (s.n + v.v))::hugeint as p
+            from full_c f join sums s on f.lang = s.lang and f.source = s.source join v on v.lang = f.lang),
+      q as (select kept.lang, term, (1 + (1000000000::hugeint * (kept.n + 1)) // (v.n + v.v))::hugeint as q from kept join v using (lang)),
+      far as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+      pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(far.value, 0) as value
+                from g a join g b on a.lang = b.lang and a.source <> b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+      terms as (select p.lang, p.source, 'term' as part, p.term as item, (p.p - q.q) * (p.p - q.q) // q.q as value from p join q on p.lang = q.lang and p.term = q.term where p.count > 0 and p.p > q.q),
+      ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+      select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op7_secret_scan": _op7_sql(), "op8_inner_product_search": OP8_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op7_secret_scan": _op7_sql(), "op8_inner_product_search": OP8_SQL, "op11_source_divergence": OP11_SQL}
