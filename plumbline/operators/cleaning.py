@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from plumbline.functions.lineage import cut
 from plumbline.functions.names import name_match_key, normalize_league
 from plumbline.functions.workers import importable
 from plumbline.operators.ordered import quantiles
@@ -37,24 +38,106 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def fuzzy_links(keys: DataFrame, threshold: float, similarity=ratio) -> DataFrame:
-    """(a, b): entities of one block whose keys are at least ``threshold`` alike and whose birth dates agree.
+def _grams(key: Column, q: int) -> Column:
+    """A key's q-grams with how often each has occurred so far, as (g, k); of q = 1 its letters.
+
+    Longer grams count the ends: an edit touches ``q`` grams at most, of length + q - 1.
+    """
+    padded = key if q == 1 else F.concat(F.lit("\x01" * (q - 1)), key, F.lit("\x02" * (q - 1)))
+    n = F.length(padded) - (q - 1)
+    at = lambda i: F.substring(padded, i, F.lit(q))
+    grams = F.when(n < 1, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at))
+    numbered = lambda gs: F.transform(gs, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(gs, F.lit(1), i + 1), lambda x: x == g)).alias("k")))
+    return F.transform(F.array(grams), numbered)[0]  # as an argument they are made once
+
+
+class Signatures:
+    """How many grams two keys of similarity ``threshold`` must share, and which of a key's grams decide.
+
+    Keys a and b that are alike differ by K edits at most: (1 - t) times the longer length for the
+    edit similarity, (1 - t) times both lengths for difflib's ratio, whose matches are a common
+    subsequence. K edits leave all but q K of the longer one's grams in common. So of two such
+    keys the first q K + 1 grams of each, in any order that both share, have one in common.
+    ``q`` is the longest of 3, 2 and 1 whose first grams are under half, all or any of a key's.
+    For q = 1 the letters in common decide: threshold times the longer length, or half of both.
+    """
+
+    def __init__(self, threshold: float, edits: bool):
+        if not 0 < threshold <= 1:
+            raise ValueError("a threshold over 0, 1 at most")
+        self.t, self.edits = threshold, edits
+        self.share = (1 - threshold) / threshold * (1 if edits else 2)
+        self.q = 3 if 3 * self.share <= 0.5 else 2 if 2 * self.share < 1 else 1
+
+    def first(self, n: Column) -> Column:
+        """Grams that a key of ``n`` letters is posted by, whatever the other's length."""
+        if self.q > 1:
+            return (self.q * F.floor(n * self.share + 1e-9) + 1).cast("int")
+        least = self.t if self.edits else self.t / (2 - self.t)
+        return (n - F.ceil(n * least - 1e-9) + 1).cast("int")
+
+    def need(self, a: Column, b: Column) -> Column:
+        """Grams in common of keys of ``a`` and ``b`` letters."""
+        if self.q > 1:
+            k = F.floor((1 - self.t) * (F.greatest(a, b) if self.edits else a + b) + 1e-9)
+            return F.greatest(a, b) + (self.q - 1) - self.q * k
+        return F.ceil((self.t * F.greatest(a, b) if self.edits else self.t * (a + b) / 2) - 1e-9)
+
+    def lengths(self, a: Column, b: Column) -> Column:
+        """Whether keys of these lengths can be alike at all."""
+        return F.least(a, b) >= (self.t * F.greatest(a, b) if self.edits else self.t * (a + b) / 2) - 1e-9
+
 
-    keys: entity, match_key, draft_year, birthdate. All pairs of a year are compared whose lengths
-    and letter counts allow the threshold: neither difflib's ratio nor the edit similarity exceeds
-    twice the letters in common over both lengths.
+#: Rows of a posting that one task meets all of a posting's rows with.
+POSTING = 2000
+
+
+def fuzzy_candidates(keys: DataFrame, threshold: float, similarity=ratio, posting: int = POSTING) -> DataFrame:
+    """entity_a, entity_b, match_key_a, match_key_b: pairs of a block that can be ``threshold`` alike, all of them.
+
+    An inverted index of lossless signatures: a key is posted by its block's rarest grams, as many as
+    ``Signatures`` asks for. Pairs that meet in a posting stay if their lengths allow the threshold
+    and so do the grams after the one that they meet in (a bound that holds at the first one in
+    common, so no pair is lost), and birth dates don't conflict; then letters in common are counted:
+    neither difflib's ratio nor the edit similarity exceeds twice those over both lengths. A
+    posting of over ``posting`` rows is split into as many parts, each of which meets all its rows.
+
+    A null key or block links with nothing; equal keys are alike; repeated rows are one.
     """
-    letters = F.array(*(F.length("match_key") - F.length(F.translate("match_key", c, "")) for c in "abcdefghijklmnopqrstuvwxyz"))
-    counted = keys.withColumn("_letters", letters).withColumn("_rest", F.length("match_key") - F.aggregate("_letters", F.lit(0), lambda x, y: x + y))
-    one = lambda s: counted.select(*(F.col(c).alias(f"{c}_{s}") for c in ("entity", "match_key", "draft_year", "birthdate", "_letters", "_rest")))
-    a, b = one("a"), one("b")
+    by = Signatures(threshold, similarity is edit_similarity)
+    rows = keys.select("entity", "match_key", "draft_year", F.col("birthdate").cast("string").alias("birthdate")).where("match_key is not null and draft_year is not null").distinct()
+    rows = cut(rows)  # read twice
+    each = rows.withColumn("_t", F.explode(_grams(F.col("match_key"), by.q)))
+    rare = each.groupBy("draft_year", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = each.join(rare.where("_n > 1"), ["draft_year", "_t"]).groupBy(*rows.columns).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_ts"))
+    # grams of one key only come first in the order, and are in no other key's posting
+    total = F.length("match_key") + (by.q - 1)
+    alone = F.greatest(total, F.lit(1)) - F.size("_ts")
+    posted = ordered.select("*", F.posexplode(F.slice("_ts", F.lit(1), F.greatest(by.first(F.length("match_key")) - alone, F.lit(0)))).alias("_at", "_p"))
+    posted = posted.select("entity", "match_key", "birthdate", "draft_year", F.col("_p._t").alias("_gram"), (total - alone - F.col("_at")).alias("_left"))
+    posted = cut(posted)  # read three times
+    sizes = posted.groupBy("draft_year", "_gram").agg(F.ceil(F.count(F.lit(1)) / posting).cast("int").alias("_parts"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
+    posted = posted.join(sizes, ["draft_year", "_gram"])
+    one = lambda df, s: df.select("draft_year", "_gram", "_part", *(F.col(c).alias(f"{c}_{s}") for c in ("entity", "match_key", "birthdate", "_left")))
+    a = one(posted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), "a")
+    b = one(posted.withColumn("_part", F.pmod(F.xxhash64("entity", "birthdate"), F.col("_parts")).cast("int")), "b")
     la, lb = F.length("match_key_a"), F.length("match_key_b")
-    common = F.least("_rest_a", "_rest_b") + F.aggregate(F.zip_with("_letters_a", "_letters_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    need = threshold * (la + lb) - 1e-9
-    near = (F.col("draft_year_a") == F.col("draft_year_b")) & (F.col("entity_a") < F.col("entity_b"))
-    near = near & (2 * F.least(la, lb) >= need) & (2 * common >= need)
     fits = F.col("birthdate_a").isNull() | F.col("birthdate_b").isNull() | (F.col("birthdate_a") == F.col("birthdate_b"))
-    pairs = a.join(b, near & fits).select("entity_a", "entity_b", "match_key_a", "match_key_b").distinct()
+    met = a.join(b, ["draft_year", "_gram", "_part"]).where((F.col("entity_a") < F.col("entity_b")) & by.lengths(la, lb) & (F.least("_left_a", "_left_b") >= by.need(la, lb)) & fits)
+    pairs = met.select("entity_a", "entity_b", "match_key_a", "match_key_b").distinct()
+    letters = lambda c: F.array(*(F.length(c) - F.length(F.translate(c, x, "")) for x in "abcdefghijklmnopqrstuvwxyz"))
+    rest = lambda c: F.length(F.regexp_replace(c, "[a-z]", ""))
+    common = F.least(rest("match_key_a"), rest("match_key_b")) + F.aggregate(F.zip_with(letters("match_key_a"), letters("match_key_b"), lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return pairs.where(2 * common >= threshold * (la + lb) - 1e-9)
+
+
+def fuzzy_links(keys: DataFrame, threshold: float, similarity=ratio) -> DataFrame:
+    """(a, b): entities of one block whose keys are at least ``threshold`` alike and whose birth dates agree.
+
+    keys: entity, match_key, draft_year, birthdate. The similarity is worked out for ``fuzzy_candidates``.
+    """
+    importable(keys.sparkSession)
+    pairs = fuzzy_candidates(keys, threshold, similarity)
     return pairs.where(similarity(F.col("match_key_a"), F.col("match_key_b")) >= threshold).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
 
 
@@ -62,11 +145,11 @@ def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(entity, root): the smallest entity that each one reaches by links.
 
     Each round an entity takes the least root among its own, its neighbours' and its root's, so
-    roots jump along chains; rounds go on until none moves. Checkpointed where a folder is set.
+    roots jump along chains; rounds go on until none moves. Each round is checkpointed, so lineage
+    doesn't grow and a lost executor doesn't cost the rounds before.
     """
-    spark = nodes.sparkSession
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    labels, held = nodes.select("entity", F.col("entity").alias("root")), None
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both, labels = cut(both), nodes.select("entity", F.col("entity").alias("root"))
     while True:
         low = both.join(labels, F.col("b") == F.col("entity")).groupBy("a").agg(F.min("root").alias("_low"))
         near = labels.join(low, F.col("entity") == F.col("a"), "left").select("entity", "root", F.least("root", F.coalesce("_low", "root")).alias("_next"))
@@ -75,13 +158,9 @@ def smallest_reached(nodes: DataFrame, links: DataFrame) -> DataFrame:
         jump = pulled.select(F.col("_at").alias("_via"), F.col("_next").alias("_far"))
         moved = near.select("entity", "root").join(pulled, F.col("entity") == F.col("_at")).join(jump, F.col("_next") == F.col("_via"), "left")
         new = moved.select("entity", F.least("_next", F.coalesce("_far", "_next")).alias("_to"), "root").select("entity", F.col("_to").alias("root"), (F.col("_to") != F.col("root")).alias("_moved"))
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()
-        still = new.where("_moved").isEmpty()
-        if held is not None:
-            held.unpersist()
-        labels, held = new.select("entity", "root"), new
-        if still:
-            both.unpersist()
+        new = cut(new)
+        labels = new.select("entity", "root")
+        if new.where("_moved").isEmpty():
             return labels
 
 
@@ -99,10 +178,12 @@ def resolve_entities(sources: list[DataFrame], threshold: float = 0.88, similari
         keyed.append(s.withColumns({"match_key": name_match_key(F.col("full_name")), "_birth": birth}))
     every = reduce(DataFrame.unionByName, [k.select("match_key", "draft_year", "_birth", "full_name") for k in keyed])
     entity = F.concat_ws("|", "match_key", F.col("draft_year").cast("string"))
-    blocks = every.groupBy(entity.alias("entity")).agg(F.first("match_key").alias("match_key"), F.first("draft_year").alias("draft_year"), F.min("_birth").alias("birthdate"), F.min("full_name").alias("full_name")).cache()
+    blocks = every.groupBy(entity.alias("entity")).agg(F.first("match_key").alias("match_key"), F.first("draft_year").alias("draft_year"), F.min("_birth").alias("birthdate"), F.min("full_name").alias("full_name"))
+    blocks = cut(blocks)
     roots = smallest_reached(blocks, fuzzy_links(blocks, threshold, similarity))
     ids = blocks.join(roots, "entity").join(blocks.select(F.col("entity").alias("root"), F.col("match_key").alias("_rk"), F.col("draft_year").alias("_ry")), "root")
-    ids = ids.select("entity", "full_name", "draft_year", "birthdate", player_id(F.col("_rk"), F.col("_ry")).alias("player_id")).cache()
+    ids = ids.select("entity", "full_name", "draft_year", "birthdate", player_id(F.col("_rk"), F.col("_ry")).alias("player_id"))
+    ids = cut(ids)
     identity = ids.groupBy("player_id").agg(F.min("full_name").alias("full_name"), F.min("draft_year").alias("draft_year"), F.min("birthdate").alias("birthdate"))
     known = ids.select(F.col("entity").alias("_entity"), "player_id")
     stamped = [k.withColumn("_entity", F.concat_ws("|", "match_key", F.col("draft_year").cast("string"))).join(known, "_entity", "left").drop("_entity", "_birth", "match_key") for k in keyed]

@@ -79,21 +79,31 @@ class LeagueContext:
     """Translates statistics to a reference league, and schedules to z-scores, by fitted moments.
 
     Fitted state is two grouped tables; leagues that weren't seen, or without spread, fall back
-    to the whole training set, then to spread 1.
+    to the whole training set, then to spread 1. A value of the reference league is its own
+    translation. Sums are decimals of 18 places, so they don't depend on how rows are dealt;
+    NaN and what is beyond 10**20 don't count.
     """
 
     def __init__(self, stats: list[str], reference: str = "ncaa", league: str = "league_id", season: str = "season", schedule: str = "strength_of_schedule"):
         self.stats, self.reference, self.league, self.season, self.schedule = stats, reference, league, season, schedule
 
     def fit(self, train: DataFrame) -> LeagueContext:
-        def moments(columns, prefix=""):
-            return [x for c in columns for x in (F.avg(c).alias(f"_m{prefix}_{c}"), F.stddev_samp(c).alias(f"_s{prefix}_{c}"))]
+        def moments(columns):
+            out = []
+            for c in columns:
+                x = F.col(c).cast("double")
+                x, square = x.try_cast("decimal(38,18)"), (x * x).try_cast("decimal(38,18)")
+                n, mean = F.count(x), F.try_sum(x).cast("double") / F.nullif(F.count(x), F.lit(0))
+                var = (F.try_sum(square).cast("double") - n * mean * mean) / F.nullif(n - 1, F.lit(0))
+                out += [mean.alias(f"_m_{c}"), F.sqrt(F.greatest(var, F.lit(0.0))).alias(f"_s_{c}")]
+            return out
 
         self.leagues = train.groupBy(self.league).agg(*moments(self.stats))
         self.years = train.groupBy(self.league, self.season).agg(*moments([self.schedule])) if self.schedule in train.columns else None
         self.every = train.agg(*moments([*self.stats, *([self.schedule] if self.years is not None else [])])).first().asDict()
         of_reference = train.where(F.col(self.league) == self.reference)
-        self.target = (of_reference if not of_reference.isEmpty() else train).agg(*moments(self.stats)).first().asDict()
+        self.seen = not of_reference.isEmpty()
+        self.target = (of_reference if self.seen else train).agg(*moments(self.stats)).first().asDict()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -105,7 +115,9 @@ class LeagueContext:
         for c in self.stats:
             m = F.coalesce(f"_m_{c}", F.lit(self.every[f"_m_{c}"]))
             to_s = self.target[f"_s_{c}"]
-            new[f"{c}_translated"] = (F.col(c) - m) / spread(F.col(f"_s_{c}"), self.every[f"_s_{c}"]) * F.lit(to_s if to_s and to_s > 0 else 1.0) + F.lit(self.target[f"_m_{c}"])
+            moved = (F.col(c) - m) / spread(F.col(f"_s_{c}"), self.every[f"_s_{c}"]) * F.lit(to_s if to_s and to_s > 0 else 1.0) + F.lit(self.target[f"_m_{c}"])
+            own = F.col(self.league) == self.reference if self.seen and to_s and to_s > 0 else F.lit(False)
+            new[f"{c}_translated"] = F.when(own, F.col(c)).otherwise(moved)
         if self.years is not None:
             s = self.schedule
             out = out.join(self.years, [self.league, self.season], "left")

@@ -118,9 +118,12 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], ceil: bool = False)
 
     Each is searched between bounds that close in on it by approximate quantiles, all in one job a
     round; at most ``FEW`` distinct values of a column reach the driver at its end. Nulls and NaN
-    are left out; a column without values gives None.
+    are left out; a column without values gives None; infinities are values like any other, and a
+    place between a finite value and an infinity is that infinity (between both, NaN). The columns are kept while rounds
+    go on, on disk where memory is short, so what they come from runs once.
     """
-    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in wanted}
+    value = {c: F.col(c) for c in wanted}
+    df = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in wanted)).persist()
 
     def inside(c: str, low, high) -> Column:
         x = value[c]
@@ -170,6 +173,9 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], ceil: bool = False)
         if ceil:
             return found[c, math.ceil(p - 1e-9)]
         a, b = found[c, math.floor(p)], found[c, math.ceil(p)]
+        if a == b or math.isinf(a) or math.isinf(b):
+            return a if a == b else a + b
         return a + (b - a) * (p - math.floor(p))
 
+    df.unpersist()
     return {c: [between(c, p) for p in ps] for c, ps in places.items()}

@@ -141,6 +141,40 @@ def entity_ids(spark, d):
     return identity.select("player_id", "draft_year")
 
 
+#: Names of all customers and parts, each once more with a letter left out; birth dates of some.
+_PEOPLE = """people as (select p_name || ' ' || substr(p_type, 1, 9) as name, 1993 + p_partkey % 6 as y, case when p_partkey % 3 = 0 then '19' || (70 + p_partkey % 4) || '-01-01' end as birth from part),
+spelt as (select * from people union all select substr(name, 1, 4) || substr(name, 6), y, null from people),
+keyed as (select trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as key, y::bigint as y, min(birth) as birth from spelt group by 1, 2),
+alike as (select a.key as a, b.key as b, a.y from keyed a join keyed b on a.y = b.y and a.key < b.key and (a.birth is null or b.birth is null or a.birth = b.birth) and 1.0::double - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key))::double >= 0.88)"""
+
+
+def _people(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.substring("p_type", 1, 9)).alias("full_name"), (F.lit(1993) + F.col("p_partkey") % 6).cast("long").alias("draft_year"))
+    p = p.withColumn("birthdate", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("19"), 70 + F.col("p_partkey") % 4, F.lit("-01-01")))).drop("p_partkey")
+    return p, p.withColumn("full_name", F.concat(F.substring("full_name", 1, 4), F.expr("substring(full_name, 6)"))).drop("birthdate")
+
+
+@query(f"with {_PEOPLE} select a, b, y from alike")
+def entity_links(spark, d):
+    """Names of a year that are 0.88 alike by edits and whose birth dates agree."""
+    one, two = _people(spark, d)
+    every = one.unionByName(two, allowMissingColumns=True).withColumn("match_key", names.name_match_key(F.col("full_name")))
+    every = every.groupBy("match_key", "draft_year").agg(F.min("birthdate").alias("birthdate"))
+    got = cleaning.fuzzy_links(every.withColumn("entity", F.concat_ws("|", "match_key", "draft_year")), 0.88, cleaning.edit_similarity)
+    part = lambda c, i: F.substring_index(c, "|", i)
+    return got.select(part("a", 1).alias("a"), part("b", 1).alias("b"), part("a", -1).cast("long").alias("y"))
+
+
+@query(f"""with recursive {_PEOPLE}, both_ as (select a, b, y from alike union all select b, a, y from alike), reach as (select key as a, key as b, y from keyed union select r.a, l.b, r.y from reach r join both_ l on r.b = l.a and r.y = l.y),
+root as (select a as key, y, min(b) as root from reach group by 1, 2) select 'p_' || substr(sha1(root || '|' || y), 1, 12) as player_id, y as draft_year, min(birth) as birthdate, count(*)::bigint as spellings from root join keyed using (key, y) group by 1, 2""")
+def resolved_people(spark, d):
+    """People of two sources, one of which drops a letter of each name: fuzzy links, birth dates, chains."""
+    sources, identity = cleaning.resolve_entities(list(_people(spark, d)), 0.88, cleaning.edit_similarity)
+    known = sources[0].select("player_id", "full_name", "draft_year").unionByName(sources[1].select("player_id", "full_name", "draft_year"))
+    spellings = known.groupBy("player_id").agg(F.count_distinct(names.name_match_key(F.col("full_name"))).alias("spellings"))
+    return identity.select("player_id", "draft_year", "birthdate").join(spellings, "player_id")
+
+
 @query(f"{WITH_SEASONS} select player_id, season_year, usage, usage is null as usage_imputed, -minutes as agility_score, -pts_per100 as leanness, ast_per100 as explosiveness from seasons")
 def flags_and_measures(spark, d):
     rows = b.seasons(spark, d).withColumns({"lane_agility_s": F.col("minutes"), "body_fat_pct": F.col("pts_per100"), "max_vertical_in": F.col("ast_per100")})

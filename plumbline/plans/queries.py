@@ -86,12 +86,12 @@ def primary_season(spark, d):
 @query(f"""{WITH_SEASONS}, x as (select s.*, d.league_id, d.draft_year from seasons s join draft d using (player_id)), tr as (select * from x where season_year < 1999),
 m as (select league_id, avg(pts_per100) as m, stddev_samp(pts_per100) as s from tr group by 1), ref as (select avg(pts_per100) as m, stddev_samp(pts_per100) as s from tr where league_id = 'BUILDING'), al as (select avg(pts_per100) as m, stddev_samp(pts_per100) as s, avg(strength_of_schedule) as zm, stddev_samp(strength_of_schedule) as zs from tr),
 z as (select league_id, season_year, avg(strength_of_schedule) as m, stddev_samp(strength_of_schedule) as s from tr group by 1, 2)
-select x.player_id, x.season_year, round((x.pts_per100 - coalesce(m.m, al.m)) / (case when m.s > 0 then m.s else al.s end) * ref.s + ref.m, 2) as pts_per100_translated,
- round((x.strength_of_schedule - coalesce(z.m, al.zm)) / (case when z.s > 0 then z.s else al.zs end), 2) as sos_z from x left join m using (league_id) left join z on z.league_id = x.league_id and z.season_year = x.season_year cross join ref cross join al""")
+select x.player_id, x.season_year, case when league_id = 'BUILDING' then x.pts_per100 else (x.pts_per100 - coalesce(m.m, al.m)) / (case when m.s > 0 then m.s else al.s end) * ref.s + ref.m end as pts_per100_translated,
+ (x.strength_of_schedule - coalesce(z.m, al.zm)) / (case when z.s > 0 then z.s else al.zs end) as sos_z from x left join m using (league_id) left join z on z.league_id = x.league_id and z.season_year = x.season_year cross join ref cross join al""")
 def league_context(spark, d):
     rows = b.seasons(spark, d).join(b.draft(spark, d).select("player_id", "league_id", "draft_year"), "player_id")
     model = features.LeagueContext(["pts_per100"], "BUILDING", season="season_year").fit(rows.where("season_year < 1999"))
-    return model.transform(rows).select("player_id", "season_year", _r("pts_per100_translated", 2), _r("sos_z", 2))
+    return model.transform(rows).select("player_id", "season_year", "pts_per100_translated", "sos_z")
 
 
 @query("""with a as (select c_custkey as player_id, 1993 + c_custkey % 6 as y, strftime(make_date(1970 + (c_custkey % 20)::int, 1 + (c_custkey % 12)::int, 1 + (c_custkey % 28)::int), '%Y-%m-%d') as bd from customer)
@@ -249,7 +249,7 @@ def player_ids(spark, d):
 
 @query("with k as (select distinct p_name as key, p_brand as y from part) select u.y, u.key as a, v.key as b from k u join k v on u.y = v.y and u.key < v.key and 1.0::double - levenshtein(u.key, v.key) / greatest(length(u.key), length(v.key))::double >= 0.75")
 def fuzzy_pairs(spark, d):
-    """Pairs of a block by edit similarity, found by tokens' first letters and lengths."""
+    """Pairs of a block by edit similarity, found by the rarest grams of their names."""
     k = table(spark, d, "part").select(F.col("p_name").alias("match_key"), F.col("p_brand").alias("draft_year")).distinct().withColumns({"entity": F.concat_ws("|", "match_key", "draft_year"), "birthdate": F.lit(None).cast("string")})
     links = cleaning.fuzzy_links(k, 0.75, cleaning.edit_similarity)
     part = lambda c, i: F.substring_index(c, "|", i)

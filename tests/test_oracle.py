@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from plumbline.plans import payloads as _payloads  # noqa: F401
 from plumbline.plans import queries as _queries  # noqa: F401
 from plumbline.plans import registry
 

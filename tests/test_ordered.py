@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import cleaning, metrics, ordered
@@ -41,3 +42,21 @@ def test_chains_of_any_length_are_one(spark):
     nodes = spark.range(100).select(F.format_string("%03d", "id").alias("entity"))
     links = spark.range(99).select(F.format_string("%03d", F.col("id")).alias("a"), F.format_string("%03d", F.col("id") + 1).alias("b"))
     assert {r.root for r in cleaning.smallest_reached(nodes, links).collect()} == {"000"}
+
+
+def test_quantiles_with_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(-inf,), (1.0,), (2.0,), (inf,), (None,), (float("nan"),)], "x double")
+    assert ordered.quantiles(df, {"x": [0, 0.5, 0.9, 1]}) == {"x": [-inf, 1.5, inf, inf]}
+
+
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_league_context_is_the_same_however_rows_are_dealt(spark, parts):
+    from plumbline.operators.features import LeagueContext
+
+    rows = [(i % 3, 1990 + i % 2, 27404.0 / 8 / 100 + i * 0.1 / 3, i * 0.7) for i in range(500)]
+    df = spark.createDataFrame(rows, "league_id int, season int, pts double, strength_of_schedule double")
+    fit = lambda n: LeagueContext(["pts"], 1).fit(df.repartition(n)).transform(df).orderBy("pts").collect()
+    got = fit(parts)
+    assert got == fit(1)
+    assert all(r.pts_translated == r.pts for r in got if r.league_id == 1)
