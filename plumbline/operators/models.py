@@ -8,14 +8,15 @@ import random
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import TIERS, clip, dot
+from plumbline.operators.boosting import BoostedTrees
 from plumbline.operators.labels import REPLACEMENT
 
 
@@ -123,12 +124,12 @@ def lasso(features, target, alpha: float = 0.1) -> Boxed:
     return elastic_net(features, target, alpha, 1.0)
 
 
-def gbm_regressor(features, target, trees: int = 40, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Boxed:
-    return Boxed(GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed), features, target)
+def gbm_regressor(features, target, trees: int = 40, depth: int = 3, rate: float = 0.1) -> BoostedTrees:
+    return BoostedTrees(features, target, "squared", int(round(trees)), int(round(depth)), rate)
 
 
-def gbm_classifier(features, target, trees: int = 40, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Boxed:
-    return Boxed(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed), features, target)
+def gbm_classifier(features, target, trees: int = 40, depth: int = 3, rate: float = 0.1) -> BoostedTrees:
+    return BoostedTrees(features, target, "logistic", int(round(trees)), int(round(depth)), rate)
 
 
 def logistic(features, target, n: int, c: float = 1.0) -> Boxed:

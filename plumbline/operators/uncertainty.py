@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import TIER_EDGES, TIERS, linear_quantile, normal_cdf
+from plumbline.operators.boosting import BoostedTrees
 from plumbline.operators.models import Linear, gramian, ridge, ridge_from
 from plumbline.operators.ordered import quantiles, running_total
 
@@ -173,64 +171,18 @@ class BayesianLinear:
 
 
 class QuantileTrees:
-    """Quantiles by boosted trees on the pinball loss; sorted so that they don't cross.
+    """Quantiles by boosted trees on the pinball loss, all in the same passes; sorted so that they don't cross."""
 
-    A round fits Spark's regression tree to the loss's gradient; a leaf's step is ``rate`` times
-    the leaf's own quantile of the residuals (a sketch; at most 2^``depth`` numbers reach the
-    driver). Trees are kept as splits, and predictions are expressions. Features have no nulls.
-    """
-
-    def __init__(self, features: list[str], target: str, quantiles: list[float] = (0.1, 0.5, 0.9), trees: int = 100, depth: int = 3, rate: float = 0.1, seed: int = 42):
-        self.features, self.target, self.quantiles = features, target, sorted(quantiles)
-        self.trees, self.depth, self.rate, self.seed = trees, depth, rate, seed
+    def __init__(self, features: list[str], target: str, quantiles: list[float] = (0.1, 0.5, 0.9), trees: int = 100, depth: int = 3, rate: float = 0.1):
+        self.quantiles = sorted(quantiles)
+        self.trees = BoostedTrees(features, target, "quantile", trees, depth, rate, quantiles=self.quantiles)
 
     def fit(self, df: DataFrame) -> QuantileTrees:
-        columns = [F.col(c).cast("double").alias(c) for c in (*self.features, self.target)]
-        rows = VectorAssembler(inputCols=self.features, outputCol="_x").transform(df.where(F.col(self.target).isNotNull()).select(*columns)).cache()
-        start = quantiles(rows, {self.target: self.quantiles})[self.target]
-        self.models = []
-        for q, base in zip(self.quantiles, start, strict=True):
-            if base is None:
-                raise ValueError("no rows with a target")
-            trees = []
-            for k in range(self.trees):
-                rest = F.col(self.target) - _boosted(base, trees)
-                round_ = rows.withColumns({"_r": rest, "_g": F.when(rest > 0, q).otherwise(q - 1)})
-                fitted = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=self.depth, seed=self.seed + k).fit(round_)
-                leaves = itertools.count()
-                tree = _splits(fitted._java_obj.rootNode(), self.features, leaves)
-                steps = dict(round_.groupBy(_walk(tree, lambda leaf: F.lit(leaf)).alias("leaf")).agg(F.percentile_approx("_r", q, 10_000)).collect())
-                trees.append(_with_steps(tree, {leaf: self.rate * v for leaf, v in steps.items()}))
-            self.models.append((base, trees))
-        rows.unpersist()
+        self.trees.fit(df)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("_q", F.array_sort(F.array(*(_boosted(*m) for m in self.models))))
         names = [f"q{round(100 * q)}" for q in self.quantiles]
-        out = out.withColumns({n: F.col("_q")[i] for i, n in enumerate(names)}).drop("_q")
+        out = self.trees.transform(df)
+        out = out.withColumns({n: F.col("scores")[i] for i, n in enumerate(names)}).drop("scores")
         return out.withColumns({"prediction": F.col(names[len(names) // 2]), "lower": F.col(names[0]), "upper": F.col(names[-1])})
-
-
-def _splits(node, features: list[str], leaves):
-    """A fitted tree as nested (feature, threshold, left, right), its leaves numbered."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return next(leaves)
-    split = node.split()
-    return features[split.featureIndex()], split.threshold(), _splits(node.leftChild(), features, leaves), _splits(node.rightChild(), features, leaves)
-
-
-def _with_steps(tree, steps: dict[int, float]):
-    """The tree with each leaf's step in place of its number."""
-    return (*tree[:2], *(_with_steps(t, steps) for t in tree[2:])) if isinstance(tree, tuple) else steps.get(tree, 0.0)
-
-
-def _walk(tree, leaf) -> Column:
-    """What ``leaf`` makes of the leaf that a row falls into."""
-    if not isinstance(tree, tuple):
-        return leaf(tree)
-    return F.when(F.col(tree[0]) <= tree[1], _walk(tree[2], leaf)).otherwise(_walk(tree[3], leaf))
-
-
-def _boosted(base: float, trees: list) -> Column:
-    return sum((_walk(t, lambda step: F.lit(float(step))) for t in trees), F.lit(float(base)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import names
-from plumbline.operators import cleaning, features, labels, models, team_fit, uncertainty
+from plumbline.operators import boosting, cleaning, features, labels, models, team_fit, uncertainty
 from plumbline.plans import binding as b
 from plumbline.plans.queries import _PLAYERS_SQL, WITH_IMPACT, WITH_LABELS, WITH_SEASONS, _players, _r
 from plumbline.plans.registry import query, table
@@ -141,7 +141,28 @@ def entity_ids(spark, d):
     return identity.select("player_id", "draft_year")
 
 
-#: Names of all customers and parts, each once more with a letter left out; birth dates of some.
+@query(f"""{WITH_IMPACT}, base as (select avg(ebpm) as b, count(*) as n from impact), cuts as (select distinct usage as t from impact where usage < (select max(usage) from impact) union all select 'infinity'::double), sides as (select t, side from cuts cross join (values (true), (false)) v(side)),
+sums as (select t, side, sum(case when coalesce(usage <= t, side) then b - ebpm else 0 end) as gl, count(*) filter (coalesce(usage <= t, side)) as nl, sum(b - ebpm) as g, any_value(n) as n from sides cross join impact cross join base group by all),
+best as (select *, gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) as gain from sums where nl >= 1 and n - nl >= 1 order by gain desc, t, side desc limit 1),
+steps as (select t, side, -0.5::double * gl / (nl + 1) as l, -0.5::double * (g - gl) / (n - nl + 1) as r, nl / n::double as share from best)
+select player_id, season_year, round(b + case when coalesce(usage <= t, side) then l else r end, 6) as prediction, round(b + share * l + (1 - share) * r, 6) as shap_base, round(case when coalesce(usage <= t, side) then l - (share * l + (1 - share) * r) else r - (share * l + (1 - share) * r) end, 6) as shap_usage from impact cross join base cross join steps""")
+def boosted_stump(spark, d):
+    """A boosted split on a feature with missing values, and its Shapley values."""
+    rows = b.impact(spark, d).select("player_id", "season_year", "usage", "ebpm")
+    model = models.gbm_regressor(["usage"], "ebpm", trees=1, depth=1, rate=0.5).fit(rows)
+    got = boosting.TreeShap(model).local(model.transform(rows))
+    return got.select("player_id", "season_year", _r("prediction"), _r("shap_base"), _r("shap_usage"))
+
+
+@query()
+def boosted_value(spark, d):
+    """Boosted trees and their exact Shapley values over all seasons; features with nulls."""
+    rows = b.impact(spark, d).select("player_id", "season_year", "usage", "minutes", "true_shooting", "ebpm")
+    model = models.gbm_regressor(["usage", "minutes", "true_shooting"], "ebpm", trees=10).fit(rows)
+    return boosting.TreeShap(model).local(model.transform(rows))
+
+
+#: Names of all parts, each once more with a letter left out; birth dates of some.
 _PEOPLE = """people as (select p_name || ' ' || substr(p_type, 1, 9) as name, 1993 + p_partkey % 6 as y, case when p_partkey % 3 = 0 then '19' || (70 + p_partkey % 4) || '-01-01' end as birth from part),
 spelt as (select * from people union all select substr(name, 1, 4) || substr(name, 6), y, null from people),
 keyed as (select trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as key, y::bigint as y, min(birth) as birth from spelt group by 1, 2),
