@@ -15,9 +15,12 @@ Each text has its set of word shingles and their SimHash fingerprint. Candidates
 Each candidate pair is verified by its whole sets, so no link rests on fingerprints alone.
 
 Hot keys: equal sets are one from the start. In each posting the sets first meet its smallest
-member only, and a set is verified against the nearest such member before any other; of what is
-then in no common component, members outside the smallest member's component meet the smallest of
-them, and then those outside both meet the others. So a large group of near copies ships about one set a member. Sets are verified in groups of
+member only, and a set is verified against the nearest such member before any other. Then, round
+by round, each posting draws another member, and a set outside its smallest member's component is
+verified against the nearest of those that its postings have drawn; found links join components,
+and rounds go on while one in a hundred of their pairs is a link. Only what is outside still meets all
+others of its postings. So a large group of near copies ships about one set a member and round,
+and pairs are written for sets that belong to no common group. Sets are verified in groups of
 ``MEMBERS`` around one of them.
 
 Cases: a null text is an empty text, and texts without words are one group; fewer words than a
@@ -44,6 +47,10 @@ from plumbline.llm.hamming import majority, near_links
 NEAR = 3
 #: Bits of 128, in two fingerprints, beyond which a pair of sets of ``SMALL`` shingles or more is not verified.
 FAR, SMALL = 44, 16
+#: Links that a round must find, of the pairs that it verifies, for another round to follow.
+FRUITFUL = 0.01
+#: Bits of 128 that pairs of sets at 0.8 differ in, about: nearer ones are verified first.
+CLOSE = 20
 #: Sets that are verified against one other at once.
 MEMBERS = 512
 #: Documents that the order of shingles is taken from, and shingles at most that come last.
@@ -191,6 +198,11 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
         return rows.join(least.select("gram", *(F.col(f"r.{c}").alias(f"{prefix}{c}") for c in what)), "gram")
 
     met = with_least(shared, "r_")
+    def shared_by_many(rows: DataFrame) -> DataFrame:
+        """The postings of three sets or more: the others' two sets have met."""
+        many = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("gram")
+        return rows.join(many, "gram", "left_semi")
+
     star = met.where((F.col("row") != F.col("r_row")) & _may("", "r_")).select(F.col("row").alias("a"), F.col("r_row").alias("b"), _bits("", "r_").alias("bits"))
     star = stored(star.distinct(), "star")
     nearest = star.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("n")).select("a", F.col("n.b").alias("b"))
@@ -208,20 +220,33 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     apart = with_part(with_part(star, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
     links = links.union(verified(stored(apart.join(first, ["a", "b"], "left_anti"), "pairs"), prints, texts, width))
     parts = parts_of(links)
-    # then, of members outside its component, those with the smallest of them
-    named = with_part(with_part(met.select("gram", *what, "r_row"), "row", "part"), "r_row", "r_part")
-    named = stored(named.select("gram", *what, "part", (F.col("part") != F.col("r_part")).alias("out")), "postings")
+    # then, round by round, members outside its component with the nearest of those that their postings draw
+    named, tried, round_, fruitful = shared_by_many(met.select("gram", *what, "r_row")), star.select("a", "b"), 0, True
+    while True:
+        named = with_part(with_part(named.select("gram", *what, "r_row"), "row", "part"), "r_row", "r_part").withColumn("out", F.col("part") != F.col("r_part"))
+        named = stored(named.join(named.where("out").select("gram").distinct(), "gram", "left_semi"), "postings")
+        if not fruitful:
+            break
+        round_, turn = round_ + 1, F.lit(round_)
+        drawn = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", turn).alias("h"), *what, "part")).alias("d"))
+        drawn = drawn.select("gram", *(F.col(f"d.{c}").alias(f"d_{c}") for c in (*what, "part")))
+        seen = named.where("out").join(drawn, "gram").where((F.col("part") != F.col("d_part")) & _may("", "d_"))
+        near = seen.groupBy(F.col("row").alias("a")).agg(F.min(F.struct(_bits("", "d_").alias("bits"), F.col("d_row").alias("b"))).alias("n")).select("a", F.col("n.b").alias("b"))
+        near = stored(near.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verified(near, prints, texts, width)
+        fruitful = found.count() > FRUITFUL * near.count()
+        links, tried = links.union(found), tried.union(near)
+        parts = parts_of(links)
     dropped(shared)
-    second = with_least(named.where("out").select("gram", *what, "part"), "s_").where((F.col("row") != F.col("s_row")) & _may("", "s_"))
-    second = with_part(second.select(F.col("row").alias("a"), F.col("s_row").alias("b"), "part").distinct(), "b", "pb").where("part <> pb").select("a", "b")
-    second = stored(second.join(star, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(verified(second, prints, texts, width))
-    parts = parts_of(links)
     # and what is outside still with all others
-    named = stored(with_part(named.drop("part"), "row", "part"), "postings")
     outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in (*what, "part")))
     rest = outer.join(named, "gram").where((F.col("part") != F.col("o_part")) & _may("", "o_") & (~F.col("out") | (F.col("row") < F.col("o_row"))))
-    rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b")).distinct().join(star, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b"), _bits("", "o_").alias("bits")).distinct()
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"), "pairs")
+    # the nearer ones first, as what they join needs no other pair
+    links = links.union(verified(stored(rest.where(F.col("bits") <= CLOSE).select("a", "b"), "pairs"), prints, texts, width))
+    parts = parts_of(links)
+    rest = with_part(with_part(rest.where(F.col("bits") > CLOSE), "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
     links = links.union(verified(stored(rest, "pairs"), prints, texts, width))
     parts = parts_of(links)
 
