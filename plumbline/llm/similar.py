@@ -18,7 +18,7 @@ Hot keys: equal sets are one from the start. In each posting the sets first meet
 member only, and a set is verified against the nearest such member before any other. Then, round
 by round, each posting draws another member, and a set outside its smallest member's component is
 verified against the nearest of those that its postings have drawn; found links join components,
-and rounds go on while one in a hundred of their pairs is a link. Only what is outside still meets all
+and rounds go on while three in a hundred of their pairs are links. Only what is outside still meets all
 others of its postings. So a large group of near copies ships about one set a member and round,
 and pairs are written for sets that belong to no common group. Sets are verified in groups of
 ``MEMBERS`` around one of them.
@@ -36,7 +36,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, doc_texts, dropped, grouped_map, hashed_sample, stored
@@ -47,8 +47,10 @@ from plumbline.llm.hamming import majority, near_links
 NEAR = 3
 #: Bits of 128, in two fingerprints, beyond which a pair of sets of ``SMALL`` shingles or more is not verified.
 FAR, SMALL = 44, 16
+#: Linked sets whose components are broadcast at most, 16 bytes each; more are joined by a shuffle.
+BROADCAST = 250_000
 #: Links that a round must find, of the pairs that it verifies, for another round to follow.
-FRUITFUL = 0.01
+FRUITFUL = 0.03
 #: Bits of 128 that pairs of sets at 0.8 differ in, about: nearer ones are verified first.
 CLOSE = 20
 #: Sets that are verified against one other at once.
@@ -210,7 +212,8 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     links = verified(first, prints, texts, width)
 
     def parts_of(links: DataFrame) -> DataFrame:
-        return stored(components(links).select(F.col("node").alias("_node"), F.col("component").alias("_part")), "parts")
+        made = stored(components(links).select(F.col("node").alias("_node"), F.col("component").alias("_part")), "parts")
+        return F.broadcast(made) if made.count() <= BROADCAST else made
 
     def with_part(rows: DataFrame, row: str, name: str) -> DataFrame:
         return rows.join(parts, F.col(row) == F.col("_node"), "left").withColumn(name, F.coalesce("_part", row)).drop("_node", "_part")
@@ -238,9 +241,12 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
         links, tried = links.union(found), tried.union(near)
         parts = parts_of(links)
     dropped(shared)
-    # and what is outside still with all others
-    outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in (*what, "part")))
-    rest = outer.join(named, "gram").where((F.col("part") != F.col("o_part")) & _may("", "o_") & (~F.col("out") | (F.col("row") < F.col("o_row"))))
+    # and what is outside still with all others, where nothing that comes just before is common: a pair's first common gram is such a place
+    before = [F.lag("gram", k).over(Window.partitionBy("row").orderBy("pos")) for k in (1, 2, 3)]
+    named = named.withColumn("before", F.array_compact(F.array(*before)))
+    outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in (*what, "part", "before")))
+    first_there = ~F.arrays_overlap("before", "o_before")
+    rest = outer.join(named, "gram").where((F.col("part") != F.col("o_part")) & _may("", "o_") & first_there & (~F.col("out") | (F.col("row") < F.col("o_row"))))
     rest = rest.select(F.col("o_row").alias("a"), F.col("row").alias("b"), _bits("", "o_").alias("bits")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti"), "pairs")
     # the nearer ones first, as what they join needs no other pair
