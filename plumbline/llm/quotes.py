@@ -14,8 +14,11 @@ a third of all messages hold links no more than any other. Positions come from r
 order and their counts, so a conversation with most of the messages isn't one task's.
 
 Cases: a null text is an empty text without passages; a null conv_id is a conversation like any
-other; null turns come first; repeated rows are messages of their own with equal links; an
-empty table gives an empty table.
+other; null turns come first, and what quotes or is quoted there links with nothing of its own
+conversation, as nothing is before it; messages of equal (conv_id, turn) have links of their own, and
+as a parent names a turn they stand in one thread, by role and text; repeated rows are messages of
+their own with equal links; texts of any length are taken whole; an empty table gives an empty table;
+further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -109,22 +112,22 @@ def linked(messages: DataFrame) -> DataFrame:
     parent_turn: of the shallowest one found in the same conversation; thread_turn: the thread's
     first message; position: from 0 in the conversation's reply order.
     """
-    rows = stored(passages(messages), "passages")
-    keys = rows.select("conv_id", "turn", F.explode("keys").alias("k")).select("conv_id", "turn", "k.level", "k.key", "k.short")
+    rows = stored(passages(messages).withColumn("_row", F.monotonically_increasing_id()), "passages")
+    keys = rows.select("_row", "conv_id", "turn", F.explode("keys").alias("k")).select("_row", "conv_id", "turn", "k.level", "k.key", "k.short")
     own = keys.where("level = 0")
     first = own.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
     first_here = own.groupBy(F.col("conv_id").alias("_conv"), F.col("key").alias("_key")).agg(F.min("turn").alias("here"))
     quoted = keys.where("level > 0").distinct()
     here = quoted.join(first_here, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("key") == F.col("_key")), "left").withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here")))
     found = here.join(first, "key", "left").withColumn("any", F.when(F.col("here").isNotNull(), F.struct("conv_id", F.col("here").alias("turn"))).when(~(F.col("any.conv_id").eqNullSafe(F.col("conv_id")) & (F.col("any.turn") >= F.col("turn"))), F.col("any")))
-    links = found.groupBy("conv_id", "turn").agg(
+    links = found.groupBy("_row", "conv_id", "turn").agg(
         F.min(F.when(F.col("here").isNotNull(), F.struct("level", "short", (-F.col("here")).alias("turn")))).alias("parent"),
         F.min(F.when(F.col("any").isNotNull(), F.struct("level", "short", "any"))).alias("original"),
     )
-    links = stored(links.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), (-F.col("parent.turn")).alias("parent_turn"), F.col("original.any.conv_id").alias("original_conv"), F.col("original.any.turn").alias("original_turn")), "links")
+    links = stored(links.select("_row", F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), (-F.col("parent.turn")).alias("parent_turn"), F.col("original.any.conv_id").alias("original_conv"), F.col("original.any.turn").alias("original_turn")), "links")
     edges = links.where("parent_turn is not null").select(F.struct(F.col("_c").alias("conv_id"), F.col("_t").alias("turn")).alias("a"), F.struct(F.col("_c").alias("conv_id"), F.col("parent_turn").alias("turn")).alias("b"))
     threads = components(edges).select(F.col("node.conv_id").alias("_tc"), F.col("node.turn").alias("_tt"), F.col("component.turn").alias("thread_turn"))
-    joined = rows.drop("keys").join(links, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
+    joined = rows.drop("keys").join(links.drop("_c", "_t"), "_row", "left")
     joined = joined.join(threads, F.col("conv_id").eqNullSafe(F.col("_tc")) & (F.col("turn") == F.col("_tt")), "left").withColumn("thread_turn", F.coalesce("thread_turn", "turn"))
     columns = ["conv_id", "turn", "role", "own_text", "n_quotes", "levels", "original_conv", "original_turn", "parent_turn", "thread_turn"]
     return ranked(joined.select(*columns), ["conv_id"], ["thread_turn", "turn", "role", "own_text"], "position")

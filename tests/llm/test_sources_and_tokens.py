@@ -186,3 +186,14 @@ def test_divergence_equals_loops(spark):
 
 def test_divergence_of_no_rows(spark):
     assert divergence.audit(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
+
+
+def test_messages_of_one_turn_have_links_of_their_own(spark):
+    from plumbline.llm import quotes
+
+    rows = [(1, 0, "user", "a question that is long enough to quote", 7), (1, 1, "user", "> a question that is long enough to quote\n\nan answer", 7), (1, 1, "user", "no quote here at all", 7), (1, None, "user", "> a question that is long enough to quote", 7), (2, 1, "user", "another conversation", 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, _row int").repartition(3)
+    got = {(r.conv_id, r.turn, r.own_text): (r.original_turn, r.parent_turn, r.thread_turn) for r in quotes.linked(df).collect()}
+    assert len(got) == 5
+    assert got[1, 1, "an answer"] == (0, 0, 0) and got[1, 1, "no quote here at all"] == (None, None, 0)
+    assert got[1, None, ""][1] is None and got[2, 1, "another conversation"] == (None, None, 1)
