@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-import math
-import random
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,14 +113,6 @@ class Boxed:
         return out.drop("_features", "rawPrediction", "probability")
 
 
-def elastic_net(features, target, alpha: float = 0.1, l1_ratio: float = 0.5) -> Boxed:
-    return Boxed(LinearRegression(regParam=alpha, elasticNetParam=l1_ratio), features, target)
-
-
-def lasso(features, target, alpha: float = 0.1) -> Boxed:
-    return elastic_net(features, target, alpha, 1.0)
-
-
 def gbm_regressor(features, target, trees: int = 40, depth: int = 3, rate: float = 0.1) -> BoostedTrees:
     return BoostedTrees(features, target, "squared", int(round(trees)), int(round(depth)), rate)
 
@@ -184,70 +173,6 @@ class TierModel:
         return out.withColumns({f"p_{t}": F.round(F.col("_p")[self.seen.index(t)], 4) if t in self.seen else F.lit(0.0) for t in TIERS}).drop("_features", "rawPrediction", "probability", "prediction", "_p")
 
 
-class Cox:
-    """Penalised Cox proportional hazards (Breslow ties) by Newton steps.
-
-    Rows are aggregated to one record for each distinct time; the risk sets' sums are running
-    sums of those, on the driver, as the distinct career lengths are a few dozen. More distinct
-    times than ``most`` are an error.
-    """
-
-    def __init__(self, features: list[str], time: str, event: str, penalty: float = 0.1, steps: int = 20, most: int = 10_000):
-        self.features, self.time, self.event, self.penalty, self.steps, self.most = features, time, event, penalty, steps, most
-
-    def fit(self, df: DataFrame) -> Cox:
-        k = len(self.features)
-        m = df.agg(*(F.avg(c) for c in self.features), *(F.stddev_pop(c) for c in self.features)).first()
-        self.mean, self.sd = np.array(m[:k], float), np.array([x or 1.0 for x in m[k:]], float)
-        z = [(F.col(c) - float(self.mean[i])) / float(self.sd[i]) for i, c in enumerate(self.features)]
-        rows = df.select(F.col(self.time).cast("double").alias("_t"), F.col(self.event).cast("double").alias("_e"), *(x.alias(f"z{i}") for i, x in enumerate(z))).dropna().cache()
-        beta = np.zeros(k)
-        for _ in range(self.steps):
-            risk = F.exp(dot([f"z{i}" for i in range(k)], beta))
-            got = rows.withColumn("_r", risk).groupBy("_t").agg(
-                F.sum("_e").alias("d"), F.sum("_r").alias("s0"), *(F.sum(F.col("_e") * F.col(f"z{i}")).alias(f"x{i}") for i in range(k)), *(F.sum(F.col("_r") * F.col(f"z{i}")).alias(f"a{i}") for i in range(k)),
-                *(F.sum(F.col("_r") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"b{i}_{j}") for i in range(k) for j in range(i, k)),
-            ).orderBy(F.desc("_t")).limit(self.most + 1).collect()
-            if len(got) > self.most:
-                raise ValueError(f"over {self.most} distinct times")
-            s0, s1, s2, grad, hess = 0.0, np.zeros(k), np.zeros((k, k)), -self.penalty * beta, -self.penalty * np.eye(k)
-            for r in got:
-                s0 += r.s0
-                s1 = s1 + np.array([r[f"a{i}"] for i in range(k)])
-                s2 = s2 + np.array([[r[f"b{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                if r.d:
-                    e = s1 / s0
-                    grad = grad + np.array([r[f"x{i}"] for i in range(k)]) - r.d * e
-                    hess = hess - r.d * (s2 / s0 - np.outer(e, e))
-            step = np.linalg.solve(hess, grad)
-            beta = beta - step
-            if np.abs(step).max() < 1e-8:
-                break
-        rows.unpersist()
-        self.beta = beta
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        w = self.beta / self.sd
-        return df.withColumn("risk", F.exp(dot(self.features, w, -float(w @ self.mean))))
-
-
-def tuned(score, space: dict[str, tuple], trials: int = 20, maximise: bool = True, seed: int = 42) -> tuple[dict, float, list]:
-    """(best parameters, best score, all trials) of a seeded random search.
-
-    space: name -> (low, high, "int" | "float" | "log"); ``score`` takes the parameters, and
-    should be a mean over temporal folds.
-    """
-    rng, done = random.Random(seed), []
-    for _ in range(trials):
-        p = {}
-        for name, (low, high, kind) in space.items():
-            p[name] = rng.randint(low, high) if kind == "int" else math.exp(rng.uniform(math.log(low), math.log(high))) if kind == "log" else rng.uniform(low, high)
-        done.append((p, score(**p)))
-    best = (max if maximise else min)(done, key=lambda x: x[1])
-    return best[0], best[1], done
-
-
 def kmeans(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42, starts: int = 10) -> tuple[DataFrame, object]:
     """Archetypes: z-scored k-means clusters of ``columns`` (missing values 0), the best of ``starts`` by cost."""
     from pyspark.ml.clustering import KMeans

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import season_start
-from plumbline.operators import features, labels, metrics, mlops, models, temporal
+from plumbline.operators import features, labels, metrics, mlops, models, search, survival, temporal
 from plumbline.operators.board import Board
 from plumbline.operators.cleaning import Preprocessor
 from plumbline.sources import parse
@@ -62,7 +62,7 @@ def longevity(dev: DataFrame, held: DataFrame, columns: list[str]) -> float:
     kinds = dev.select("career_ended").distinct().count()
     if dev.limit(10).count() < 10 or held.limit(3).count() < 3 or kinds < 2:
         return math.nan
-    scored = models.Cox(columns, "career_seasons", "career_ended").fit(dev).transform(held)
+    scored = survival.Cox(columns, "career_seasons", "career_ended").fit(dev).transform(held)
     got = metrics.concordance(scored, "career_seasons", "career_ended", "risk").first()[0]
     return math.nan if got is None else got
 
@@ -84,7 +84,7 @@ def evaluate(table: DataFrame, columns: list[str], registry: mlops.Registry, out
 
     score = {"spearman": lambda d: metrics.spearman(d, "realized", "prediction"), "rmse": lambda d: d.agg(metrics.rmse(F.col("realized"), F.col("prediction")))}
     mean_rho = lambda alpha: temporal.evaluated(dev, folds, lambda t: Hurdled(t, alpha), {"spearman": score["spearman"]})[1]["spearman"]["mean"]
-    best, _, _ = models.tuned(mean_rho, {"alpha": (0.1, 100.0, "log")}, trials)
+    best, _, _ = search.tuned(mean_rho, {"alpha": (0.1, 100.0, "log")}, trials)
     _, cv = temporal.evaluated(dev, folds, lambda t: Hurdled(t, best["alpha"]), score)
     final = Hurdled(dev, best["alpha"])
     scored = final.transform(held)

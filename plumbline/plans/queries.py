@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.functions.expressions import TIERS, normal_cdf
-from plumbline.operators import board, cleaning, eda, explain, features, labels, metrics, mlops, models, ordered, team_fit, temporal, uncertainty
+from plumbline.operators import board, cleaning, eda, explain, features, labels, metrics, mlops, models, ordered, paths, survival, team_fit, temporal, uncertainty
 from plumbline.plans import binding as b
 from plumbline.plans.registry import query, table
 from plumbline.sources import parse
@@ -459,7 +459,7 @@ def counterfactuals(spark, d):
 @query()
 def cox_risk(spark, d):
     rows = _features(spark, d).where("career_seasons >= 1")
-    return models.Cox(["pts_per100", "true_shooting"], "career_seasons", "career_ended").fit(rows).transform(rows).select("player_id", "risk")
+    return survival.Cox(["pts_per100", "true_shooting"], "career_seasons", "career_ended").fit(rows).transform(rows).select("player_id", "risk")
 
 
 @query()
@@ -468,3 +468,52 @@ def entity_resolution(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("full_name"), (1993 + F.col("p_partkey") % 6).alias("draft_year"))
     _, identity = cleaning.resolve_entities([p, p.withColumn("full_name", F.concat(F.upper("full_name"), F.lit(" III")))])
     return identity
+
+
+#: Expanding folds over seasons, each with all penalties: the least objective over all sign patterns of two weights is the optimum.
+PATHS_SQL = """ys as (select season_year as val, row_number() over (order by season_year) - 1 as k from (select distinct season_year from impact)), f as (select k - 4 as fold, val from ys where k >= 4),
+m as (select fold, count(*)::double as nt, avg(minutes) as m1, avg(pts_per100) as m2, avg(ebpm) as my, stddev_pop(minutes) as s1, stddev_pop(pts_per100) as s2, covar_pop(minutes, pts_per100) as c12, covar_pop(minutes, ebpm) as c1, covar_pop(pts_per100, ebpm) as c2 from f join impact on season_year < val group by 1),
+pen as (select * from (values ('lasso', 0.05), ('lasso', 0.5), ('net', 0.05), ('net', 0.5), ('ridge', 1.0), ('ridge', 100.0)) t(kind, alpha)),
+z as (select fold, kind, alpha::double as alpha, nt, m1, m2, my, s1, s2, c12 / (s1 * s2) as r, c1 / s1 as b1, c2 / s2 as b2, case kind when 'lasso' then alpha when 'net' then alpha / 2 else 0 end::double as l1, case kind when 'lasso' then 0 when 'net' then alpha / 2 else alpha / nt end::double as l2 from m cross join pen),
+c as (select *, case when a = 0 then 0 when b = 0 then (b1 - l1 * a) / (1 + l2) else ((b1 - l1 * a) * (1 + l2) - r * (b2 - l1 * b)) / ((1 + l2) * (1 + l2) - r * r) end as w1, case when b = 0 then 0 when a = 0 then (b2 - l1 * b) / (1 + l2) else ((b2 - l1 * b) * (1 + l2) - r * (b1 - l1 * a)) / ((1 + l2) * (1 + l2) - r * r) end as w2 from z cross join (select unnest([-1, 0, 1]) as a) cross join (select unnest([-1, 0, 1]) as b)),
+w as (select fold, kind, alpha, arg_min(struct_pack(m1 := m1, m2 := m2, my := my, w1 := w1 / s1, w2 := w2 / s2), 0.5 * (w1 * w1 + 2 * r * w1 * w2 + w2 * w2) - b1 * w1 - b2 * w2 + l1 * (abs(w1) + abs(w2)) + l2 / 2 * (w1 * w1 + w2 * w2)) as g from c group by 1, 2, 3),
+p as (select v.player_id, v.season_year, fold, kind, alpha, v.ebpm, g.my + g.w1 * (v.minutes - g.m1) + g.w2 * (v.pts_per100 - g.m2) as prediction from w join f using (fold) join impact v on v.season_year = f.val)"""
+PENALTIES = {"lasso": (1.0, [0.05, 0.5]), "net": (0.5, [0.05, 0.5]), "ridge": (None, [1.0, 100.0])}
+
+
+def _fold_paths(rows):
+    folds = temporal.walk_forward(temporal.years_of(rows, "season_year"), 4)
+    return folds, {kind: paths.fold_paths(rows, ["minutes", "pts_per100"], "ebpm", folds, alphas, ratio, "season_year") for kind, (ratio, alphas) in PENALTIES.items()}
+
+
+@query(f"{WITH_IMPACT}, {PATHS_SQL} select fold::int as fold, kind, alpha, count(*)::bigint as n, round(sqrt(avg(power(ebpm - prediction, 2))), 5) as rmse from p group by 1, 2, 3")
+def fold_paths(spark, d):
+    """Walk-forward errors of lasso, elastic net and ridge at all penalties, from sums by season."""
+    _, found = _fold_paths(b.impact(spark, d))
+    got = [(r["fold"], kind, r["alpha"], r["n"], round(r["rmse"], 5)) for kind, rows in found.items() for r in rows]
+    return spark.createDataFrame(got, "fold int, kind string, alpha double, n long, rmse double")
+
+
+@query(f"{WITH_IMPACT}, {PATHS_SQL}, best as (select alpha from (select fold, alpha, sqrt(avg(power(ebpm - prediction, 2))) as e from p where kind = 'lasso' group by 1, 2) group by 1 order by avg(e), alpha desc limit 1) select player_id, season_year, fold::int as fold, round(prediction, 4) as prediction from p join best using (alpha) where kind = 'lasso'")
+def fold_predictions(spark, d):
+    """Out-of-fold predictions of the lasso with the least mean error over folds."""
+    rows = b.impact(spark, d)
+    folds, found = _fold_paths(rows)
+    alpha = paths.best_alpha(found["lasso"])
+    chosen = {r["fold"]: r["model"] for r in found["lasso"] if r["alpha"] == alpha}
+    return paths.fold_predictions(rows, folds, chosen, "season_year").select("player_id", "season_year", "fold", _r("prediction", 4))
+
+
+@query(f"""{WITH_LABELS}, careers as (select l.player_id, career_seasons::double as t, career_ended::int as e, pts_per100 as x from labels_ l join (select *, row_number() over (partition by player_id order by season_year desc) as k from seasons) s on s.player_id = l.player_id and s.k = 1 where career_seasons >= 1),
+spread as (select avg(x) as m, stddev_samp(x) as s, count(*)::double as n from careers), scaled as (select careers.*, (x - m) / s as z from careers cross join spread),
+times as (select t, count(*)::double as n, sum(z) as z1, sum(z * z) as z2, sum(e) as d, sum(e * z) as e1, sum(e * z * z) as e2 from scaled group by 1),
+sets as (select t, d, e1, e2, sum(n) over w as s0, sum(z1) over w as s1, sum(z2) over w as s2 from times window w as (order by t desc)),
+terms as (select sets.*, unnest(range(d::bigint))::double as l from sets where d > 0),
+slopes as (select (sum((s1 - l / d * e1) / (s0 - l)) - (select sum(e1) from times)) / any_value(spread.n) as grad, sum((s2 - l / d * e2) / (s0 - l) - power((s1 - l / d * e1) / (s0 - l), 2)) / any_value(spread.n) + 0.005 as hess from terms cross join spread),
+step as (select sign(-grad) * greatest(abs(grad) - 0.005, 0) / hess as beta from slopes)
+select player_id, round(exp(beta * z), 5) as risk from scaled cross join step""")
+def cox_first_step(spark, d):
+    """One proximal Newton step with Efron's ties from 0, penalty 0.01, half of it absolute."""
+    rows = b.labels(spark, d).join(features.primary_season(b.seasons(spark, d), season="season_year").drop("season_year"), "player_id").where("career_seasons >= 1")
+    model = survival.Cox(["pts_per100"], "career_seasons", "career_ended", 0.01, 0.5, steps=1).fit(rows)
+    return model.transform(rows).select("player_id", _r("risk", 5))
