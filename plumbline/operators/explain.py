@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.eda import quantile_edges
 from plumbline.operators.models import Linear
+from plumbline.operators.ordered import numbered
 
 
 class LinearShap:
@@ -32,21 +34,65 @@ class LinearShap:
         return means.select(F.inline("s")).orderBy(F.desc("mean_abs_shap"), "feature")
 
 
-def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFrame], metric: Callable[[DataFrame], float], features: list[str], key: str, shuffles: int = 5, seed: int = 42) -> DataFrame:
+def permuted(number: Column, n: int, seed: Column) -> Column:
+    """A permutation of 0 to ``n`` - 1 for each ``seed``, as an expression of a number.
+
+    Numbers are places of a grid of hardly more than ``n`` cells; in turn the row moves by a hash
+    of the column and the column by a hash of the row, which can be taken back and so is a
+    permutation of the cells. What lands beyond ``n`` moves on until it lands within; few cells
+    are beyond, so 64 more moves are enough for all of them, or, in large tables, but for a chance
+    under 10**-70, which is an error.
+    """
+    wide = math.isqrt(max(n - 1, 0)) + 1
+    high = -(-n // wide) if n else 1
+
+    def move(x: Column) -> Column:
+        row, column = F.floor(x / wide).cast("long"), F.pmod(x, F.lit(wide))
+        for turn in range(3):
+            row = F.pmod(row + F.pmod(F.xxhash64(column, seed, F.lit(2 * turn)), F.lit(high)), F.lit(high))
+            column = F.pmod(column + F.pmod(F.xxhash64(row, seed, F.lit(2 * turn + 1)), F.lit(wide)), F.lit(wide))
+        return row * wide + column
+
+    # one element bound at a time, so that a move is written out once
+    stepped = F.transform(F.array(number.cast("long")), move)
+    more = min(64, wide * high - n)
+    if more:
+        stepped = F.transform(stepped, lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(more)), x, lambda a, _: F.when(a < n, a).otherwise(F.element_at(F.transform(F.array(a), move), 1))))
+    out = F.element_at(stepped, 1)
+    return F.when(out < n, out).otherwise(F.raise_error(F.lit("a number didn't land")).cast("long"))
+
+
+def permutation_importance(df: DataFrame, predict: Callable[[DataFrame], DataFrame], metric: Callable[[DataFrame], float] | Column, features: list[str], key: str, shuffles: int = 5, seed: int = 42) -> DataFrame:
     """feature, importance: the mean drop of ``metric`` when a column's values change rows.
 
-    Values are dealt anew by pairing two orders of hashes of the key. An exact permutation numbers
-    the rows in one order, so pass a validation set, not facts.
+    ``key`` tells rows apart; its hashes number them without gaps, cut by cut, and each shuffle
+    moves all features of a row to the row of the ``permuted`` number. A metric that is an
+    aggregate expression over the scored rows is taken for all features and shuffles in one job,
+    in which rows are joined once a shuffle; any other is a function of a scored frame, called
+    for each. Without rows there is no importance (null).
     """
-    base, rows = metric(predict(df)), []
-    for f in features:
-        drops = []
+    names = list(dict.fromkeys(features))
+    rows = numbered(df, [], F.xxhash64(key).cast("double"), [F.xxhash64(key), F.col(key)], "_n").withColumn("_n", F.col("_n") - 1).persist()
+    n = rows.count()
+    moved = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1)))).select("_k", permuted(F.col("_n"), n, F.col("_k") + seed).alias("_n"), F.struct(*names).alias("_new"))
+    if isinstance(metric, Column):
+        each = F.array(*(F.lit(i) for i in range(-1, len(names))))  # -1: nothing is changed
+        met = rows.join(moved, "_n").withColumn("_i", F.explode(each))
+        changed = {f: F.when(F.col("_i") == i, F.col(f"_new.`{f}`")).otherwise(F.col(f)) for i, f in enumerate(names)}
+        got = predict(met.withColumns(changed).drop("_new", "_n")).groupBy("_i", "_k").agg(metric.cast("double").alias("m")).collect()
+        value = {(r["_i"], r["_k"]): r.m for r in got}
+    else:
+        base, value = metric(predict(df)), {}
         for k in range(shuffles):
-            left = df.drop(f).withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(key), key)))
-            right = df.select(f, F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed + k)), key)).alias("_n"))
-            drops.append(base - metric(predict(left.join(right, "_n").drop("_n"))))
-        rows.append((f, sum(drops) / len(drops)))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+            value[-1, k] = base
+            for i, f in enumerate(names):
+                value[i, k] = metric(predict(rows.join(moved.where(F.col("_k") == k), "_n").withColumn(f, F.col(f"_new.`{f}`")).select(*df.columns)))
+    rows.unpersist()
+    out = []
+    for i, f in enumerate(names):
+        drops = [value.get((-1, k)) - value.get((i, k)) for k in range(shuffles) if value.get((-1, k)) is not None and value.get((i, k)) is not None]
+        out.append((f, sum(drops) / len(drops) if drops else None))
+    return df.sparkSession.createDataFrame(out, "feature string, importance double").orderBy(F.desc_nulls_last("importance"), "feature")
 
 
 def partial_dependence(df: DataFrame, expression: Callable[[dict[str, Column]], Column], feature: str, points: int = 20, grid: list[float] | None = None) -> DataFrame:
