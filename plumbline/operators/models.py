@@ -171,19 +171,3 @@ class TierModel:
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.boxed.model.transform(self.boxed._assembled(df)).withColumn("_p", vector_to_array("probability"))
         return out.withColumns({f"p_{t}": F.round(F.col("_p")[self.seen.index(t)], 4) if t in self.seen else F.lit(0.0) for t in TIERS}).drop("_features", "rawPrediction", "probability", "prediction", "_p")
-
-
-def kmeans(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42, starts: int = 10) -> tuple[DataFrame, object]:
-    """Archetypes: z-scored k-means clusters of ``columns`` (missing values 0), the best of ``starts`` by cost."""
-    from pyspark.ml.clustering import KMeans
-
-    m = df.agg(*(F.avg(F.coalesce(c, F.lit(0.0))).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(F.coalesce(c, F.lit(0.0))).alias(f"s{i}") for i, c in enumerate(columns))).first()
-    z = df.withColumns({f"_z{i}": (F.coalesce(c, F.lit(0.0)) - m[f"m{i}"]) / (m[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
-    v = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(columns))], outputCol="_v").transform(z)
-    v = v.cache()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster", maxIter=50).fit(v) for i in range(starts)]
-    model = min(fits, key=lambda m: m.summary.trainingCost)
-    v.unpersist()
-    return model.transform(v).drop("_v", *(f"_z{i}" for i in range(len(columns)))), model
-
-

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.functions.expressions import TIERS, normal_cdf
-from plumbline.operators import board, cleaning, eda, explain, features, labels, metrics, mlops, models, ordered, paths, survival, team_fit, temporal, uncertainty
+from plumbline.operators import board, cleaning, clusters, eda, explain, features, labels, metrics, mlops, models, ordered, paths, survival, team_fit, temporal, uncertainty
 from plumbline.plans import binding as b
 from plumbline.plans.registry import query, table
 from plumbline.sources import parse
@@ -517,3 +517,18 @@ def cox_first_step(spark, d):
     rows = b.labels(spark, d).join(features.primary_season(b.seasons(spark, d), season="season_year").drop("season_year"), "player_id").where("career_seasons >= 1")
     model = survival.Cox(["pts_per100"], "career_seasons", "career_ended", 0.01, 0.5, steps=1).fit(rows)
     return model.transform(rows).select("player_id", _r("risk", 5))
+
+
+@query()
+def archetype_clusters(spark, d):
+    """Each player's cluster of five by the latest season's rates, the best of ten starts."""
+    return clusters.kmeans(features.primary_season(b.seasons(spark, d), season="season_year"), FEATURES)[0].select("player_id", "cluster")
+
+
+@query()
+def shuffled_importance(spark, d):
+    """How much R squared a ridge model of cumulative value loses when a feature changes rows."""
+    rows = _features(spark, d).dropna(subset=[*FEATURES, "cumulative_value"])
+    model = models.ridge(rows, FEATURES, "cumulative_value")
+    fit = 1 - F.avg((F.col("cumulative_value") - F.col("prediction")) ** 2) / F.var_pop("cumulative_value")
+    return explain.permutation_importance(rows, model.transform, fit, FEATURES, "player_id")

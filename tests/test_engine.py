@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.functions.expressions import erf, mean_rank, tier
-from plumbline.operators import board, cleaning, eda, explain, features, labels, metrics, mlops, models, search, survival, team_fit, temporal, uncertainty
+from plumbline.operators import board, cleaning, clusters, eda, explain, features, labels, metrics, mlops, models, search, survival, team_fit, temporal, uncertainty
 from plumbline.plans import program
 from plumbline.sources import fixtures, ingest, parse
 
@@ -246,8 +246,8 @@ def test_ridge_and_hurdle(spark, prospects):
     assert one(metrics.concordance(c, "career_seasons", "career_ended", "risk")) > 0.6
     best, score, done = search.tuned(lambda a, n: -((a - 3) ** 2) - n, {"a": (0.0, 9.0, "float"), "n": (0, 0, "int")}, 30)
     assert len(done) == 30 and score == max(s for _, s in done) and abs(best["a"] - 3) < 1.5
-    clusters, _ = models.kmeans(prospects, ["pts_per100", "ast_per100"], 3)
-    assert clusters.select("cluster").distinct().count() == 3
+    grouped, _ = clusters.kmeans(prospects, ["pts_per100", "ast_per100"], 3)
+    assert grouped.select("cluster").distinct().count() == 3
 
 
 def test_baseline(spark):
