@@ -3,9 +3,11 @@
 import bisect
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -498,6 +500,65 @@ def test_resampling_separates(spark):
     assert quality.resampled(docs.limit(0), labels).count() == 0
 
 
+def by_loops(rows, marks, folds, uniform, buckets):
+    """log weights, and whether each row of (doc_id, text) is drawn, word by word and cut by cut."""
+    grams = []
+    for _, text in rows:
+        codes = [zlib.crc32(w) for w in (text or "").encode().split()]
+        mixed = [c * 0x165667B19E3779F9 for c in codes] + [(a * 0x9E3779B97F4A7C15 + b) % 2**64 * 0xC2B2AE3D27D4EB4F for a, b in zip(codes, codes[1:], strict=False)]
+        grams.append([m % 2**64 // 2**33 % buckets for m in mixed])
+    raw, good = collections.Counter(), collections.Counter()
+    for (doc, _), found in zip(rows, grams, strict=True):
+        raw.update(found)
+        if marks.get(doc) == 1 and folds[doc] == 0:
+            good.update(found)
+    everything = sum(raw.values()) + 0.5 * buckets
+    ratio = [0.0] * buckets
+    for b in range(buckets):
+        p = (raw[b] + 0.5) / everything
+        ratio[b] = math.log((good[b] / sum(good.values()) + p) / 2 / p)
+    weights = [sum(ratio[b] for b in found) for found in grams]
+    least = {}
+    for (doc, _), w in zip(rows, weights, strict=True):
+        if doc in marks and folds[doc] == 1:
+            least[doc] = min(least.get(doc, w), round(w, 9))
+    good_ones, bad_ones = ([w for d, w in least.items() if marks[d] == m] for m in (1, 0))
+    cuts = sorted({*least.values()})
+    cuts = [-math.inf, *((a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False)), math.inf]
+    errors = [5 * Fraction(sum(w < c for w in good_ones), len(good_ones)) + Fraction(sum(w > c for w in bad_ones), len(bad_ones)) for c in cuts]
+    threshold = cuts[errors.index(min(errors))]
+    k = sum(w >= threshold for w in weights)
+    keys = [w - math.log(-math.log(u)) for w, u in zip(weights, uniform, strict=True)]
+    last = sorted(keys, reverse=True)[k - 1]
+    return weights, [key >= last - 1e-9 for key in keys]
+
+
+def test_resampling_equals_loops(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda good: " ".join(rng.choices(words, weights=[(40 - i) ** 2 if good else (i + 1) for i in range(40)], k=rng.randint(0, 25)))
+    rows = [(d, text(d % 3 > 0)) for d in range(240)] + [(7, text(True)), (7, text(False)), (8, None), (500, "w1 " * 3000), (None, text(True)), (9, "w1 w2 \U0001f600 w3")]
+    labels = [(d, int(d % 3 > 0), int(d % 10 == 4)) for d in range(160)] + [(11, 0, 0), (None, 1, 0), (13, None, 0), (900, 1, 0)]
+    marks = {}
+    for d in range(160):
+        mine = [(q, t) for e, q, t in labels if e == d and q is not None]
+        label = int(all(q == 1 and t == 0 for q, t in mine))
+        if label or any(q == 0 for q, _ in mine) and not any(q == 1 for q, _ in mine):
+            marks[d] = label
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = spark.createDataFrame([(d, zlib.crc32((t or "").encode())) for d, t in rows], "d long, c long").coalesce(1)
+    unit = (F.pmod(F.xxhash64("d", "c", F.lit(quality.SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    drawn = hashes.select("d", unit.alias("u"), F.pmod(F.xxhash64("d", F.lit(quality.SEED)), F.lit(2)).alias("fold")).collect()
+    weights, kept = by_loops(rows, marks, {r.d: r.fold for r in drawn}, [r.u for r in drawn], 512)
+    got = quality.resampled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 512).collect()
+    key = lambda d, t: (d is None, d or 0, zlib.crc32((t or "").encode()))
+    expected = sorted((*key(d, t), w, k) for (d, t), w, k in zip(rows, weights, kept, strict=True))
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.draw, r.log_weight, r.kept) for r in got)
+    assert [x[:3] for x in found] == [x[:3] for x in expected]
+    assert [x[3] for x in found] == pytest.approx([x[3] for x in expected], abs=1e-6)
+    assert [x[4] for x in found] == [x[4] for x in expected] and 0 < sum(kept) < len(kept)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(12)
     v = np.round(rng.standard_normal(700), 2).tolist() + [3.0] * 40
