@@ -79,7 +79,7 @@ def log_ratio(rows: list, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def best_threshold(weights: np.ndarray, good: np.ndarray) -> float:
-    """The largest value that keeps ``LOSS`` times the share of good ones lost plus that of bad ones passed least."""
+    """The smallest cut that keeps ``LOSS`` times the share of good ones lost plus that of bad ones passed least."""
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order].astype(bool)
     lost = np.concatenate([[0], np.cumsum(g)]) / g.sum()
