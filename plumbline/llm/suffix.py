@@ -24,7 +24,9 @@ with ``spark.sql.shuffle.partitions``.
 
 Cases: a null text is an empty text; texts shorter than ``width`` stay whole; rows with equal
 doc_id and equal text are one document, and each row gets its result; rows with equal doc_id
-and other texts are ordered by a hash of the text; a null doc_id comes before all others.
+and other texts are ordered by a hash of the text, which also deals them to different parts; a
+null doc_id comes before all others. A text of any length is taken whole, in one task; an empty table
+gives an empty table; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def home(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """What a text's part comes from: its doc_id, and its tie where doc_ids repeat."""
+    return mix(doc.astype(np.uint64) ^ (tie.astype(np.uint64) * _M1))
+
+
 def even_keys(spark: SparkSession, n: int) -> np.ndarray:
     """``n`` numbers that hash partitioning in ``n`` parts puts in a part each."""
     rows = spark.range(64 * n).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part"))
@@ -201,7 +208,7 @@ def mark(ids: list, texts: list[bytes], ties: list[int], width: int, names: np.n
     made.append({"h": h[order], "g": g, "doc": doc[order], "at": at[order], "span": span[order], "n": np.repeat(end - start, end - start), "kind": np.where(new, ANCHORS, SURE)})
     one = {k: np.concatenate([m[k] for m in made]) for k, _ in MARK}
     to_hash = (one["kind"] == CHUNKS) | (one["kind"] == ANCHORS)
-    dealt(one, MARK, spread(np.where(to_hash, one["h"] >> np.uint64(20), mix(one["doc"])), names), MARKS, out)
+    dealt(one, MARK, spread(np.where(to_hash, one["h"] >> np.uint64(20), home(one["doc"], one["at"] >> np.uint64(32))), names), MARKS, out)
     return out
 
 
@@ -235,7 +242,7 @@ def met(rows: dict[int, list[bytes]], names: np.ndarray, hot: int) -> dict:
     several = {k: v[order[total > 1]] for k, v in a.items()} | {"n": total[total > 1]}
     parted = [settled, several, of_kind(every, SETTLED), of_kind(every, SURE)]
     one = {k: np.concatenate([x[k] for x in parted]) for k, _ in MARK}
-    dealt(one, MARK, spread(mix(one["doc"]), names), MARKS, out)
+    dealt(one, MARK, spread(home(one["doc"], one["at"] >> np.uint64(32)), names), MARKS, out)
     return out
 
 
@@ -243,7 +250,7 @@ def text_rows(ids: list, texts: list[bytes], ties: list[int], names: np.ndarray)
     """The batch's texts by part of doc_id."""
     out = fresh()
     doc = np.array(ids, np.int64)
-    dealt({"doc": doc, "tie": np.array(ties, np.uint64), "size": np.array([len(t) for t in texts])}, TEXT, spread(mix(doc), names), TEXTS, out, texts)
+    dealt({"doc": doc, "tie": np.array(ties, np.uint64), "size": np.array([len(t) for t in texts])}, TEXT, spread(home(doc, np.array(ties, np.uint64)), names), TEXTS, out, texts)
     return out
 
 
@@ -318,7 +325,7 @@ def strips(rows: dict[int, list[bytes]], width: int, names: np.ndarray, hot: fro
         again = one[order[~new]]
         keep[again] = False
         gone = {"doc": arrays["doc"][again], "at": arrays["at"][again], "span": np.ones(len(again))}
-        dealt(gone, RANGE, spread(mix(gone["doc"]), names), RANGES, out)
+        dealt(gone, RANGE, spread(home(gone["doc"], gone["at"] >> np.uint64(32)), names), RANGES, out)
     keep = np.flatnonzero(keep)
     arrays = {k: v[keep] for k, v in arrays.items()}
     dealt(arrays, STRIP, spread(arrays["h"] >> np.uint64(20), names), STRIPS, out, [cut[i] for i in keep.tolist()])
@@ -458,7 +465,7 @@ def sorted_part(rows: dict[int, list[bytes]], width: int, names: np.ndarray) ->
     if piece:
         sort()
     found = {"doc": np.concatenate(docs), "at": np.concatenate(ats), "span": np.concatenate(spans)}
-    dealt(found, RANGE, spread(mix(found["doc"]), names), RANGES, out)
+    dealt(found, RANGE, spread(home(found["doc"], found["at"] >> np.uint64(32)), names), RANGES, out)
     return out
 
 

@@ -288,6 +288,22 @@ def test_suffix_dedup_edge_cases(clash, empty):
     assert suffix.deduplicated(empty).count() == 0
 
 
+def test_texts_without_ids_are_dealt_to_all_parts(spark):
+    texts = sorted({t for _, t in planted(200, 8)}, key=lambda t: zlib.crc32(t.encode()))
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    expected = slow_dedup(list(enumerate(texts)))
+    got = {r.tie: r for r in suffix.deduplicated(df, hot=5).collect()}
+    assert len(got) == len(texts) and any(r.n_removed for r in got.values())
+    for k, t in enumerate(texts):
+        r = got[zlib.crc32(t.encode())]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[k]
+    names = suffix.even_keys(spark, 16)
+    many = [str(k).encode() for k in range(10_000)]
+    parts = suffix.text_rows([suffix.NONE] * len(many), many, [suffix.text_tie(t) for t in many], names)
+    sizes = dict(zip(parts["part"], map(len, parts["packed"]), strict=True))
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * min(sizes.values())
+
+
 def test_equal_rows_are_one_document(spark):
     text = " ".join(f"word{k}" for k in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (2, "other " + text)], "doc_id long, text string")
