@@ -2,7 +2,8 @@
 
 Cases: a null text is an empty text, and texts without words have fingerprint zero, linked
 like any other; repeated rows are linked; an empty table gives an empty table; a null doc_id
-never is a component's smallest id unless the component has no other.
+never is a component's smallest id unless the component has no other; texts of any length are
+taken whole, each in one task; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

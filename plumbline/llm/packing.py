@@ -5,7 +5,8 @@ the sequence length. Pieces then take the planned slots by joining on their rank
 their length.
 
 Cases: a null text is an empty text, one piece of one token; repeated rows are pieces of
-their own; an empty table gives an empty table; texts of any length are cut into pieces.
+their own; an empty table gives an empty table; texts of any length are cut into pieces; pieces of equal
+length take their slots in any order; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

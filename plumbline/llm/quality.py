@@ -15,7 +15,8 @@ Cases: a null text is an empty text, and texts without words have weight 0; repe
 equal keys and are drawn or not together, as are all that are level with the last one drawn;
 labels that are null, repeated or of unknown documents are no hindrance (a document is good if
 each of its labels is); without labelled documents of both kinds, or with an empty table, all
-documents are drawn.
+documents are drawn; texts of any length are taken whole; further columns of documents and labels,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
