@@ -496,6 +496,32 @@ def test_every_query_has_all_its_neighbours_however_often_rows_repeat(spark):
     assert {r.query_id: r["count"] for r in ann.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()} == {0: 20, 20: 20, 40: 20}
 
 
+@pytest.mark.parametrize("shape", ["near copies", "scales", "one wide dimension", "long tails"])
+def test_search_finds_all_neighbours_whatever_the_rows(spark, monkeypatch, shape):
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16))
+    if shape == "near copies":
+        x = np.repeat(rng.standard_normal((4, 16)), 500, 0) + 0.001 * x
+    elif shape == "scales":
+        x *= np.exp(3 * rng.standard_normal((2000, 1)))
+    elif shape == "one wide dimension":
+        x[:, 0] *= 1000
+    else:
+        x = rng.standard_cauchy((2000, 16))
+    rows = list(enumerate(x.tolist())) + [(20, v) for v in (5 * x[:300]).tolist()]  # an id with many long vectors
+    got = collections.Counter(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).where("query_id < 400").collect())
+    asked = {i for i, _ in rows if i % 20 == 0 and i < 400}
+    y, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    expected = collections.Counter()
+    for i, v in rows:
+        if i in asked:
+            score = ann.products(y, np.broadcast_to(np.array(v), y.shape))
+            order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:20]
+            expected.update((i, r, int(ids[j]), float(score[j])) for r, j in enumerate(order, 1))
+    assert got == expected
+
+
 # --- quality
 
 
