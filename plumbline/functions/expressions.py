@@ -21,6 +21,11 @@ def scale(x: Column, low: float, high: float) -> Column:
     return F.lit(50.0) if high <= low else clip((x - low) / (high - low) * 100.0, 0, 100)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to ``places``, halves away from zero as SQL engines round doubles: what a tie's double is short of it by its last bit goes when it is scaled."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def measured(df: DataFrame, *names: str, default: float | None = 0.0) -> Column:
     """The first of the columns that ``df`` has with neither null nor NaN, else ``default``."""
     there = [F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")) for n in names if n in df.columns]

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.expressions import rounded
+
 REPLACEMENT = -2.0
 # The proxy's weights per 100 possessions and its shooting term.
 WEIGHTS = {"pts_per100": 0.10, "ast_per100": 0.10, "oreb_per100": 0.07, "dreb_per100": 0.04, "stl_per100": 0.20, "blk_per100": 0.12, "tov_per100": -0.18}
@@ -46,8 +48,8 @@ def impact_metrics(seasons: DataFrame, season: str = "season", minutes: str = "m
         raw = raw + SHOOTING_WEIGHT * (F.coalesce("true_shooting", F.lit(SHOOTING)) - SHOOTING)
     rows = seasons.withColumn("_raw", raw)
     means = rows.groupBy(F.col(season).alias("_season")).agg(F.try_divide(F.sum(F.col("_raw") * F.col(minutes)), F.sum(minutes)).alias("_mean"))
-    out = rows.join(means, F.col(season).eqNullSafe(F.col("_season")), "left").withColumn("ebpm", F.round(F.col("_raw") - F.col("_mean"), 3))
-    vorp = F.round((F.col("ebpm") - REPLACEMENT) * F.col(minutes) / FULL_MINUTES, 3)
+    out = rows.join(means, F.col(season).eqNullSafe(F.col("_season")), "left").withColumn("ebpm", rounded(F.col("_raw") - F.col("_mean"), 3))
+    vorp = rounded((F.col("ebpm") - REPLACEMENT) * F.col(minutes) / FULL_MINUTES, 3)
     return out.withColumn("vorp", vorp).drop("_raw", "_mean", "_season")
 
 

@@ -65,6 +65,12 @@ def test_impact_is_centred_and_vorp_exact(spark):
     assert next(r for r in got if r.player_id == 4).ebpm is None
 
 
+def test_vorp_rounds_halves_up(spark):
+    df = rows(spark, [("2023-24", 1, 984.0, 20.6), ("2023-24", 2, 984.0, 20.0)], "season string, player_id long, minutes double, pts_per100 double")
+    got = {r.player_id: (r.ebpm, r.vorp) for r in labels.impact_metrics(df).collect()}
+    assert got == {1: (0.03, 0.102), 2: (-0.03, 0.099)}  # 0.1015 and 0.0985, the former less its last bit as a double
+
+
 def test_values(spark):
     df = rows(spark, [(5.0, True), (float("nan"), False), (1.0, True), (float("nan"), True)], "v double, r boolean")
     assert [r[0] for r in df.select(labels.realized_value(F.col("v"), F.col("r"))).collect()] == [5.0, -2.0, 1.0, -2.0]
