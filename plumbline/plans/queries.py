@@ -105,16 +105,17 @@ def age_at_draft(spark, d):
 @query(f"""{WITH_SEASONS}, c as (select p_partkey, p_name, 1993 + p_partkey % 6 as season, p_partkey % 25 as school, p_retailprice as v from part), d0 as (select d.player_id, d.draft_year, d.organization, p.p_name as full_name from draft d join part p on p.p_partkey = d.player_id % 1000),
 j as (select d0.player_id, c.v, row_number() over (partition by d0.player_id order by case when c.school = d0.organization then 0 else 1 end, c.v) as k from d0 left join c on c.p_name = d0.full_name and c.season = d0.draft_year) select player_id, v as linked_value from j where k = 1""")
 def college_link(spark, d):
-    """A name-and-season link, the same organisation first."""
-    from pyspark.sql import Window
-
+    """A name-and-season link, the same organisation first; the least value of a name is found before players meet it."""
     part = table(spark, d, "part")
-    c = part.select("p_name", (F.lit(1993) + F.col("p_partkey") % 6).alias("season"), (F.col("p_partkey") % 25).alias("school"), F.col("p_retailprice").alias("v"))
+    c = part.select(F.col("p_name").alias("name"), (F.lit(1993) + F.col("p_partkey") % 6).alias("draft_year"), (F.col("p_partkey") % 25).alias("organization"), F.col("p_retailprice").alias("v"))
+    own = c.groupBy("name", "draft_year", "organization").agg(F.min("v").alias("own"), F.lit(0).alias("far"))
+    every = c.groupBy("name", "draft_year").agg(F.min("v").alias("v"))
     named = part.select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("name"))
     d0 = b.draft(spark, d).join(named, F.col("player_id") % 1000 == F.col("_k"))
-    j = d0.join(c, (F.col("name") == F.col("p_name")) & (F.col("draft_year") == F.col("season")), "left")
-    k = F.row_number().over(Window.partitionBy("player_id").orderBy(F.when(F.col("school") == F.col("organization"), 0).otherwise(1), "v"))
-    return j.withColumn("k", k).where("k = 1").select("player_id", F.col("v").alias("linked_value"))
+    j = d0.join(own, ["name", "draft_year", "organization"], "left").join(every, ["name", "draft_year"], "left")
+    v = F.when(F.col("far") == 0, F.col("own")).otherwise(F.col("v"))
+    first = F.min(F.struct(F.coalesce("far", F.lit(1)).alias("far"), v.isNull().alias("none"), v.alias("v")))
+    return j.groupBy("player_id").agg(first["v"].alias("linked_value"))
 
 
 # --- metrics and exploration
