@@ -129,20 +129,35 @@ COLLEGE = ["pts_per40", "ast_per40", "reb_per40", "stl_per40", "blk_per40", "tov
 ABROAD = ["pts_per40", "ast_per40", "reb_per40", "stl_per40", "blk_per40", "tov_per40", "true_shooting"]
 
 
-def _linked(draft: DataFrame, rows: DataFrame, years, order, columns: list[str]) -> DataFrame:
-    """player_id and ``columns`` of the best row of the same name key and a fitting season; ties by the rows' own values."""
+def _linked(draft: DataFrame, rows: DataFrame, tries: list[list[tuple]], columns: list[str]) -> DataFrame:
+    """player_id and ``columns`` of the best row of the same name key; ties by the rows' own values, nulls last.
+
+    A try is a list of pairs, of a row's and of a player's value that must be equal; the first try
+    with a row counts. Each try's best row of a name key is found before players meet it, so names
+    that many share make no pairs.
+    """
     players = keep_first(draft, ["player_id"], "draft_year").withColumn("_key", name_match_key(F.col("full_name")))
-    there = rows.select(name_match_key(F.col("full_name")).alias("_rkey"), *(F.col(c).alias(f"_r_{c}") for c in dict.fromkeys([*columns, "season", *(["school"] if "school" in rows.columns else [])])))
-    joined = players.join(there, (F.col("_key") == F.col("_rkey")) & years(F.col("_r_season"), F.col("draft_year")), "left")
-    ties = [F.col(c) for c in there.columns if c.startswith("_r_")]
-    first = joined.withColumn("_n", F.row_number().over(Window.partitionBy("player_id").orderBy(*order, *ties))).where("_n = 1")
-    return first.select("player_id", *(F.col(f"_r_{c}").alias(c) for c in columns))
+    by = ["season", *(["school"] if "school" in rows.columns else [])]
+    there = rows.select("full_name", *(F.col(c).alias(f"_r_{c}") for c in dict.fromkeys([*columns, *by])))
+    values = F.struct(*(x for c in there.columns if c.startswith("_r_") for x in (F.col(c).isNull().alias(f"_no{c}"), F.col(c))))
+    # one row of a spelling, so names are made alike once each
+    there = there.groupBy("full_name", *(f"_r_{c}" for c in by)).agg(F.min(values).alias("_best")).withColumn("_rkey", name_match_key(F.col("full_name")))
+    out = players.select("player_id", "_key", *(own.alias(f"_own{i}_{j}") for i, pairs in enumerate(tries) for j, (_, own) in enumerate(pairs)))
+    for i, pairs in enumerate(tries):
+        best = there.groupBy(F.col("_rkey").alias(f"_key{i}"), *(of.alias(f"_of{i}_{j}") for j, (of, _) in enumerate(pairs))).agg(F.min("_best").alias(f"_best{i}"))
+        same = F.col("_key") == F.col(f"_key{i}")
+        for j in range(len(pairs)):
+            same = same & (F.col(f"_own{i}_{j}") == F.col(f"_of{i}_{j}"))
+        out = out.join(best, same, "left")
+    first = F.coalesce(*(F.col(f"_best{i}") for i in range(len(tries))))
+    return out.select("player_id", *(first[f"_r_{c}"].alias(c) for c in columns))
 
 
 def link_college(draft: DataFrame, college: DataFrame, columns: list[str] = COLLEGE) -> DataFrame:
     """Each drafted player's college row of the draft year; of several, that of the player's own school first."""
-    mine = F.coalesce(normalize_name(F.col("_r_school")) == normalize_name(F.col("organization").cast("string")), F.lit(False))
-    return _linked(draft, college, lambda s, y: s == y, [F.desc(mine)], columns)
+    year = (F.col("_r_season"), F.col("draft_year"))
+    school = (normalize_name(F.col("_r_school")), normalize_name(F.col("organization").cast("string")))
+    return _linked(draft, college, [[year, school], [year]], columns)
 
 
 def link_abroad(draft: DataFrame, abroad: DataFrame, strict_pre_draft: bool = True, columns: list[str] = ABROAD) -> DataFrame:
@@ -151,8 +166,8 @@ def link_abroad(draft: DataFrame, abroad: DataFrame, strict_pre_draft: bool = Tr
     A season starts in its year, so only the one before the draft is over by then. Without
     ``strict_pre_draft`` the season that starts after the draft counts too, and first.
     """
-    years = (lambda s, y: s == y - 1) if strict_pre_draft else (lambda s, y: s.between(y - 1, y))
-    return _linked(draft, abroad, years, [F.desc_nulls_last("_r_season")], columns)
+    years = [F.col("draft_year") - 1] if strict_pre_draft else [F.col("draft_year"), F.col("draft_year") - 1]
+    return _linked(draft, abroad, [[(F.col("_r_season"), y)] for y in years], columns)
 
 
 def age_at_draft(birth, year):

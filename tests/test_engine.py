@@ -173,6 +173,50 @@ def test_links(spark):
     assert [r[0] for r in df.select(features.age_at_draft(F.col("b"), F.col("y"))).collect()] == [19.32, None, None]
 
 
+def most_joined(df):
+    """The most rows that a join of ``df`` makes."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        if "AdaptiveSparkPlan" in name:
+            plans.append(p.executedPlan())
+        elif "QueryStage" in name:
+            plans.append(p.plan())
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+@pytest.fixture(scope="module")
+def namesakes(spark, tmp_path_factory):
+    """900 players and 1500 parts with three names; a school without a price."""
+    d = str(tmp_path_factory.mktemp("names"))
+    rows(spark, [(k, f"c{k}", k % 25, float(k), "X") for k in range(900)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+    parts = [(k, "abc"[k % 3], f"B{k % 4}", "t", k % 50, None if k % 25 in (3, 4) or k % 7 == 0 else float(k * 37 % 1001)) for k in range(1500)]
+    rows(spark, parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    return d
+
+
+@pytest.mark.parametrize(("name", "players"), [("college_link", 900), ("college_features", 1500), ("abroad_features", 1500)])
+def test_namesakes_make_no_pairs_and_nulls_are_last(spark, namesakes, name, players):
+    import duckdb
+
+    from plumbline.plans import payloads, queries, registry  # noqa: F401
+
+    got = registry.queries()[name](spark, namesakes)
+    assert most_joined(got) <= players
+    con = duckdb.connect()
+    for t in ("customer", "part"):
+        con.execute(f"create view {t} as select * from '{namesakes}/{t}.parquet/*.parquet'")
+    con.execute("create table orders (o_custkey bigint, o_orderkey bigint, o_orderdate timestamp)")
+    con.execute("create table lineitem (l_orderkey bigint, l_quantity double, l_returnflag varchar, l_extendedprice double, l_partkey bigint)")
+    expected = con.execute(registry.oracle_sql()[name]).fetchall()
+    assert len(expected) == players and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
 # --- temporal validation
 
 
