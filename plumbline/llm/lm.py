@@ -128,39 +128,55 @@ def padded(texts: list[str], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    x = x - x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
 
 def hidden(p: dict, seq: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(p["embed"][k][seq[place + o]] for k, o in enumerate(OFFSETS)))
+    total = p["embed"][0].take(seq[place + OFFSETS[0]], axis=0)
+    for k, o in enumerate(OFFSETS[1:], 1):
+        total += p["embed"][k].take(seq[place + o], axis=0)
+    return np.tanh(total, out=total)
 
 
 def by_class(token: np.ndarray, words: int):
-    """(class, rows) of the classes that ``token`` has; neighbours in frequency share a class."""
+    """Classes of ``token``, their order, and (class, start, end) in that order of those there are; neighbours in frequency share a class."""
     c = token // words
     order = np.argsort(c, kind="stable")
-    cut = np.concatenate([[0], np.cumsum(np.bincount(c))])
-    return c, [(k, order[cut[k] : cut[k + 1]]) for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
+    cut = np.concatenate([[0], np.cumsum(np.bincount(c))]).tolist()
+    return c, order, [(k, s, e) for k, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
+
+
+def word_scores(p: dict, h: np.ndarray, groups: list) -> np.ndarray:
+    """Scores of the words of each row's class; the rows of ``h`` are in order of class."""
+    z = np.empty((len(h), p["word_bias"].shape[1]), h.dtype)
+    for k, s, e in groups:
+        np.matmul(h[s:e], p["to_word"][k], out=z[s:e])
+        z[s:e] += p["word_bias"][k]
+    return z
 
 
 def log_probabilities(p: dict, seq: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The log probability of the token at each place, given its neighbours."""
-    out = np.empty(len(place))
+    out, words = np.empty(len(place)), p["word_bias"].shape[1]
+
+    def of(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        top = z.max(1)
+        got = z[np.arange(len(z)), chosen] - top
+        z -= top[:, None]
+        return got - np.log(np.exp(z, out=z).sum(1))
+
     for s in range(0, len(place), 16384):
         at = place[s : s + 16384]
         h, token = hidden(p, seq, at), seq[at]
-        c, groups = by_class(token, p["word_bias"].shape[1])
-        z = h @ p["to_class"] + p["class_bias"]
-        top = z.max(1)
-        got = (z[np.arange(len(at)), c] - top - np.log(np.exp(z - top[:, None]).sum(1))).astype(np.float64)
-        for k, rows in groups:
-            z = h[rows] @ p["to_word"][k] + p["word_bias"][k]
-            top = z.max(1)
-            got[rows] += z[np.arange(len(rows)), token[rows] % p["word_bias"].shape[1]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        c, order, groups = by_class(token, words)
+        got = of(h @ p["to_class"] + p["class_bias"], c).astype(np.float64)
+        got[order] += of(word_scores(p, h.take(order, axis=0), groups), token[order] % words)
         out[s : s + 16384] = got
     return out
 
@@ -168,17 +184,23 @@ def log_probabilities(p: dict, seq: np.ndarray, place: np.ndarray) -> np.ndarray
 def gradients(p: dict, seq: np.ndarray, place: np.ndarray) -> tuple[dict, list]:
     """Of the mean log probability: by parameter, and for the embeddings (tokens, gradient) by place."""
     n, h, token = len(place), hidden(p, seq, place), seq[place]
-    c, groups = by_class(token, p["word_bias"].shape[1])
+    words = p["word_bias"].shape[1]
+    c, order, groups = by_class(token, words)
     error = -_softmax(h @ p["to_class"] + p["class_bias"])
     error[np.arange(n), c] += 1
     g = {"to_class": h.T @ error / n, "class_bias": error.sum(0) / n, "to_word": np.zeros_like(p["to_word"]), "word_bias": np.zeros_like(p["word_bias"])}
     back = error @ p["to_class"].T
-    for k, rows in groups:
-        e = -_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k])
-        e[np.arange(len(rows)), token[rows] % p["word_bias"].shape[1]] += 1
-        g["to_word"][k] = h[rows].T @ e / n
-        g["word_bias"][k] = e.sum(0) / n
-        back[rows] += e @ p["to_word"][k].T
+    there = h.take(order, axis=0)
+    e = -_softmax(word_scores(p, there, groups))
+    e[np.arange(n), token[order] % words] += 1
+    more = np.empty_like(there)
+    for k, s, t in groups:
+        np.matmul(there[s:t].T, e[s:t], out=g["to_word"][k])
+        e[s:t].sum(0, out=g["word_bias"][k])
+        np.matmul(e[s:t], p["to_word"][k].T, out=more[s:t])
+    g["to_word"] /= n
+    g["word_bias"] /= n
+    back[order] += more
     back *= (1 - h * h) / n
     return g, [(seq[place + o], back) for o in OFFSETS]
 

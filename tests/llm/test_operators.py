@@ -612,6 +612,18 @@ def test_kth_largest(spark):
 # --- language model
 
 
+def test_a_training_step_calls_little_for_each_class():
+    import cProfile
+    import pstats
+
+    rng = np.random.default_rng(5)
+    seq, place = lm.laid_out(rng.integers(0, lm.VOCABULARY, lm.STEP).astype(np.uint16), np.array([lm.STEP]), lm.VOCABULARY)
+    trainer = lm.Trainer(lm.fresh_parameters())
+    with cProfile.Profile() as profile:
+        trainer.step(seq, place)
+    assert pstats.Stats(profile).total_calls <= 8 * lm.CLASSES
+
+
 def test_log_probabilities_equal_loops():
     p = lm.fresh_parameters()
     tokens = lm.vocabulary({k: lm.HASHED - k for k in range(lm.HASHED)})
