@@ -18,7 +18,9 @@ Hot keys: equal sets are one from the start. In each posting the sets first meet
 member only, and a set is verified against the nearest such member before any other. Then, round
 by round, each posting draws another member, and a set outside its smallest member's component is
 verified against the nearest of those that its postings have drawn; found links join components,
-and rounds go on while three in a hundred of their pairs are links. Only what is outside still meets all
+and rounds go on while they find enough links. Crowded postings then draw several members a round, of those
+that have the fewest rarer shingles (the least edited ones of a group of near copies), and what is outside
+is verified against the nearest few that it has not been tried with, as long as that finds enough links. Only what is outside still meets all
 others of its postings. So a large group of near copies ships about one set a member and round,
 and pairs are written for sets that belong to no common group. Sets are verified in groups of
 ``MEMBERS`` around one of them.
@@ -49,8 +51,14 @@ NEAR = 3
 FAR, SMALL = 44, 16
 #: Linked sets whose components are broadcast at most, 16 bytes each; more are joined by a shuffle.
 BROADCAST = 250_000
-#: Links that a round must find, of the pairs that it verifies, for another round to follow.
-FRUITFUL = 0.03
+#: Rows whose keys are broadcast at most, 8 bytes each, so that only their texts are shuffled; of more, all texts are.
+FILTER = 2_000_000
+#: Links that a round must find for another round to follow: of the pairs that it verifies, and of all sets.
+FRUITFUL, WORTH = 0.03, 0.001
+#: Sets from which a posting is crowded, members that it draws at once then, and how many of them a set is verified against.
+CROWD, DRAWS, TRIES = 32, 8, 4
+#: Places before a posting that are held against another's: only where none is common a pair is written.
+BEFORE = 8
 #: Bits of 128 that pairs of sets at 0.8 differ in, about: nearer ones are verified first.
 CLOSE = 20
 #: Sets that are verified against one other at once.
@@ -149,7 +157,8 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int)
     """The pairs (a, b) of rows, a stored table, whose whole sets have similarity 0.8.
 
     Sets are made again from the texts of the pairs' rows, so those of the others never leave a
-    task. Each goes to the groups of the rows that it is compared with.
+    task. Each goes to the groups of the rows that it is compared with. Texts whose keys no pair
+    needs are left out before the shuffle, by hashes, while there are ``FILTER`` rows at most.
     """
     if pairs.isEmpty():
         return pairs
@@ -158,6 +167,9 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int)
     centres = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("b").alias("row"))
     need = members.union(centres).join(prints.select("row", "key", F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), "row")
     need = stored(need, "need")
+    if need.count() <= FILTER:
+        hashes = need.select(F.xxhash64("_id", "_tie").alias("_hash")).distinct()
+        texts = texts.join(F.broadcast(hashes), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))) == F.col("_hash"), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_tie"))
 
     def again(batch: pa.RecordBatch) -> dict:
@@ -223,26 +235,43 @@ def similar_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     apart = with_part(with_part(star, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
     links = links.union(verified(stored(apart.join(first, ["a", "b"], "left_anti"), "pairs"), prints, texts, width))
     parts = parts_of(links)
-    # then, round by round, members outside its component with the nearest of those that their postings draw
-    named, tried, round_, fruitful = shared_by_many(met.select("gram", *what, "r_row")), star.select("a", "b"), 0, True
-    while True:
+    n_sets = whole.count()
+    named, tried, round_ = shared_by_many(met.select("gram", *what, "r_row")), star.select("a", "b"), 0
+
+    def renewed(named: DataFrame) -> DataFrame:
+        """The postings with their components as they are now, where a member is outside its smallest one's."""
         named = with_part(with_part(named.select("gram", *what, "r_row"), "row", "part"), "r_row", "r_part").withColumn("out", F.col("part") != F.col("r_part"))
-        named = stored(named.join(named.where("out").select("gram").distinct(), "gram", "left_semi"), "postings")
-        if not fruitful:
-            break
-        round_, turn = round_ + 1, F.lit(round_)
-        drawn = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", turn).alias("h"), *what, "part")).alias("d"))
-        drawn = drawn.select("gram", *(F.col(f"d.{c}").alias(f"d_{c}") for c in (*what, "part")))
-        seen = named.where("out").join(drawn, "gram").where((F.col("part") != F.col("d_part")) & _may("", "d_"))
-        near = seen.groupBy(F.col("row").alias("a")).agg(F.min(F.struct(_bits("", "d_").alias("bits"), F.col("d_row").alias("b"))).alias("n")).select("a", F.col("n.b").alias("b"))
-        near = stored(near.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = verified(near, prints, texts, width)
-        fruitful = found.count() > FRUITFUL * near.count()
-        links, tried = links.union(found), tried.union(near)
-        parts = parts_of(links)
+        return stored(named.join(named.where("out").select("gram").distinct(), "gram", "left_semi"), "postings")
+
+    def seen(rows: DataFrame, draws: int) -> DataFrame:
+        """(a, b, bits): members that are outside with those that their postings draw."""
+        turns = [F.lit(round_ * DRAWS + i) for i in range(draws)]
+        first = ["pos"] if draws > 1 else []
+        drawn = rows.groupBy("gram").agg(*(F.min(F.struct(*(F.col(c).alias("_least") for c in first), F.xxhash64("row", t).alias("h"), *what, "part")).alias(f"d{i}") for i, t in enumerate(turns)))
+        drawn = drawn.select("gram", F.explode(F.array(*(f"d{i}" for i in range(draws)))).alias("d")).select("gram", *(F.col(f"d.{c}").alias(f"d_{c}") for c in (*what, "part")))
+        met = rows.where("out").join(drawn, "gram").where((F.col("part") != F.col("d_part")) & _may("", "d_"))
+        return met.select(F.col("row").alias("a"), F.col("d_row").alias("b"), _bits("", "d_").alias("bits"))
+
+    # then, round by round, members outside its component with the nearest of those that their postings draw
+    for draws in (1, DRAWS):
+        fruitful = True
+        while fruitful:
+            named, round_ = renewed(named), round_ + 1
+            if draws == 1:
+                near = seen(named, 1).groupBy("a").agg(F.min(F.struct("bits", "b")).alias("n")).select("a", F.col("n.b").alias("b")).join(tried, ["a", "b"], "left_anti")
+            else:
+                crowded = named.join(named.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD).select("gram"), "gram", "left_semi")
+                near = seen(crowded, draws).distinct().join(tried, ["a", "b"], "left_anti")
+                near = near.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))).where(F.col("k") <= TRIES).select("a", "b")
+            near = stored(near, "pairs")
+            found = verified(near, prints, texts, width)
+            fruitful = found.count() > max(FRUITFUL * near.count(), WORTH * n_sets)
+            links, tried = links.union(found), tried.union(near)
+            parts = parts_of(links)
+    named = renewed(named)
     dropped(shared)
     # and what is outside still with all others, where nothing that comes just before is common: a pair's first common gram is such a place
-    before = [F.lag("gram", k).over(Window.partitionBy("row").orderBy("pos")) for k in (1, 2, 3)]
+    before = [F.lag("gram", k).over(Window.partitionBy("row").orderBy("pos")) for k in range(1, BEFORE + 1)]
     named = named.withColumn("before", F.array_compact(F.array(*before)))
     outer = named.where("out").select("gram", *(F.col(c).alias(f"o_{c}") for c in (*what, "part", "before")))
     first_there = ~F.arrays_overlap("before", "o_before")

@@ -119,3 +119,38 @@ def test_other_text_of_a_copys_id_stays(spark, folder):
     rows = [(1, "one text of two"), (2, "one text of two"), (2, "quite another text of the id")]
     df = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in rows], SCHEMA)
     assert {(r.doc_id, r.text) for r in corpus_pipeline.distinct(spark, df, folder).collect()} == {rows[0], rows[2]}
+
+
+@pytest.mark.parametrize("keys", [similar.FILTER, 0])
+def test_a_group_of_edited_copies_makes_few_pairs(spark, folder, monkeypatch, keys):
+    """Copies with three edits are linked by the few with none or one, whatever the others are; texts are found by hash or all shuffled."""
+    monkeypatch.setattr(similar, "FILTER", keys)
+    made, store = [], similar.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        made.append(out.count() if label == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+
+    def edit(k):
+        at = set(rng.sample(range(10, 140), k))
+        return [f"e{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(base)]
+
+    docs = [" ".join(edit(k)) for k in [3] * 400 + [0, 1, 1] + [6] * 20]
+    df = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in enumerate(docs)], SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, df, folder).collect()}
+    cut = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in docs]
+    root = list(range(len(docs)))
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(cut[i] & cut[j]) >= 4 * len(cut[i] | cut[j])]
+    for _ in root:
+        before = root.copy()
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert kept == {k for k, r in enumerate(root) if k == r}
+    assert sum(made) < 20_000, made
